@@ -143,11 +143,12 @@ def secret_report(docs: DataFrame) -> DataFrame:
     """Per document the number of base secrets by kind, the digest of their spans, and all spans."""
     base = [rule.kind for rule in BASE_RULES]
     written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    number = lambda kind: F.size(F.filter("secrets", lambda s: s["kind"] == kind)).cast("long")
     found = scan_secrets(docs.select("doc_id", "text"))
     own = F.filter("secrets", lambda s: s["kind"].isin(base))
     return found.select(
         "doc_id",
-        *(F.size(F.filter("secrets", lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in base),
+        *(number(kind).alias(f"n_{kind}") for kind in base),
         F.sha2(written(own), 256).alias("base_sha256"),
         written(F.col("secrets")).alias("spans"),
     )

@@ -17,3 +17,8 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     return session
+
+
+@pytest.fixture(scope="session")
+def sf():
+    return SF

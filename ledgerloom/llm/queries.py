@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.bpe import token_report
 from ledgerloom.llm.common import documents
 from ledgerloom.llm.secrets import secret_report
+from ledgerloom.llm.toxicity import toxicity_report
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +20,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(documents(spark, sf_dir))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ledgerloom.llm.bpe import token_report
 from ledgerloom.llm.common import documents
+from ledgerloom.llm.langid import language_report
 from ledgerloom.llm.secrets import secret_report
 from ledgerloom.llm.toxicity import toxicity_report
 
@@ -20,6 +21,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(documents(spark, sf_dir))
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_report(documents(spark, sf_dir))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 

@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ledgerloom.llm.audio import audio_report
 from ledgerloom.llm.bpe import token_report
 from ledgerloom.llm.common import documents
 from ledgerloom.llm.langid import language_report
 from ledgerloom.llm.secrets import secret_report
+from ledgerloom.llm.sharding import SHARD_SQL, shard_names
 from ledgerloom.llm.toxicity import toxicity_report
 
 
@@ -21,6 +23,14 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(documents(spark, sf_dir))
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard_names(documents(spark, sf_dir))
+
+
+def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_report(documents(spark, sf_dir))
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(documents(spark, sf_dir))
 
@@ -34,4 +44,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_sharding": SHARD_SQL}

@@ -10,6 +10,7 @@ from ledgerloom.llm.audio import audio_report
 from ledgerloom.llm.bpe import token_report
 from ledgerloom.llm.common import documents
 from ledgerloom.llm.langid import language_report
+from ledgerloom.llm.partenum import Threshold, jaccard_components
 from ledgerloom.llm.secrets import secret_report
 from ledgerloom.llm.sharding import SHARD_SQL, shard_names
 from ledgerloom.llm.toxicity import toxicity_report
@@ -39,6 +40,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir), size=3, threshold=Threshold(90))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 

@@ -13,6 +13,7 @@ from ledgerloom.llm.langid import language_report
 from ledgerloom.llm.partenum import Threshold, jaccard_components
 from ledgerloom.llm.secrets import secret_report
 from ledgerloom.llm.sharding import SHARD_SQL, shard_names
+from ledgerloom.llm.simhash import fingerprint_report
 from ledgerloom.llm.toxicity import toxicity_report
 
 
@@ -24,6 +25,10 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(documents(spark, sf_dir))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint_report(documents(spark, sf_dir))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_names(documents(spark, sf_dir))
 

@@ -11,6 +11,7 @@ from ledgerloom.llm.bpe import token_report
 from ledgerloom.llm.common import documents
 from ledgerloom.llm.langid import language_report
 from ledgerloom.llm.partenum import Threshold, jaccard_components
+from ledgerloom.llm.raking import mixed
 from ledgerloom.llm.secrets import secret_report
 from ledgerloom.llm.sharding import SHARD_SQL, shard_names
 from ledgerloom.llm.simhash import fingerprint_report
@@ -21,6 +22,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_report(documents(spark, sf_dir))
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(documents(spark, sf_dir))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_report(documents(spark, sf_dir))
 

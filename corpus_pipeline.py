@@ -1,10 +1,51 @@
-"""The corpus pipeline: toxicity, near duplicates, secrets, mixing, encoding."""
+"""The corpus pipeline: toxic documents go, of near copies one stays, secrets are masked, sources are mixed, texts are encoded.
+
+Each stage takes (spark, docs, sf_dir) and works on all that the one before it kept. All but the last
+return the columns of ``docs``. Nulls, empty texts and repeated rows are treated as the operators say.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ledgerloom.llm.bpe import encode_documents
+from ledgerloom.llm.common import id_remainder
+from ledgerloom.llm.partenum import drop_near_copies
+from ledgerloom.llm.raking import sample
+from ledgerloom.llm.secrets import mask_secrets
+from ledgerloom.llm.toxicity import drop_toxic, train
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop what a model of the labelled documents rejects."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return drop_toxic(docs, train(docs, labels, id_remainder("doc_id", 5) != 0))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of texts that share 0.8 of their five-word shingles."""
+    return drop_near_copies(docs)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Mask secrets in the texts."""
+    return mask_secrets(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sample documents towards flatter shares of sources, languages and topics."""
+    return sample(docs)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Add token ids."""
+    return encode_documents(docs)
+
+
+STAGES = [("toxicity", toxicity), ("near_copies", near_copies), ("secrets", secrets), ("mixing", mixing), ("encoding", encoding)]
 
-STAGES: list = []
+#: Training, components and byte-pair merges have no SQL form.
 ORACLE_SQL = None
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ledgerloom.llm.audio import audio_report
 from ledgerloom.llm.bpe import token_report
 from ledgerloom.llm.common import documents
+from ledgerloom.llm.context_mixing import score_report
 from ledgerloom.llm.langid import language_report
 from ledgerloom.llm.partenum import Threshold, jaccard_components
 from ledgerloom.llm.raking import mixed
@@ -38,6 +39,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_names(documents(spark, sf_dir))
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_report(documents(spark, sf_dir))
+
+
 def op5_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_report(documents(spark, sf_dir))
 

@@ -10,8 +10,9 @@ Candidates sharing a signature pass an exact bound (parities of 1024 hash cells
 cells as the sets in shingles) and are then verified on the full sets. Copies share a set and are one node.
 A signature shared by up to FEW sets gives all its pairs. In a larger group every set is compared with a
 pivot, links are joined into components, and groups that still span several components are compared with
-further pivots; what is left after PIVOTS rounds is compared pair by pair across components. So groups of
-near copies cost one comparison a member, and no link between components goes unseen.
+further pivots. What is left after PIVOTS rounds is compared across components by the exact bound inside
+tasks, block by block of BLOCK sets, and only pairs that pass it leave the task. So groups of near copies
+cost one comparison a member, and no link between components goes unseen.
 
 Null or empty texts have an empty set and are linked with nothing. Repeated rows share a component.
 """
@@ -36,8 +37,10 @@ from ledgerloom.llm.components import components
 CELLS = 1024
 #: Sets of a signature that are all paired.
 FEW = 8
-#: Pivots tried in groups that span several components, before all pairs across them.
+#: Pivots tried in groups that span several components, before blocks are compared across them.
 PIVOTS = 3
+#: Sets of a group, about, that one task compares with as many others at a time.
+BLOCK = 2048
 #: Hashes of words, and set ids already emitted, that a worker keeps.
 KEPT_WORDS, KEPT_SETS = 400_000, 100_000
 #: Bits of the filter that spares the shuffle sets without candidates; its size doesn't grow with the data.
@@ -283,6 +286,46 @@ class Join:
         rows = self.docs.select(F.col(self.key).alias("doc_id"), F.col(self.text).alias("t")).select(bit.alias("bit"), "t")
         return rows.mapInArrow(emit, "sid bigint, own binary").dropDuplicates(["sid"])
 
+    def across(self, groups: DataFrame) -> DataFrame:
+        """Pairs (a, b) of sets that share a group but no component, and whose sizes and sketches allow a link."""
+        t = self.threshold
+        sizes = groups.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        rows = groups.select("sig", "sid", "label").join(sizes, "sig").join(self.nodes.select("sid", "n", "cells"), "sid")
+        own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
+        rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        rows = rows.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sid", "label", "n", "cells")
+
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            for batch in batches:
+                keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
+                if not len(keys):
+                    continue
+                cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+                for low, high in zip(cuts, cuts[1:], strict=False):
+                    if held and any(held[-1].column(i)[0] != batch.column(i)[low] for i in range(3)):
+                        yield from found(held)
+                        held = []
+                    held.append(batch.slice(low, high - low))
+            if held:
+                yield from found(held)
+
+        def found(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            one = pa.Table.from_batches(parts)
+            inside = one["low"][0] == one["high"][0]
+            own, sid, label, n = (one[c].to_numpy() for c in ("own", "sid", "label", "n"))
+            cells = np.concatenate([c.flatten().to_numpy() for c in one["cells"].chunks]).view(np.uint64).reshape(len(sid), -1)
+            for i in range(len(sid)):
+                j = np.arange(i + 1, len(sid))
+                fits = (label[j] != label[i]) & (t.num * np.maximum(n[j], n[i]) <= t.den * np.minimum(n[j], n[i]))
+                j = j[fits if inside else fits & (own[j] != own[i])]
+                differ = np.bitwise_count(cells[j] ^ cells[i]).sum(axis=1, dtype=np.int64)
+                j = j[differ * (t.den + t.num) <= (t.den - t.num) * (n[j] + n[i])]
+                if len(j):
+                    yield pa.record_batch({"a": np.minimum(sid[j], sid[i]), "b": np.maximum(sid[j], sid[i])})
+
+        return rows.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(compare, "a bigint, b bigint")
+
     def links(self) -> tuple[DataFrame, DataFrame]:
         """Links enough to give the components, and the components (node, label)."""
         links = self.verified(self.found.filter("b is not null").select("a", "b").distinct())
@@ -297,8 +340,7 @@ class Join:
             if turn < PIVOTS:
                 pairs = open_groups.filter("label <> of").select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b"))
             else:
-                other = open_groups.select("sig", F.col("sid").alias("other"), F.col("label").alias("theirs"))
-                pairs = open_groups.select("sig", "sid", "label").join(other, "sig").filter("label < theirs").select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
+                pairs = self.across(open_groups)
             more = self.verified(pairs.distinct())
             groups = stage_table(open_groups.select("sig", "sid"), "groups")
             drop_table(open_groups)

@@ -72,6 +72,20 @@ def test_components_equal_all_pairs(spark, monkeypatch, size, num, second, few):
     assert got == brute(rows, size, num)
 
 
+@pytest.mark.parametrize(("pivots", "block"), [(0, 5), (0, 2048), (1, 7)])
+def test_blocks_across_components(spark, monkeypatch, pivots, block):
+    monkeypatch.setattr(partenum, "PIVOTS", pivots)
+    monkeypatch.setattr(partenum, "BLOCK", block)
+    words, rng, rows = [f"w{i}" for i in range(100)], random.Random(pivots + block), []
+    for i in range(90):  # edits far enough apart that most pairs share signatures without being linked
+        w = list(words)
+        for at in rng.sample(range(100), rng.randint(0, 5)):
+            w[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    got = sorted(tuple(r) for r in jaccard_components(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, Threshold(90), 3).collect())
+    assert got == brute(rows, 3, 90)
+
+
 def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 101)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

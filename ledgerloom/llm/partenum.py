@@ -6,6 +6,11 @@ is cut into so many parts that linked sets agree in one of them (first level), a
 ``second`` smaller ones of which all but one must agree (second level). What a set has in an agreeing part
 is one signature, so linked sets share at least one: the join on signatures loses no link.
 
+With SPARE parts more than needed, several signatures must agree, and a set may leave out all but one of
+that number. It leaves out those of the fewest shingles (ties by hash), the empty ones first, as these join
+sets that have nothing in common. What is left out depends on a signature's content alone, so the best of
+the agreeing signatures is kept by both sets.
+
 Candidates sharing a signature pass an exact bound (parities of 1024 hash cells differ in at most as many
 cells as the sets in shingles) and are then verified on the full sets. Copies share a set and are one node.
 A signature shared by up to FEW sets gives all its pairs. In a larger group every set is compared with a
@@ -27,12 +32,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import drop_table, stage_table, whole
 from ledgerloom.llm.components import components
 
+#: First-level parts beyond those needed, as a share, without and with a second level.
+SPARE = (0.4, 0.1)
 #: Parity cells of a set's sketch.
 CELLS = 1024
 #: Sets of a signature that are all paired.
@@ -134,13 +142,17 @@ def signatures(hashes: np.ndarray, threshold: Threshold, second: int, salt: int
         for band, _, differ in bands(threshold, len(hashes)):
             if not differ:  # only equal sets are linked, and these are one node
                 continue
-            first = differ + 1 if second == 1 else differ // 2 + 1
+            need = differ + 1 if second == 1 else differ // 2 + 1
+            spare = int(np.ceil(SPARE[second > 1] * need))
+            first = need + spare
             parts = first * second
             edges = np.concatenate([[0], np.searchsorted(hashes >> np.uint64(32), (np.arange(1, parts, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts)), [len(hashes)]])
-            part = (sums[edges[1:]] - sums[edges[:-1]]).reshape(first, second)
-            agree = part if second == 1 else part.sum(axis=1, dtype=np.uint64)[:, None] - part
+            part, sizes = (sums[edges[1:]] - sums[edges[:-1]]).reshape(first, second), np.diff(edges).reshape(first, second)
+            if second > 1:  # all smaller parts but one
+                part, sizes = part.sum(axis=1, dtype=np.uint64)[:, None] - part, sizes.sum(axis=1)[:, None] - sizes
             names = np.arange(parts, dtype=np.uint64) + np.uint64((band + 1) << 40)
-            found.append(mix(agree.ravel() + mix(names)))
+            own = mix(part.ravel() + mix(names))
+            found.append(own[np.lexsort((own, sizes.ravel()))[spare:]])
     return np.concatenate(found) if found else np.zeros(0, np.uint64)
 
 
@@ -232,18 +244,44 @@ def bucket_rows(rows: DataFrame) -> DataFrame:
     return dealt.mapInArrow(scan, "a bigint, b bigint, sig bigint")
 
 
+def bit_of(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def filter_of(keys: DataFrame, key: str) -> Broadcast:
+    """A table of bits of the keys, to be tested by ``bit_of``."""
+    words = keys.select(bit_of(key).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect()  # FILTER_BITS / 64 rows at most
+    table = np.zeros(FILTER_BITS // 64, np.int64)
+    for r in words:
+        table[r.word] = r.bits
+    return keys.sparkSession.sparkContext.broadcast(table)
+
+
+def possibly(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` whose key is wanted, and by chance a few more: spares a join's shuffle most of what it would drop."""
+    sent, names = filter_of(wanted, key), rows.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = batch.column(0).to_numpy()
+            yield batch.filter(pa.array((sent.value[bits >> 6] >> (bits & 63) & 1).astype(bool))).select(names)
+
+    return rows.select(bit_of(key).alias("bit_"), *rows.columns).mapInArrow(keep, rows.schema)
+
+
 class Join:
     """One run of the join over a table of documents."""
 
     def __init__(self, docs: DataFrame, size: int, threshold: Threshold, second: int, key: str, text: str):
         self.docs, self.size, self.threshold, self.key, self.text = docs, size, threshold, key, text
         self.table = stage_table(set_table(docs, size, key, text), "sets")
-        self.nodes = self.table.filter("sid is not null").groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("cells").alias("cells"))
+        self.nodes = stage_table(self.table.filter("sid is not null").groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("cells").alias("cells")), "nodes")
         self.found = stage_table(bucket_rows(signature_rows(docs, size, threshold, second, text)), "candidates")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The linked pairs among distinct pairs (a, b) of set ids."""
-        one = lambda x: self.nodes.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}"), F.col("doc_id").alias(f"doc_{x}"))
+        known = possibly(self.nodes, "sid", pairs.select(F.explode(F.array("a", "b")).alias("sid")))
+        one = lambda x: known.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}"), F.col("doc_id").alias(f"doc_{x}"))
         t = self.threshold
         differ = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
         near = pairs.join(one("a"), "a").join(one("b"), "b")
@@ -267,12 +305,7 @@ class Join:
 
     def sets(self, doc_ids: DataFrame) -> DataFrame:
         """(sid, own): the full sets, at least those of the given documents."""
-        bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-        words = doc_ids.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect()  # FILTER_BITS / 64 rows at most
-        table = np.zeros(FILTER_BITS // 64, np.int64)
-        for r in words:
-            table[r.word] = r.bits
-        sent, size = self.docs.sparkSession.sparkContext.broadcast(table), self.size
+        sent, size = filter_of(doc_ids, "doc_id"), self.size
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -283,7 +316,7 @@ class Join:
                 if own:
                     yield pa.record_batch({"sid": pa.array([set_id(x) for x in own], pa.int64()), "own": pa.array([x.tobytes() for x in own], pa.binary())})
 
-        rows = self.docs.select(F.col(self.key).alias("doc_id"), F.col(self.text).alias("t")).select(bit.alias("bit"), "t")
+        rows = self.docs.select(F.col(self.key).alias("doc_id"), F.col(self.text).alias("t")).select(bit_of("doc_id").alias("bit"), "t")
         return rows.mapInArrow(emit, "sid bigint, own binary").dropDuplicates(["sid"])
 
     def across(self, groups: DataFrame) -> DataFrame:
@@ -358,12 +391,12 @@ class Join:
         return self.table.join(member, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, threshold: Threshold = Threshold(80), second: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, threshold: Threshold = Threshold(80), second: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row its id, the size of its set, and the least id of its component (null only where all ids of the component are)."""
     return Join(docs, size, threshold, second, key, text).report()
 
 
-def drop_near_copies(docs: DataFrame, size: int = 5, threshold: Threshold = Threshold(80), second: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+def drop_near_copies(docs: DataFrame, size: int = 5, threshold: Threshold = Threshold(80), second: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document, that of the least id, of each component. Ids name documents: of rows that share one, one stays. Rows with a null id all stay."""
     found = jaccard_components(docs, size, threshold, second, key, text)
     kept = found.filter("doc_id = component_id").select("doc_id").distinct()

@@ -56,7 +56,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir), size=3, threshold=Threshold(90))
+    return jaccard_components(documents(spark, sf_dir), size=3, threshold=Threshold(90), second=3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -269,6 +269,15 @@ def possibly(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     return rows.select(bit_of(key).alias("bit_"), *rows.columns).mapInArrow(keep, rows.schema)
 
 
+def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
+    """Components (node, label) after further links (a, b): only the labels that these connect are worked on."""
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"of_{x}"))
+    named = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b"))
+    up = components(named)
+    over = up.select(F.col("node").alias("label"), F.col("label").alias("upper"))
+    return stage_table(labels.join(over, "label", "left").select("node", F.coalesce("upper", "label").alias("label")).unionByName(up), "labels")
+
+
 class Join:
     """One run of the join over a table of documents."""
 
@@ -359,8 +368,8 @@ class Join:
 
         return rows.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(compare, "a bigint, b bigint")
 
-    def links(self) -> tuple[DataFrame, DataFrame]:
-        """Links enough to give the components, and the components (node, label)."""
+    def labels(self) -> DataFrame:
+        """The components: (node, label) of every set but its component's least."""
         links = self.verified(self.found.filter("b is not null").select("a", "b").distinct())
         groups = self.found.filter("b is null").select("sig", F.col("a").alias("sid"))
         labels = components(links)
@@ -378,14 +387,12 @@ class Join:
             groups = stage_table(open_groups.select("sig", "sid"), "groups")
             drop_table(open_groups)
             if not more.isEmpty():
-                links = stage_table(links.unionByName(more), "links")
-                labels = components(links)
-        return links, labels
+                labels = merged(labels, more)
+        return labels
 
     def report(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
-        _, labels = self.links()
-        named = self.nodes.select("sid", "doc_id").join(labels, F.col("sid") == F.col("node"), "left").select("sid", "doc_id", F.coalesce("label", "sid").alias("label"))
+        named = self.nodes.select("sid", "doc_id").join(self.labels(), F.col("sid") == F.col("node"), "left").select("sid", "doc_id", F.coalesce("label", "sid").alias("label"))
         least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
         member = named.select("sid", "label").join(least, "label").select("sid", "component_id")
         return self.table.join(member, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

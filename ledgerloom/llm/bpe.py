@@ -30,9 +30,9 @@ DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Fixed value: how byte-level vocabularies of this kind cut a text into pieces.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Pieces that a worker keeps encoded; beyond it the store starts anew.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 200_000
 #: Compatible and incompatible pairs that a worker keeps.
-KEPT_PAIRS = 1_000_000
+KEPT_PAIRS = 300_000
 
 
 def _byte_of_letter() -> dict[str, int]:

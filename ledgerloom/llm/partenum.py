@@ -50,7 +50,7 @@ PIVOTS = 3
 #: Sets of a group, about, that one task compares with as many others at a time.
 BLOCK = 2048
 #: Hashes of words, and set ids already emitted, that a worker keeps.
-KEPT_WORDS, KEPT_SETS = 400_000, 100_000
+KEPT_WORDS, KEPT_SETS = 200_000, 100_000
 #: Bits of the filter that spares the shuffle sets without candidates; its size doesn't grow with the data.
 FILTER_BITS = 1 << 24
 

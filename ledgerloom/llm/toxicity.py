@@ -31,7 +31,7 @@ MOST_TOXIC, MOST_CLEAN = 4_000, 6_000
 STEM = 5
 LEAST_TEXTS = 3
 #: Hashes of words that a worker keeps.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 200_000
 
 
 #: A word's hash in the upper bits, the slot of its stem in the lower ones.

@@ -12,19 +12,21 @@ an empty text has no token. The literal of a special token becomes its id. Repea
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import json
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from ledgerloom.llm.common import whole
+from ledgerloom.llm.common import whole, worker_store
 
 DEFAULT_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Fixed value: how byte-level vocabularies of this kind cut a text into pieces.
@@ -33,6 +35,8 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{
 KEPT_PIECES = 200_000
 #: Compatible and incompatible pairs that a worker keeps.
 KEPT_PAIRS = 300_000
+#: Documents whose ids are handed on at a time.
+ROWS = 128
 
 
 def _byte_of_letter() -> dict[str, int]:
@@ -147,9 +151,8 @@ class ByteBpe(dict):
         return self.blob[where].tobytes().decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
 def vocabulary(path: str) -> ByteBpe:
-    return ByteBpe(path)
+    return worker_store(f"vocabulary {path}", lambda: ByteBpe(path))
 
 
 def encode_column(text: Column | str, path: str = DEFAULT_VOCABULARY) -> Column:
@@ -175,8 +178,27 @@ def decode_column(ids: Column | str, path: str = DEFAULT_VOCABULARY) -> Column:
 
 
 def encode_documents(docs: DataFrame, path: str = DEFAULT_VOCABULARY, text: str = "text") -> DataFrame:
-    """``docs`` with ``token_ids`` and ``n_tokens``, which replace columns of these names."""
-    return docs.withColumn("token_ids", encode_column(text, path)).withColumn("n_tokens", F.size("token_ids").cast("long"))
+    """``docs`` with ``token_ids`` and ``n_tokens``, which take the place of columns of these names.
+
+    Rows are handed on in small batches, so the memory of a task doesn't grow with its ids.
+    """
+    kept = docs.drop("token_ids", "n_tokens")
+    place = [c.lower() for c in kept.columns].index(text.lower())
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = vocabulary(path)
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                part = batch.slice(at, ROWS)
+                packed = [bpe.encode(t or "") for t in part.column(place).to_pylist()]
+                sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+                ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, pa.array(sizes)], names=[*part.schema.names, "token_ids", "n_tokens"])
+
+    schema = StructType([*kept.schema, StructField("token_ids", ArrayType(IntegerType())), StructField("n_tokens", LongType())])
+    own = {c.lower() for c in docs.columns}
+    order = [*docs.columns, *(c for c in ("token_ids", "n_tokens") if c not in own)]
+    return kept.mapInArrow(encode, schema).select([F.col(f"`{c}`") for c in order])
 
 
 def token_report(docs: DataFrame, path: str = DEFAULT_VOCABULARY) -> DataFrame:

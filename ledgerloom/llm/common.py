@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,6 +46,17 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+_KEPT: dict[str, Any] = {}
+
+
+def worker_store(name: str, make: Callable[[], Any]) -> Any:
+    """What a worker keeps between tasks. It takes the place of another operator's store, so a worker holds one at a time."""
+    if name not in _KEPT:
+        _KEPT.clear()
+        _KEPT[name] = make()
+    return _KEPT[name]
+
+
 def drop_table(df: DataFrame) -> None:
     """Remove the files behind a table of ``stage_table`` that nothing will read again."""
     spark = df.sparkSession

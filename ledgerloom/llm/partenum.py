@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import drop_table, stage_table, whole
+from ledgerloom.llm.common import drop_table, stage_table, whole, worker_store
 from ledgerloom.llm.components import components
 
 #: First-level parts beyond those needed, as a share, without and with a second level.
@@ -71,9 +71,8 @@ class WordHashes(dict):
         return h
 
 
-@functools.lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return worker_store("shingle words", WordHashes)
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import id_remainder, whole
+from ledgerloom.llm.common import id_remainder, whole, worker_store
 
 BITS = 22
 WORD = re.compile(r"[^\W\d_]+")
@@ -50,9 +50,8 @@ class WordHashes(dict):
         return h
 
 
-@functools.lru_cache(maxsize=1)
 def word_hashes() -> WordHashes:
-    return WordHashes()
+    return worker_store("toxicity words", WordHashes)
 
 
 def slots(text: str) -> np.ndarray:

@@ -1,7 +1,7 @@
 """Secret scans with one combined deterministic automaton.
 
-All rules are compiled together (``automaton``). One pass over a text's bytes follows a single row of
-transitions and notes where a rule's acceptance ends; from there the rule's reversed automaton walks
+Rules are compiled together (``automaton``), those with a literal apart. One pass over a text's bytes
+follows a single row of transitions and notes where a rule's acceptance ends; from there the rule's reversed automaton walks
 back to the leftmost start. A rule must stay accepting until its match ends, which holds for patterns
 that close with a repeated class or a literal; matches of a rule are leftmost and do not overlap.
 
@@ -25,16 +25,23 @@ from ledgerloom.llm.common import whole
 
 @dataclass(frozen=True)
 class Rule:
-    """``least`` bounds the match in characters, ``least_value`` what follows the first colon or equals sign."""
+    """``least`` bounds the match in characters, ``least_value`` what follows the first colon or equals sign, ``least_last`` the last word.
+
+    A ``whole_word`` rule starts at no letter, digit or underscore's back. Every match holds ``literal``, in lower case; a rule
+    that names one has an automaton of its own, which only passes over texts with the literal.
+    """
 
     kind: str
     pattern: bytes
     ignore_case: bool = False
     least: int = 1
     least_value: int = 0
+    least_last: int = 0
+    whole_word: bool = False
+    literal: bytes = b""
 
     def holds(self, match: bytes) -> bool:
-        if len(match) < self.least:
+        if len(match) < self.least or self.least_last and len(match.split()[-1]) < self.least_last:
             return False
         if not self.least_value:
             return True
@@ -48,37 +55,56 @@ BASE_RULES = (
     Rule("access", rb"AKIA[A-Z0-9]+", least=20),
     Rule("hex", rb"[0-9a-f]{6,}", least=24),
 )
-#: Public formats of tokens and keys. Each rule with a repeated tail multiplies the states, so the list is short.
+#: A line of a private key, base64 or a header (Proc-Type, DEK-Info), with the blanks that follow.
+KEY_LINE = rb"([A-Za-z0-9+/=]+(-([TI][a-z]*(:[\t\x20-\x5B\x5D-~]*)?)?)?)?[\t\x20]*"
+#: Public formats of tokens and keys. A private key goes on over its headers and its lines of base64, whose breaks may be
+#: written as escapes; the line that ends it is a rule of its own, as a rule stays accepting until its match ends.
 MORE_RULES = (
     Rule("forge", rb"gh[pousr]_[A-Za-z0-9]+", least=40),
     Rule("cloud", rb"AIza[A-Za-z0-9_-]+", least=39),
-    Rule("private_key", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", rb"-----BEGIN [A-Z ]*PRIVATE KEY-----" + KEY_LINE + rb"([\r\n][\t\x20]*" + KEY_LINE + rb"|\\" + KEY_LINE + rb")*", literal=b"-----begin "),
+    Rule("private_key_end", rb"-----END [A-Z ]*PRIVATE KEY-----", literal=b"-----end "),
+    Rule("service", rb"sk-[A-Za-z0-9_-]+", least=23, whole_word=True, literal=b"sk-"),
+    Rule("bearer", rb"bearer[\t-\r\x20]+[A-Za-z0-9._~+/=-]+", True, least_last=20, whole_word=True, literal=b"bearer"),
 )
 DEFAULT_RULES = BASE_RULES + MORE_RULES
 
 
+WORD = frozenset(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_")
+
+
 class SecretScanner:
     """Transition arrays of a set of rules. Built once in each Python worker."""
 
     def __init__(self, rules: tuple[Rule, ...] = DEFAULT_RULES):
         self.rules = rules
-        nfa = Nfa()
-        ends = [nfa.add(rule.pattern, rule.ignore_case) for rule in rules]
-        self.start = determinise(nfa, [s for s, _ in ends], {e: 1 << i for i, (_, e) in enumerate(ends)}, anywhere=True)
-        back = nfa.reversed()
-        self.back = [determinise(back, [e], {s: 1}, anywhere=False) for s, e in ends]
+        together = [i for i, rule in enumerate(rules) if not rule.literal]
+        self.starts, self.back = [], [None] * len(rules)
+        for own in [together, *([i] for i, rule in enumerate(rules) if rule.literal)]:
+            if not own:
+                continue
+            nfa = Nfa()
+            ends = [nfa.add(rules[i].pattern, rules[i].ignore_case) for i in own]
+            self.starts.append((rules[own[0]].literal, determinise(nfa, [s for s, _ in ends], {e: 1 << i for i, (_, e) in zip(own, ends, strict=True)}, anywhere=True)))
+            back = nfa.reversed()
+            for i, (s, e) in zip(own, ends, strict=True):
+                self.back[i] = determinise(back, [e], {s: 1}, anywhere=False)
 
     def ends(self, data: bytes) -> list[tuple[int, int]]:
-        """Where acceptance stops, with the rules (bits) that stop there: the one pass over all bytes."""
-        row, on, found = self.start, 0, []
-        for i, b in enumerate(data):
-            row = row[b]
-            if row[256] != on:
-                if on & ~row[256]:
-                    found.append((i, on & ~row[256]))
-                on = row[256]
-        if on:
-            found.append((len(data), on))
+        """Where acceptance stops, with the rules (bits) that stop there: one pass over all bytes for each automaton whose literal is there."""
+        found, lower = [], data.lower()
+        for literal, start in self.starts:
+            if literal not in lower:
+                continue
+            row, on = start, 0
+            for i, b in enumerate(data):
+                row = row[b]
+                if row[256] != on:
+                    if on & ~row[256]:
+                        found.append((i, on & ~row[256]))
+                    on = row[256]
+            if on:
+                found.append((len(data), on))
         return found
 
     def spans(self, text: str) -> list[tuple[int, int, int]]:
@@ -94,7 +120,7 @@ class SecretScanner:
                     row = row[data[i]]
                     if row is None:
                         break
-                    if row[256]:
+                    if row[256] and not (rule.whole_word and i and data[i - 1] in WORD):
                         start = i
                 if start >= 0:
                     done[r] = end

@@ -37,3 +37,12 @@ def test_report_and_mask(spark):
     masked = {r.doc_id: r.text for r in mask_secrets(docs).collect()}
     assert masked[1] == "[SECRET]' é" and masked[2] is None and masked[3] == "" and masked[None] == "é [SECRET]"
     assert secret_report(docs.limit(0)).count() == 0
+
+
+def test_whole_keys_and_tokens_are_masked(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\nMIIEpAIB+/aa\nbbbb==\n-----END RSA PRIVATE KEY-----"
+    token, other = "sk-" + "aB3_-" * 5, "eyJhbGciOi.JIUzI1-NiJ9=="
+    texts = [f"a {key} b", f"a {key} b".replace("\n", "\\n"), f"a {key} b".replace("\n", " \r\n  "), f"x {token} y", f"bearer \n {other} y", f"ri{token} ri-{token}", "Bearer of news, sk-short"]
+    got = [r.text for r in mask_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").coalesce(1)).orderBy("doc_id").collect()]
+    assert all(x.replace("[SECRET]", "") == "a  b" for x in got[:3]), got
+    assert got[3:] == ["x [SECRET] y", "[SECRET] y", f"ri{token} ri-[SECRET]", texts[6]]

@@ -6,8 +6,9 @@ its raked weight over its tokens times one factor, at most 1, chosen so that the
 asked share; documents are kept by a uniform number from their id's hash. The same id is always decided
 alike, so a rerun or a lost executor changes nothing.
 
-Counting is one pre-aggregated pass over all documents. Levels beyond the MOST_LEVELS heaviest of a
-dimension share one level, so the table of cells that goes to the driver has a fixed bound.
+Counting is one pre-aggregated pass over all documents. Every source and language is a level of its own;
+only a dimension that MOST_LEVELS names folds those beyond its heaviest. A table of up to MOST_CELLS cells
+is raked on the driver, a larger one by aggregates in Spark, with the same steps and the same results.
 
 Null sources and languages are levels of their own. Texts without a word weigh one token, so that they
 can be sampled too. Repeated rows count as often and are decided alike.
@@ -15,17 +16,20 @@ can be sampled too. Repeated rows count as often and are decided alike.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stage_table, whole
+from ledgerloom.llm.common import drop_table, stage_table, whole
 
 DIMENSIONS = ("source", "lang", "topic")
-#: Levels of a dimension that are raked on their own.
-MOST_LEVELS = {"source": 4000, "lang": 60, "topic": 6}
+#: Levels of a dimension that are raked on their own, where the others are to be folded. None are by default.
+MOST_LEVELS: dict[str, int] = {}
+#: Cells that go to the driver at most.
+MOST_CELLS = 100_000
 OTHER, MISSING = "(other)", "(none)"
 #: Targets are the natural shares to this power: below 1 it raises what is rare.
 POWER = 0.7
@@ -59,22 +63,29 @@ def described(docs: DataFrame, text: str = "text", source: str = "source", lang:
     return one.select("doc_id", "source", "lang", topic_of(F.col("t"), F.col("words")).alias("topic"), F.greatest("words", F.lit(1)).cast("bigint").alias("tokens"))
 
 
-def fit(tokens: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
-    """Rake a table of positive cells (0: none) to the marginals, as far as its cells allow."""
+def fit_cells(tokens: np.ndarray, at: list[np.ndarray], targets: list[np.ndarray]) -> np.ndarray:
+    """Rake positive cells, given by their levels' numbers in each dimension, to the marginals, as far as the cells allow."""
     w = tokens / tokens.sum()
     for _ in range(ROUNDS):
         worst = 0.0
-        for axis, target in enumerate(targets):
-            others = tuple(a for a in range(w.ndim) if a != axis)
-            now = w.sum(axis=others)
+        for own, target in zip(at, targets, strict=True):
+            now = np.bincount(own, w, len(target))
             factor = np.divide(target, now, out=np.zeros_like(now), where=now > 0)
             worst = max(worst, float(np.abs(now - target).max()))
-            w = w * factor.reshape([-1 if a == axis else 1 for a in range(w.ndim)])
+            w = w * factor[own]
         if worst < CLOSE:
             break
     return w / w.sum()
 
 
+def fit(tokens: np.ndarray, targets: list[np.ndarray]) -> np.ndarray:
+    """``fit_cells`` of a table with an axis for each dimension (0: no cell)."""
+    at = np.nonzero(tokens)
+    out = np.zeros(tokens.shape)
+    out[at] = fit_cells(tokens[at], list(at), targets)
+    return out
+
+
 def probabilities(tokens: np.ndarray, raked: np.ndarray, share: float) -> np.ndarray:
     """Inclusion probabilities in proportion to raked weight over tokens, at most 1, that keep the share of tokens."""
     ratio = np.divide(raked, tokens, out=np.zeros_like(raked), where=tokens > 0)
@@ -95,32 +106,80 @@ def probabilities(tokens: np.ndarray, raked: np.ndarray, share: float) -> np.nda
     return np.where(ratio > 0, np.minimum(1.0, ratio * factor) if np.isfinite(factor) else 1.0, 0.0)
 
 
-def levels(found: DataFrame) -> DataFrame:
-    """``found`` with the levels beyond the heaviest folded into one."""
-    for name in DIMENSIONS:
+def fold(level: Column, kept: list[str] | None) -> Column:
+    return level if kept is None else F.when(level.isin(kept), level).otherwise(F.lit(OTHER))
+
+
+def levels(found: DataFrame) -> tuple[DataFrame, dict[str, list[str] | None]]:
+    """``found`` with the levels beyond the heaviest folded into one where MOST_LEVELS asks for it, and the levels kept there."""
+    kept: dict[str, list[str] | None] = dict.fromkeys(DIMENSIONS)
+    for name in MOST_LEVELS:
         sums = found.groupBy(name).agg(F.sum("tokens").alias("sum_"))
-        kept = sums.orderBy(F.desc("sum_"), name).limit(MOST_LEVELS[name]).select(F.col(name).alias("level_"))
-        found = found.join(F.broadcast(kept), F.col(name) == F.col("level_"), "left").withColumn(name, F.coalesce("level_", F.lit(OTHER))).drop("level_")
-    return found
+        kept[name] = [r[0] for r in sums.orderBy(F.desc("sum_"), name).limit(MOST_LEVELS[name]).select(name).collect()]
+        found = found.withColumn(name, fold(F.col(name), kept[name]))
+    return found, kept
+
 
+CELL = "source string, lang string, topic string, probability double"
 
-def cell_probabilities(found: DataFrame, mix: Mix) -> list[tuple[str, str, str, float]]:
+
+def cell_probabilities(found: DataFrame, mix: Mix) -> DataFrame:
     """(source, lang, topic, probability) of every cell."""
-    rows = found.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")).collect()  # MOST_LEVELS bounds them
+    cells = stage_table(found.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")), "levels")
+    if cells.count() > MOST_CELLS:
+        return table_probabilities(cells, mix)
+    rows = cells.collect()  # MOST_CELLS bounds them
     if not rows:
-        return []
-    names = [sorted({r[d] for r in rows}) for d in DIMENSIONS]
-    at = [{v: i for i, v in enumerate(n)} for n in names]
-    table = np.zeros([len(n) for n in names])
-    for r in rows:
-        table[tuple(a[r[d]] for a, d in zip(at, DIMENSIONS, strict=True))] = r.tokens
-    targets = []
-    for axis, (d, own) in enumerate(zip(DIMENSIONS, names, strict=True)):
-        natural = table.sum(axis=tuple(a for a in range(3) if a != axis))
-        target = np.array([mix.targets[d].get(v, 0.0) for v in own]) if d in mix.targets else natural**mix.power
+        return found.sparkSession.createDataFrame([], CELL)
+    tokens, at, targets = np.array([float(r.tokens) for r in rows]), [], []
+    for d in DIMENSIONS:
+        own = sorted({r[d] for r in rows})
+        number = {v: i for i, v in enumerate(own)}
+        at.append(np.array([number[r[d]] for r in rows]))
+        target = np.array([mix.targets[d].get(v, 0.0) for v in own]) if d in mix.targets else np.bincount(at[-1], tokens) ** mix.power
         targets.append(target / target.sum())
-    p = probabilities(table, fit(table, targets), mix.share)
-    return [(r.source, r.lang, r.topic, float(p[tuple(a[r[d]] for a, d in zip(at, DIMENSIONS, strict=True))])) for r in rows]
+    p = probabilities(tokens, fit_cells(tokens, at, targets), mix.share)
+    return F.broadcast(found.sparkSession.createDataFrame([(*(r[d] for d in DIMENSIONS), x) for r, x in zip(rows, p.tolist(), strict=True)], CELL))
+
+
+def table_probabilities(cells: DataFrame, mix: Mix) -> DataFrame:
+    """``cell_probabilities`` of any number of cells: what ``fit_cells`` and ``probabilities`` do, by aggregates of the table."""
+    spark, total = cells.sparkSession, float(cells.agg(F.sum("tokens")).first()[0])
+    targets = {}
+    for d in DIMENSIONS:
+        own = cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("natural"))
+        if d in mix.targets:
+            asked = spark.createDataFrame([(k, float(v)) for k, v in mix.targets[d].items()], f"{d} string, asked double")
+            own = own.join(asked, d, "left").select(d, F.coalesce("asked", F.lit(0.0)).alias("target"))
+        else:
+            own = own.select(d, F.pow("natural", F.lit(float(mix.power))).alias("target"))
+        own = stage_table(own, "targets")
+        targets[d] = own.withColumn("target", F.col("target") / F.lit(float(own.agg(F.sum("target")).first()[0])))
+    w = stage_table(cells.withColumn("w", F.col("tokens") / F.lit(total)), "raked")
+    for _ in range(ROUNDS):
+        worst, before = 0.0, w
+        for d in DIMENSIONS:
+            sums = stage_table(w.groupBy(d).agg(F.sum("w").alias("now")).join(targets[d], d), "sums")
+            worst = max(worst, sums.agg(F.max(F.abs(F.col("now") - F.col("target")))).first()[0])
+            w = w.join(sums.select(d, F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(0.0).alias("factor")), d).select(*DIMENSIONS, "tokens", (F.col("w") * F.col("factor")).alias("w"))
+        w = stage_table(w, "raked")
+        drop_table(before)
+        if worst < CLOSE:
+            break
+    ratio = F.col("w") / F.col("tokens")
+    top = float(w.filter("w > 0").agg(F.sum("tokens")).first()[0])
+    want, factor, sure = min(mix.share * total, top), 0.0, -1.0
+    while True:  # cells that the factor takes to 1 are kept whole, which raises it for the others
+        r = w.filter("w > 0").agg(F.sum(F.when(ratio * factor > 1, F.col("tokens"))).alias("sure"), F.sum(F.when(ratio * factor > 1, 0.0).otherwise(F.col("w"))).alias("rest")).first()
+        if float(r.sure or 0) <= sure:
+            break
+        sure = float(r.sure or 0)
+        if not r.rest:
+            factor = math.inf
+            break
+        factor = max(factor, (want - sure) / r.rest)
+    p = F.least(F.lit(1.0), ratio * factor) if math.isfinite(factor) else F.lit(1.0)
+    return stage_table(w.select(*DIMENSIONS, F.when(F.col("w") > 0, p).otherwise(0.0).alias("probability")), "probabilities")
 
 
 def uniform(key: Column | str) -> Column:
@@ -130,21 +189,17 @@ def uniform(key: Column | str) -> Column:
 
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """(doc_id, source, lang, topic, tokens, probability, kept) of every row, with folded levels."""
-    found = levels(stage_table(described(docs), "cells"))
-    cells = cell_probabilities(found, mix)
-    table = docs.sparkSession.createDataFrame(cells, "source string, lang string, topic string, probability double")
-    return found.join(F.broadcast(table), list(DIMENSIONS)).select("doc_id", *DIMENSIONS, "tokens", F.round("probability", 9).alias("probability")).withColumn("kept", uniform("doc_id") < F.col("probability"))
+    """(doc_id, source, lang, topic, tokens, probability, kept) of every row."""
+    found, _ = levels(stage_table(described(docs), "cells"))
+    table = cell_probabilities(found, mix)
+    return found.join(table, list(DIMENSIONS)).select("doc_id", *DIMENSIONS, "tokens", F.round("probability", 9).alias("probability")).withColumn("kept", uniform("doc_id") < F.col("probability"))
 
 
 def sample(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The rows of ``docs`` that the mix keeps, with their own columns."""
-    found = levels(stage_table(described(docs), "cells"))
-    cells = cell_probabilities(found, mix)
-    known = {d: sorted({c[i] for c in cells}) for i, d in enumerate(DIMENSIONS)}
-    table = docs.sparkSession.createDataFrame(cells, "s_ string, l_ string, t_ string, p_ double")
-    fold = lambda c, d: F.when(c.isin(known[d]), c).otherwise(F.lit(OTHER))
+    found, kept = levels(stage_table(described(docs), "cells"))
+    table = cell_probabilities(found, mix).toDF("s_", "l_", "t_", "p_")
     words = n_words(whole("text"))
     level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
-    rows = docs.withColumns({"s_": fold(level("source"), "source"), "l_": fold(level("lang"), "lang"), "t_": fold(topic_of(whole("text"), words), "topic")})
-    return rows.join(F.broadcast(table), ["s_", "l_", "t_"]).filter(uniform("doc_id") < F.round("p_", 9)).select(docs.columns)
+    rows = docs.withColumns({"s_": fold(level("source"), kept["source"]), "l_": fold(level("lang"), kept["lang"]), "t_": fold(topic_of(whole("text"), words), kept["topic"])})
+    return rows.join(table, ["s_", "l_", "t_"]).filter(uniform("doc_id") < F.round("p_", 9)).select(docs.columns)

@@ -57,3 +57,22 @@ def test_edges(spark, monkeypatch):
     assert {r.source for r in mixed(docs).collect()} == {"a", "(other)"}
     only = mixed(docs, Mix({"lang": {"en": 1.0}}, share=1.0)).collect()
     assert all(r.probability == (1.0 if r.lang == "en" else 0.0) for r in only)
+
+
+def test_every_source_keeps_its_level(spark, monkeypatch):
+    rows = [(i, "one two", "en", f"s{i}") for i in range(4200)] + [(i, "one two three", "fr" if i % 2 else "en", "big") for i in range(5000, 9000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    for mix in (Mix(share=0.5), Mix({"source": {"s4150": 1.0, "big": 1.0}}, share=1.0)):
+        got = {r.doc_id: r.probability for r in mixed(docs, mix).collect()}
+        assert len(got) == len(rows)
+        if mix.targets:
+            assert {i for i, p in got.items() if p > 0} == {4150, *range(5000, 9000)}
+        else:
+            assert len({got[i] for i in range(4200)}) == 1 and got[0] > got[5000]
+        with monkeypatch.context() as m:
+            m.setattr(raking, "MOST_CELLS", 10)
+            m.setattr(raking, "ROUNDS", 3)
+            by_table = {r.doc_id: r.probability for r in mixed(docs, mix).collect()}
+            m.setattr(raking, "MOST_CELLS", 100_000)
+            by_driver = {r.doc_id: r.probability for r in mixed(docs, mix).collect()}
+        assert by_table.keys() == by_driver.keys() and all(abs(p - by_driver[i]) < 1e-6 for i, p in by_table.items())

@@ -5,8 +5,10 @@ or against each of BITS bits; the signs are the fingerprint. Weights grow with a
 logarithm of its count, and are whole numbers, so sums are exact and equal texts have equal fingerprints.
 
 For the search, a fingerprint is cut into BLOCKS blocks and stands in one table for each, keyed by that
-block: two fingerprints that differ in fewer bits than there are blocks agree in a block, so RADIUS =
-BLOCKS - 1 loses nothing. Copies are one entry with a count. The stated queries go against all entries.
+block. Two fingerprints that differ in fewer than twice as many bits as there are blocks differ in at most
+one bit of some block, so a query that probes each table with its block and with each bit of it turned
+loses nothing up to RADIUS = 2 * BLOCKS - 1. Copies are one entry with a count. The stated queries go
+against all entries.
 
 Null texts count as empty; texts without a word have the fingerprint 0. Repeated rows stay.
 """
@@ -28,8 +30,9 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.common import stage_table, whole
 
-BITS, BLOCKS = 256, 8
-RADIUS = BLOCKS - 1
+BITS, BLOCKS = 256, 13
+#: Reaches texts whose weighted cosine is about 0.95.
+RADIUS = 2 * BLOCKS - 1
 LANES = BITS // 64
 KEPT_WORDS = 300_000
 LONGEST = 12
@@ -91,15 +94,28 @@ def fingerprint_column(text: Column | str) -> Column:
 
 def near_counts(prints: DataFrame, queries: Column, key: str = "doc_id", lanes: str = "lanes", radius: int = RADIUS) -> DataFrame:
     """(key, n_near) of the rows for which ``queries`` holds: how many other rows have a fingerprint within the radius."""
-    if not 0 <= radius < BLOCKS:
-        raise ValueError(f"the radius must be under {BLOCKS}")
+    if not 0 <= radius < 2 * BLOCKS:
+        raise ValueError(f"the radius must be under {2 * BLOCKS}")
     entries = prints.filter(F.col(lanes).isNotNull()).groupBy(F.col(lanes).alias("theirs")).agg(F.count("*").alias("copies"))
     asked = prints.filter(queries & F.col(lanes).isNotNull()).select(F.col(lanes).alias("own")).distinct()
-    width = BITS // BLOCKS
-    block = lambda col: F.explode(F.array(*(F.struct(F.lit(i).alias("table"), F.expr(f"shiftrightunsigned({col}[{i * width // 64}], {i * width % 64}) & {(1 << width) - 1}L").alias("block")) for i in range(BLOCKS))))
+    ends = [i * BITS // BLOCKS for i in range(BLOCKS + 1)]
+
+    def block(col: str, i: int) -> str:
+        """The bits from ends[i] to ends[i + 1], which may reach into the next lane."""
+        low, width = ends[i], ends[i + 1] - ends[i]
+        value, left = f"shiftrightunsigned({col}[{low // 64}], {low % 64})", 64 - low % 64
+        if left < width:
+            value = f"({value} | shiftleft({col}[{low // 64 + 1}], {left}))"
+        return f"({value} & {(1 << width) - 1}L)"
+
+    cell = lambda i, value: F.struct(F.lit(i).alias("table"), F.expr(value).alias("block"))
+    probes = [cell(i, f"{block('own', i)} ^ {turned}L") for i in range(BLOCKS) for turned in (0, *(1 << t for t in range(ends[i + 1] - ends[i])))]
+    tables = [cell(i, block("theirs", i)) for i in range(BLOCKS)]
     distance = F.aggregate(F.zip_with("own", "theirs", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
-    found = asked.select("own", block("own").alias("k")).join(entries.select("theirs", "copies", block("theirs").alias("k")), "k").filter(distance <= radius)
-    sums = found.select("own", "theirs", "copies").distinct().groupBy("own").agg((F.sum("copies") - 1).alias("n_near"))
+    # A pair meets in many tables and counts in the first.
+    first = F.expr("CASE " + " ".join(f"WHEN bit_count({block('own', i)} ^ {block('theirs', i)}) <= 1 THEN {i}" for i in range(BLOCKS)) + " END")
+    found = asked.select("own", F.explode(F.array(*probes)).alias("k")).join(entries.select("theirs", "copies", F.explode(F.array(*tables)).alias("k")), "k").filter((distance <= radius) & (first == F.col("k.table")))
+    sums = found.groupBy("own").agg((F.sum("copies") - 1).alias("n_near"))
     return prints.filter(queries).join(sums, F.col(lanes) == F.col("own")).select(key, "n_near")
 
 

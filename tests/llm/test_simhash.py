@@ -63,3 +63,20 @@ def test_edges(spark):
     alone = simhash.fingerprint_report(docs.filter("doc_id = 7")).collect()
     assert alone[0].near_next == 1.0
     assert simhash.fingerprint_report(docs.limit(0)).count() == 0
+
+
+def test_near_copies_are_found(spark):
+    rng = random.Random(6)
+    made = [[rng.choice("abcdefghij") * rng.randint(1, 3) + str(rng.randrange(10**6)) for _ in range(400)] for _ in range(6)]
+    texts = [" ".join(w) for w in made] + [" ".join(["changed" + str(i) if i % 50 == 7 else x for i, x in enumerate(w)]) for w in made]
+    prints = [simhash.fingerprint(t) for t in texts]
+    rows = [(i, p.tolist()) for i, p in enumerate(prints)]
+    for i in range(12, 150):  # at 15 to 35 bits from the first, over the borders of lanes and blocks
+        p = int.from_bytes(prints[0].tobytes(), "little")
+        for b in rng.sample(range(256), rng.randint(15, 35)):
+            p ^= 1 << b
+        rows.append((i, np.frombuffer(p.to_bytes(32, "little"), "<i8").tolist()))
+    got = {r.doc_id: r.n_near for r in simhash.near_counts(spark.createDataFrame(rows, "doc_id bigint, lanes array<bigint>"), F.col("doc_id") < 50).collect()}
+    apart = lambda a, b: sum(int(x).bit_count() for x in (np.array(a) ^ np.array(b)).view(np.uint64).tolist())
+    assert got == {i: sum(apart(a, b) <= simhash.RADIUS for j, b in rows if j != i) for i, a in rows if i < 50}
+    assert all(got[i] >= 1 for i in range(12)) and 0 < got[0] < 138

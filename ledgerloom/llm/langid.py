@@ -12,20 +12,21 @@ Ties go to the language first in alphabetical order. Null languages are not lear
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import id_remainder
+from ledgerloom.llm.common import id_remainder, stage_table
 
 UNDETERMINED = "und"
 #: The sample of a language: so many code points, from so many documents at most, those of the smallest hash.
 SAMPLE_CHARS, SAMPLE_DOCS = 40_000, 120
-#: Languages learned at most: the most frequent ones.
-MOST_LANGUAGES = 32
+#: Code points of all samples together: with more than 32 languages, each gets an equal share of them.
+ALL_CHARS = 32 * SAMPLE_CHARS
 
 
 def suffix_automaton(text: str) -> dict:
@@ -105,16 +106,19 @@ def plain(text: str) -> str:
 def learn(docs: DataFrame, rows: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Languages:
     """Samples from the rows for which the condition on the key holds."""
     known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("l").isNotNull() & F.col("t").isNotNull() & rows)
-    counts = known.groupBy("l").count().orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES).collect()
+    n = known.select("l").distinct().count()
+    letters = max(1, min(SAMPLE_CHARS, ALL_CHARS // max(1, n)))
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))
+    drawn = known.select("l", "k", F.xxhash64("k").alias("h")).withColumn("place", place).filter(F.col("place") <= SAMPLE_DOCS).select(F.col("l").alias("own"), F.col("k").alias("key")).distinct()
+    chosen = known.join(F.broadcast(drawn), (F.col("l") == F.col("own")) & F.col("k").eqNullSafe(F.col("key"))).select("l", F.substring("t", 1, letters).alias("t"))
     samples = {}
-    for r in counts:
-        own = known.filter(F.col("l") == r.l).select("k", F.xxhash64("k").alias("h")).orderBy("h", "k").limit(SAMPLE_DOCS)
-        keys = sorted({x.k for x in own.collect() if x.k is not None})
-        texts = [plain(x.t) for x in known.filter((F.col("l") == r.l) & F.col("k").isin(keys)).select(F.substring("t", 1, SAMPLE_CHARS).alias("t")).orderBy(F.xxhash64("t")).collect()]
-        share = max(200, SAMPLE_CHARS // max(1, min(len(texts), SAMPLE_DOCS)))
+    ordered = stage_table(chosen, "samples").orderBy("l", F.xxhash64("t"))
+    for name, rows_ in itertools.groupby(ordered.toLocalIterator(), lambda r: r.l):  # one language at a time
+        texts = [plain(r.t) for r in rows_]
+        share = max(200, letters // max(1, min(len(texts), SAMPLE_DOCS)))
         joined = "\n".join([t[:share] for t in texts] + [t[share:] for t in texts])
         if joined.strip():
-            samples[r.l] = joined[:SAMPLE_CHARS]
+            samples[name] = joined[:letters]
     return Languages(samples)
 
 

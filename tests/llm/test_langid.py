@@ -3,7 +3,7 @@ import zlib
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.langid import Languages, language_report, phrases, suffix_automaton
+from ledgerloom.llm.langid import ALL_CHARS, Languages, language_report, learn, phrases, suffix_automaton
 
 
 def brute_phrases(text, sample):
@@ -39,3 +39,13 @@ def test_edges(spark):
     assert (1, "und") in rows and (2, "und") in rows and {x for _, x in rows} <= {"und", "en", "fr"}
     assert language_report(docs.filter(F.lit(False))).count() == 0
     assert Languages({}).predict("word") == ("und", 0.0) and Languages({"b": "xy", "a": "xy"}).predict("xy")[0] == "a"
+
+
+def test_every_label_is_learned(spark):
+    word = lambda i: "".join(chr(0x4E00 + 40 * i + j) for j in range(30))
+    rows = [(100 * i + k, f"{word(i)} {word(i)[k:]}", f"l{i}") for i in range(40) for k in range(3 if i else 1)] + [(None, word(50), "no id"), (5_000, "free text", None)]
+    docs = spark.createDataFrame(rows, "k bigint, text string, lang string")
+    found = learn(docs, F.lit(True), key="k")
+    assert set(found.samples) == {f"l{i}" for i in range(40)} | {"no id"}
+    assert all(found.predict(text)[0] == lang for _, text, lang in rows if lang)
+    assert all(len(x) <= ALL_CHARS // 41 for x in found.samples.values())

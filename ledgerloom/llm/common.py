@@ -26,10 +26,25 @@ def id_remainder(doc_id: Column | str, modulus: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit(""))) % modulus
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, whatever signs it holds."""
+    return F.col(f"`{name.replace('`', '``')}`")
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to be no column of the table."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the cluster names it; a fresh one where it names none."""
+    """The folder that driver and executors share, as the cluster names it. Only a local master may do without: it gets a fresh folder."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='ledgerloom-')}"
         spark.conf.set("spark.checkpoint.dir", root)
     return root

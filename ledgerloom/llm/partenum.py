@@ -11,15 +11,21 @@ that number. It leaves out those of the fewest shingles (ties by hash), the empt
 sets that have nothing in common. What is left out depends on a signature's content alone, so the best of
 the agreeing signatures is kept by both sets.
 
-Candidates sharing a signature pass an exact bound (parities of 1024 hash cells differ in at most as many
-cells as the sets in shingles) and are then verified on the full sets. Copies share a set and are one node.
+Candidates sharing a signature pass an exact bound (parities of hash cells, at least two a shingle, differ in
+at most as many cells as the sets in shingles) and are then verified on the full sets. Copies share a set and
+are one node.
 A signature shared by up to FEW sets gives all its pairs. In a larger group every set is compared with a
 pivot, links are joined into components, and groups that still span several components are compared with
 further pivots. What is left after PIVOTS rounds is compared across components by the exact bound inside
 tasks, block by block of BLOCK sets, and only pairs that pass it leave the task. So groups of near copies
-cost one comparison a member, and no link between components goes unseen.
-
-Null or empty texts have an empty set and are linked with nothing. Repeated rows share a component.
+cost one comparison a member, and no link between components goes unseen. Signatures that a sample of the
+sets shows to be very frequent are dealt over SALTS tasks; their groups are joined by the pivots. The sample
+decides where rows go, never which links are found.
+
+Null or empty texts have an empty set and are linked with nothing. Repeated rows share a component. A very
+long text is one set like any other; nothing is cut. Ties: a component is named by its least id, nulls last.
+An empty table gives an empty one. Only the id and the text are read, so other columns can't clash;
+``drop_near_copies`` returns them untouched.
 """
 
 from __future__ import annotations
@@ -36,13 +42,13 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import drop_table, stage_table, whole, worker_store
+from ledgerloom.llm.common import drop_table, quoted, stage_table, unused, whole, worker_store
 from ledgerloom.llm.components import components
 
 #: First-level parts beyond those needed, as a share, without and with a second level.
 SPARE = (0.4, 0.1)
-#: Parity cells of a set's sketch.
-CELLS = 1024
+#: Parity cells of the smallest sketch.
+LEAST_CELLS = 256
 #: Sets of a signature that are all paired.
 FEW = 8
 #: Pivots tried in groups that span several components, before blocks are compared across them.
@@ -51,8 +57,13 @@ PIVOTS = 3
 BLOCK = 2048
 #: Hashes of words, and set ids already emitted, that a worker keeps.
 KEPT_WORDS, KEPT_SETS = 200_000, 100_000
-#: Bits of the filter that spares the shuffle sets without candidates; its size doesn't grow with the data.
-FILTER_BITS = 1 << 24
+#: Bits of the filter that spares the shuffle sets without candidates: eight a key, and at most so many.
+FILTER_BITS = 1 << 27
+#: Ids that are broadcast at most.
+FEW_IDS = 50_000
+#: A signature is hot if at least HOT_LEAST sets, and one in HOT_SHARE of all rows, seem to have it; one set in HOT_RATE is looked at. So at most HOT_SHARE are.
+HOT_LEAST, HOT_SHARE, HOT_RATE = 2000, 4096, 64
+SALTS = 32
 
 ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -160,13 +171,22 @@ def set_id(hashes: np.ndarray) -> int:
 
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
-    """Parities of the cells, as 64-bit words."""
-    odd = np.bincount((mix(hashes ^ TWO) & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+    """Parities of the cells, as 64-bit words. The cells are a power of two; the upper half folds onto the lower, so sketches of two lengths compare."""
+    cells = max(LEAST_CELLS, 1 << (2 * len(hashes) - 1).bit_length())
+    odd = np.bincount((mix(hashes ^ TWO) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
 
-def set_table(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
-    """(doc_id, n, sid, cells) of every row; sid is null for an empty set."""
+def differing_cells(a: Column, b: Column) -> Column:
+    """In how many cells two sketches differ, the longer one folded once (linked sets' lengths differ by no more)."""
+    xor = lambda x, y: F.zip_with(x, y, lambda v, w: v.bitwiseXOR(w))
+    half = lambda x: xor(F.slice(x, 1, (F.size(x) / 2).cast("int")), F.slice(x, (F.size(x) / 2).cast("int") + 1, (F.size(x) / 2).cast("int")))
+    shorter = lambda x, y: F.when(F.size(x) > F.size(y), half(x)).otherwise(x)
+    return F.aggregate(xor(shorter(a, b), shorter(b, a)), F.lit(0), lambda n, x: n + F.bit_count(x))
+
+
+def set_table(docs: DataFrame, size: int, key: str, text: str, row: Column | None = None) -> DataFrame:
+    """(doc_id, n, sid, cells, and ``row``, if given, as row) of every row; sid is null for an empty set."""
 
     @F.pandas_udf("n bigint, sid bigint, cells array<bigint>")
     def describe(texts: pd.Series) -> pd.DataFrame:
@@ -177,7 +197,8 @@ def set_table(docs: DataFrame, size: int, key: str, text: str) -> DataFrame:
             "cells": pd.Series([sketch(x) if len(x) else None for x in sets], dtype=object),
         })
 
-    return docs.select(F.col(key).alias("doc_id"), describe(whole(text)).alias("s")).select("doc_id", "s.*")
+    more = [] if row is None else [row.alias("row")]
+    return docs.select(F.col(key).alias("doc_id"), *more, describe(whole(text)).alias("s")).select("doc_id", *(["row"] if more else []), "s.*")
 
 
 def signature_rows(docs: DataFrame, size: int, threshold: Threshold, second: int, text: str) -> DataFrame:
@@ -202,8 +223,19 @@ def signature_rows(docs: DataFrame, size: int, threshold: Threshold, second: int
     return docs.select(text).mapInArrow(emit, "sig bigint, sid bigint")
 
 
-def bucket_rows(rows: DataFrame) -> DataFrame:
-    """(a, b, sig): candidate pairs (a < b, sig null), and the members of larger groups (b null)."""
+def hot_signatures(docs: DataFrame, size: int, threshold: Threshold, second: int, text: str) -> list[int]:
+    """Signatures that are too frequent for one task, judged by the texts of one hash in HOT_RATE; HOT_SHARE bounds them."""
+    some = docs.filter(F.pmod(F.xxhash64(text), F.lit(HOT_RATE)) == 0)
+    counts = stage_table(signature_rows(some, size, threshold, second, text).groupBy("sig").agg(F.count("*").alias("n")), "often")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    found = counts.filter((F.col("n") >= HOT_LEAST // HOT_RATE) & (F.col("n") * HOT_SHARE >= total)).select("sig").collect()
+    drop_table(counts)
+    return sorted(r.sig for r in found)
+
+
+def bucket_rows(rows: DataFrame, hot: list[int]) -> DataFrame:
+    """(a, b, sig): candidate pairs (a < b, sig null), and the members of larger groups (b null). Each task has its own group of a hot signature."""
+    hot_set = frozenset(hot)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sig, few, last, members = None, [], None, 0  # the group that is open: its first sets, the last set, how many
@@ -213,13 +245,17 @@ def bucket_rows(rows: DataFrame) -> DataFrame:
             if s == last and members:
                 return
             last, members = s, members + 1
-            if members <= FEW:
+            if sig in hot_set:
+                if members == 1:
+                    few.append(s)
+            elif members <= FEW:
                 out.extend((f, s, None) for f in few)
                 few.append(s)
                 return
-            if members == FEW + 1:
+            elif members == FEW + 1:
                 out.extend((f, None, sig) for f in few)
-            out.append((few[0], s, None))
+            if s != few[0]:
+                out.append((few[0], s, None))
             out.append((s, None, sig))
 
         for batch in batches:
@@ -229,7 +265,7 @@ def bucket_rows(rows: DataFrame) -> DataFrame:
             out: list[tuple[int, int | None, int | None]] = []
             starts = np.concatenate([[0], np.flatnonzero(sigs[1:] != sigs[:-1]) + 1])
             ends = np.append(starts[1:], len(sigs))
-            busy = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(sigs)))  # groups of one set inside a batch have no pair
+            busy = np.flatnonzero((ends - starts > 1) | (starts == 0) | (ends == len(sigs)) | np.isin(sigs[starts], hot_list))  # groups of one set inside a batch have no pair
             for i in busy:
                 if sigs[starts[i]] != sig:
                     sig, few, last, members = int(sigs[starts[i]]), [], None, 0
@@ -239,33 +275,36 @@ def bucket_rows(rows: DataFrame) -> DataFrame:
                 a, b, g = zip(*out, strict=True)
                 yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "sig": pa.array(g, pa.int64())})
 
-    dealt = rows.repartition("sig").sortWithinPartitions("sig", "sid")
+    hot_list = np.array(hot, np.int64)
+    salt = F.when(F.col("sig").isin(hot), F.pmod("sid", F.lit(SALTS))).otherwise(F.lit(0)) if hot else F.lit(0)
+    dealt = (rows.repartition("sig", salt) if hot else rows.repartition("sig")).sortWithinPartitions("sig", "sid")
     return dealt.mapInArrow(scan, "a bigint, b bigint, sig bigint")
 
 
-def bit_of(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+def bit_of(key: str, bits: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(bits))
 
 
-def filter_of(keys: DataFrame, key: str) -> Broadcast:
-    """A table of bits of the keys, to be tested by ``bit_of``."""
-    words = keys.select(bit_of(key).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect()  # FILTER_BITS / 64 rows at most
-    table = np.zeros(FILTER_BITS // 64, np.int64)
+def filter_of(keys: DataFrame, key: str) -> tuple[Broadcast, int]:
+    """A table of bits of the keys, to be tested by ``bit_of``, and how many bits it has."""
+    bits = min(FILTER_BITS, max(1 << 16, 1 << (8 * keys.count()).bit_length()))
+    words = keys.select(bit_of(key, bits).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).collect()  # FILTER_BITS / 64 rows at most
+    table = np.zeros(bits // 64, np.int64)
     for r in words:
         table[r.word] = r.bits
-    return keys.sparkSession.sparkContext.broadcast(table)
+    return keys.sparkSession.sparkContext.broadcast(table), bits
 
 
 def possibly(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     """``rows`` whose key is wanted, and by chance a few more: spares a join's shuffle most of what it would drop."""
-    sent, names = filter_of(wanted, key), rows.columns
+    (sent, n), names = filter_of(wanted, key), rows.columns
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = batch.column(0).to_numpy()
             yield batch.filter(pa.array((sent.value[bits >> 6] >> (bits & 63) & 1).astype(bool))).select(names)
 
-    return rows.select(bit_of(key).alias("bit_"), *rows.columns).mapInArrow(keep, rows.schema)
+    return rows.select(bit_of(key, n).alias("bit_"), *rows.columns).mapInArrow(keep, rows.schema)
 
 
 def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
@@ -278,24 +317,26 @@ def merged(labels: DataFrame, more: DataFrame) -> DataFrame:
 
 
 class Join:
-    """One run of the join over a table of documents."""
+    """One run of the join over a table of documents. ``row`` may tell rows of one id apart."""
 
-    def __init__(self, docs: DataFrame, size: int, threshold: Threshold, second: int, key: str, text: str):
+    def __init__(self, docs: DataFrame, size: int, threshold: Threshold, second: int, key: str, text: str, row: Column | None = None):
         self.docs, self.size, self.threshold, self.key, self.text = docs, size, threshold, key, text
-        self.table = stage_table(set_table(docs, size, key, text), "sets")
-        self.nodes = stage_table(self.table.filter("sid is not null").groupBy("sid").agg(F.min("n").alias("n"), F.min("doc_id").alias("doc_id"), F.first("cells").alias("cells")), "nodes")
-        self.found = stage_table(bucket_rows(signature_rows(docs, size, threshold, second, text)), "candidates")
+        self.table = stage_table(set_table(docs, size, key, text, row), "sets")
+        named = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", *(["row"] if row is not None else []))  # nulls come last
+        self.nodes = stage_table(self.table.filter("sid is not null").groupBy("sid").agg(F.min("n").alias("n"), F.min(named).alias("first"), F.first("cells").alias("cells")), "nodes")
+        self.hot = hot_signatures(docs, size, threshold, second, text)
+        self.found = stage_table(bucket_rows(signature_rows(docs, size, threshold, second, text), self.hot), "candidates")
 
     def verified(self, pairs: DataFrame) -> DataFrame:
         """The linked pairs among distinct pairs (a, b) of set ids."""
         known = possibly(self.nodes, "sid", pairs.select(F.explode(F.array("a", "b")).alias("sid")))
-        one = lambda x: known.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}"), F.col("doc_id").alias(f"doc_{x}"))
+        one = lambda x: known.select(F.col("sid").alias(x), F.col("n").alias(f"n_{x}"), F.col("cells").alias(f"cells_{x}"))
         t = self.threshold
-        differ = F.aggregate(F.zip_with("cells_a", "cells_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
         near = pairs.join(one("a"), "a").join(one("b"), "b")
-        near = near.filter((t.num * F.greatest("n_a", "n_b") <= t.den * F.least("n_a", "n_b")) & (t.den - t.num != 0) & (differ * (t.den + t.num) <= (t.den - t.num) * (F.col("n_a") + F.col("n_b"))))
-        near = stage_table(near.select("a", "b", "doc_a", "doc_b"), "near")
-        sets = self.sets(near.select(F.explode(F.array("doc_a", "doc_b")).alias("doc_id")))
+        near = near.filter((t.num * F.greatest("n_a", "n_b") <= t.den * F.least("n_a", "n_b")) & (t.den - t.num != 0))
+        near = near.filter(differing_cells(F.col("cells_a"), F.col("cells_b")) * (t.den + t.num) <= (t.den - t.num) * (F.col("n_a") + F.col("n_b")))
+        near = stage_table(near.select("a", "b"), "near")
+        sets = self.sets(near.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
 
         @F.pandas_udf("boolean")
         def linked(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -311,27 +352,33 @@ class Join:
         drop_table(near)
         return made
 
-    def sets(self, doc_ids: DataFrame) -> DataFrame:
-        """(sid, own): the full sets, at least those of the given documents."""
-        sent, size = filter_of(doc_ids, "doc_id"), self.size
+    def sets(self, sids: DataFrame) -> DataFrame:
+        """(sid, own): the full sets, at least those of the given ids, made from the texts of one document each."""
+        size, key = self.size, self.key
+        ids = self.nodes.join(sids, "sid").select(F.col("first.doc_id").alias("id_"))
+        rows = self.docs.select(F.col(key).alias("id_"), F.col(self.text).alias("t_"))
+        if sids.count() <= FEW_IDS:
+            chosen = rows.join(F.broadcast(ids.distinct()), rows.id_.eqNullSafe(ids.id_), "left_semi").select(F.lit(0).cast("bigint").alias("bit"), "t_")
+            sent = None
+        else:
+            sent, n = filter_of(ids, "id_")
+            chosen = rows.select(bit_of("id_", n).alias("bit"), "t_")
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                bits = batch.column(0).to_numpy()
-                wanted = np.flatnonzero(sent.value[bits >> 6] >> (bits & 63) & 1)
-                own = [shingles(t, size) for t in batch.column(1).take(pa.array(wanted)).to_pylist()]
-                own = [x for x in own if len(x)]
+                bits, texts = batch.column(0).to_numpy(), batch.column(1)
+                if sent is not None:
+                    texts = texts.take(pa.array(np.flatnonzero(sent.value[bits >> 6] >> (bits & 63) & 1)))
+                own = [x for x in (shingles(t, size) for t in texts.to_pylist()) if len(x)]
                 if own:
                     yield pa.record_batch({"sid": pa.array([set_id(x) for x in own], pa.int64()), "own": pa.array([x.tobytes() for x in own], pa.binary())})
 
-        rows = self.docs.select(F.col(self.key).alias("doc_id"), F.col(self.text).alias("t")).select(bit_of("doc_id").alias("bit"), "t")
-        return rows.mapInArrow(emit, "sid bigint, own binary").dropDuplicates(["sid"])
+        return chosen.mapInArrow(emit, "sid bigint, own binary").dropDuplicates(["sid"])
 
     def across(self, groups: DataFrame) -> DataFrame:
-        """Pairs (a, b) of sets that share a group but no component, and whose sizes and sketches allow a link."""
+        """Pairs (a, b) of sets that share a group but no component, and whose sizes and sketches allow a link. ``groups`` says how many sets are in each."""
         t = self.threshold
-        sizes = groups.groupBy("sig").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        rows = groups.select("sig", "sid", "label").join(sizes, "sig").join(self.nodes.select("sid", "n", "cells"), "sid")
+        rows = groups.select("sig", "sid", "label", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")).join(self.nodes.select("sid", "n", "cells"), "sid")
         own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
         rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         rows = rows.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sid", "label", "n", "cells")
@@ -355,15 +402,27 @@ class Join:
             one = pa.Table.from_batches(parts)
             inside = one["low"][0] == one["high"][0]
             own, sid, label, n = (one[c].to_numpy() for c in ("own", "sid", "label", "n"))
-            cells = np.concatenate([c.flatten().to_numpy() for c in one["cells"].chunks]).view(np.uint64).reshape(len(sid), -1)
-            for i in range(len(sid)):
-                j = np.arange(i + 1, len(sid))
-                fits = (label[j] != label[i]) & (t.num * np.maximum(n[j], n[i]) <= t.den * np.minimum(n[j], n[i]))
-                j = j[fits if inside else fits & (own[j] != own[i])]
-                differ = np.bitwise_count(cells[j] ^ cells[i]).sum(axis=1, dtype=np.int64)
-                j = j[differ * (t.den + t.num) <= (t.den - t.num) * (n[j] + n[i])]
-                if len(j):
-                    yield pa.record_batch({"a": np.minimum(sid[j], sid[i]), "b": np.maximum(sid[j], sid[i])})
+            cells = [np.asarray(c.values.to_numpy()[s:e]).view(np.uint64) for chunk in one["cells"].chunks for c in [chunk] for s, e in zip(chunk.offsets.to_pylist(), chunk.offsets.to_pylist()[1:], strict=False)]
+            width = np.array([len(c) for c in cells])
+            by_width = {w: np.flatnonzero(width == w) for w in np.unique(width).tolist()}
+            tables = {w: np.stack([cells[i] for i in at]) for w, at in by_width.items()}
+            for w, at in by_width.items():
+                for more, theirs in ((w, tables[w]), (2 * w, tables[2 * w][:, :w] ^ tables[2 * w][:, w:] if 2 * w in tables else None)):
+                    if theirs is None:
+                        continue
+                    for k, i in enumerate(at.tolist()):
+                        low = k + 1 if more == w else 0
+                        j, cut = by_width[more][low:], theirs[low:]
+                        fits = (label[j] != label[i]) & (t.num * np.maximum(n[j], n[i]) <= t.den * np.minimum(n[j], n[i]))
+                        if not inside:
+                            fits &= own[j] != own[i]
+                        j, cut = j[fits], cut[fits]
+                        if not len(j):
+                            continue
+                        differ = np.bitwise_count(cut ^ tables[w][k]).sum(axis=1, dtype=np.int64)
+                        j = j[differ * (t.den + t.num) <= (t.den - t.num) * (n[j] + n[i])]
+                        if len(j):
+                            yield pa.record_batch({"a": np.minimum(sid[j], sid[i]), "b": np.maximum(sid[j], sid[i])})
 
         return rows.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(compare, "a bigint, b bigint")
 
@@ -371,40 +430,56 @@ class Join:
         """The components: (node, label) of every set but its component's least."""
         links = self.verified(self.found.filter("b is not null").select("a", "b").distinct())
         groups = self.found.filter("b is null").select("sig", F.col("a").alias("sid"))
-        labels = components(links)
+        labels, hot = components(links), F.col("sig").isin(self.hot) if self.hot else F.lit(False)
         for turn in range(PIVOTS + 1):
             named = groups.join(labels, F.col("sid") == F.col("node"), "left").select("sig", "sid", F.coalesce("label", "sid").alias("label"))
-            spread = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("sid", F.xxhash64("sid", F.lit(turn))).alias("pivot"), F.min_by("label", F.xxhash64("sid", F.lit(turn))).alias("of")).filter("low < high")
-            open_groups = stage_table(named.join(spread, "sig"), "groups")
+            drawn = F.xxhash64("sid", F.lit(turn))
+            spread = named.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("sid", drawn).alias("pivot"), F.min_by("label", drawn).alias("of"), F.count("*").alias("members")).filter("low < high")
+            spread = stage_table(spread, "spread")
+            still = named.filter(~hot).join(spread, "sig")
+            if self.hot:
+                still = still.unionByName(named.filter(hot).join(F.broadcast(spread.filter(hot)), "sig"))  # HOT_SHARE rows at most
+            open_groups = stage_table(still, "groups")
+            drop_table(spread)
             if open_groups.isEmpty():
                 break
             if turn < PIVOTS:
                 pairs = open_groups.filter("label <> of").select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b"))
             else:
                 pairs = self.across(open_groups)
-            more = self.verified(pairs.distinct())
-            groups = stage_table(open_groups.select("sig", "sid"), "groups")
-            drop_table(open_groups)
+            more = self.verified(stage_table(pairs.distinct(), "pairs"))
+            groups = open_groups.select("sig", "sid")
             if not more.isEmpty():
                 labels = merged(labels, more)
         return labels
 
+    def members(self) -> DataFrame:
+        """(sid, first, least): of every set its own first row and its component's."""
+        named = self.nodes.select("sid", "first").join(self.labels(), F.col("sid") == F.col("node"), "left").select("sid", "first", F.coalesce("label", "sid").alias("label"))
+        least = named.groupBy("label").agg(F.min("first").alias("least"))
+        return named.join(least, "label").select("sid", "first", "least")
+
     def report(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) of every row."""
-        named = self.nodes.select("sid", "doc_id").join(self.labels(), F.col("sid") == F.col("node"), "left").select("sid", "doc_id", F.coalesce("label", "sid").alias("label"))
-        least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-        member = named.select("sid", "label").join(least, "label").select("sid", "component_id")
+        member = self.members().select("sid", F.col("least.doc_id").alias("component_id"))
         return self.table.join(member, "sid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("sid").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, threshold: Threshold = Threshold(80), second: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
+def jaccard_components(docs: DataFrame, size: int = 5, threshold: Threshold = Threshold(80), second: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row its id, the size of its set, and the least id of its component (null only where all ids of the component are)."""
     return Join(docs, size, threshold, second, key, text).report()
 
 
-def drop_near_copies(docs: DataFrame, size: int = 5, threshold: Threshold = Threshold(80), second: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with one document, that of the least id, of each component. Ids name documents: of rows that share one, one stays. Rows with a null id all stay."""
-    found = jaccard_components(docs, size, threshold, second, key, text)
-    kept = found.filter("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, docs[key] == kept.doc_id, "left_semi").dropDuplicates([key])
-    return named.unionByName(docs.filter(F.col(key).isNull()))
+def drop_near_copies(docs: DataFrame, size: int = 5, threshold: Threshold = Threshold(80), second: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the least id, and of rows with this id that of the least hash.
+
+    Rows are told apart by all their values, not by the id, so a text is only left out for another row that holds its
+    like. Of fully equal rows one stays. Rows without a word are like no other and all stay.
+    """
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    row, twin = F.xxhash64(*map(quoted, plain)), F.xxhash64(F.lit(1), *map(quoted, plain))
+    kept = Join(docs, size, threshold, second, key, text, F.struct(row.alias("r"), twin.alias("t"))).members().filter(F.col("first") == F.col("least")).select("first.row.*")
+    r, t = unused(docs, "r"), unused(docs, "t")
+    marked = docs.withColumns({r: row, t: twin})
+    chosen = marked.join(kept.toDF(r, t), [r, t], "left_semi").dropDuplicates([r, t]).select(*map(quoted, docs.columns))
+    return chosen.unionByName(docs.filter(~whole(text).rlike(r"[^\x20\x09-\x0D]")))

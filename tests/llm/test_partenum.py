@@ -4,6 +4,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from ledgerloom.llm import partenum
 from ledgerloom.llm.components import components
@@ -59,7 +60,9 @@ def test_linked_sets_share_a_signature(num, second):
         a, b = np.unique(a), np.unique(b)
         if t.linked(len(np.intersect1d(a, b)), len(a), len(b)) and not np.array_equal(a, b):
             assert np.intersect1d(signatures(a, t, second), signatures(b, t, second)).size, (len(a), len(b))
-            differ = sum(int(x).bit_count() for x in (partenum.sketch(a) ^ partenum.sketch(b)).view(np.uint64))
+            short, long = sorted((partenum.sketch(a), partenum.sketch(b)), key=len)
+            long = long if len(long) == len(short) else long[: len(short)] ^ long[len(short) :]
+            differ = sum(int(x).bit_count() for x in (short ^ long).view(np.uint64))
             assert differ <= t.differing(len(a) + len(b))
 
 
@@ -86,6 +89,38 @@ def test_blocks_across_components(spark, monkeypatch, pivots, block):
     assert got == brute(rows, 3, 90)
 
 
+def test_hot_signatures(spark, monkeypatch):
+    for name, value in {"HOT_LEAST": 12, "HOT_RATE": 1, "SALTS": 3, "FEW": 4, "FEW_IDS": 0}.items():
+        monkeypatch.setattr(partenum, name, value)
+    words, rng, rows = [f"w{i}" for i in range(60)], random.Random(5), []
+    for i in range(80):
+        w = [f"v{i % 9}_{k}" for k in range(40)] if i % 2 else list(words)
+        for at in rng.sample(range(len(w)), rng.randint(0, 3)):
+            w[at] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert partenum.hot_signatures(docs, 3, Threshold(80), 3, "text")
+    assert sorted(tuple(r) for r in jaccard_components(docs, 3, Threshold(80), 3).collect()) == brute(rows, 3, 80)
+
+
+def test_sketches_of_two_lengths(spark):
+    rng = np.random.default_rng(3)
+    whole = rng.integers(0, 1 << 63, 1100).astype(np.uint64)
+    a, b = np.unique(whole[:1000]), np.unique(whole[50:])
+    assert len(partenum.sketch(b)) == 2 * len(partenum.sketch(a))
+    one = spark.createDataFrame([(partenum.sketch(a).tolist(), partenum.sketch(b).tolist())], "a array<bigint>, b array<bigint>")
+    got = one.select(partenum.differing_cells(one.a, one.b), partenum.differing_cells(one.b, one.a)).first()
+    assert got[0] == got[1] and 100 < got[0] <= 150
+
+
+def test_one_id_two_texts(spark):
+    rows = [(7, "a b c d e f g", "x"), (7, "h i j k l m n", "x"), (7, "h i j k l m n", "x"), (8, "A b c d e f g", "x"), (9, "", "x"), (9, "", "x"), (None, "A B c d e f g", "y"), (None, None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, `r` string").withColumns({n: F.lit(1) for n in ("t", "row", "sid", "bit", "id_", "t_", "a.b")})
+    kept = drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(7, "a b c d e f g"), (7, "h i j k l m n"), (9, ""), (9, ""), (None, None)], key=str)
+
+
 def test_components_of_a_path(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 101)]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}

@@ -11,13 +11,14 @@ that number. It leaves out those of the fewest shingles (ties by hash), the empt
 sets that have nothing in common. What is left out depends on a signature's content alone, so the best of
 the agreeing signatures is kept by both sets.
 
-Candidates sharing a signature pass an exact bound (parities of hash cells, at least two a shingle, differ in
+Candidates sharing a signature pass an exact bound (parities of hash cells, at least one a shingle, differ in
 at most as many cells as the sets in shingles) and are then verified on the full sets. Copies share a set and
 are one node.
 A signature shared by up to FEW sets gives all its pairs. In a larger group every set is compared with a
-pivot, links are joined into components, and groups that still span several components are compared with
-further pivots. What is left after PIVOTS rounds is compared across components by the exact bound inside
-tasks, block by block of BLOCK sets, and only pairs that pass it leave the task. So groups of near copies
+pivot, links are joined into components, and groups of more than FAR sets that still span several components
+are compared with further pivots. Small groups, and what is left after PIVOTS rounds, are compared across
+components by the exact bound inside tasks, block by block of BLOCK sets, and only pairs that pass it leave
+the task. So groups of near copies
 cost one comparison a member, and no link between components goes unseen. Signatures that a sample of the
 sets shows to be very frequent are dealt over SALTS tasks; their groups are joined by the pivots. The sample
 decides where rows go, never which links are found.
@@ -51,8 +52,8 @@ SPARE = (0.4, 0.1)
 LEAST_CELLS = 256
 #: Sets of a signature that are all paired.
 FEW = 8
-#: Pivots tried in groups that span several components, before blocks are compared across them.
-PIVOTS = 3
+#: Pivots tried in groups of more than FAR sets that span several components, before blocks are compared across them.
+PIVOTS, FAR = 3, 512
 #: Sets of a group, about, that one task compares with as many others at a time.
 BLOCK = 2048
 #: Hashes of words, and set ids already emitted, that a worker keeps.
@@ -172,7 +173,7 @@ def set_id(hashes: np.ndarray) -> int:
 
 def sketch(hashes: np.ndarray) -> np.ndarray:
     """Parities of the cells, as 64-bit words. The cells are a power of two; the upper half folds onto the lower, so sketches of two lengths compare."""
-    cells = max(LEAST_CELLS, 1 << (2 * len(hashes) - 1).bit_length())
+    cells = max(LEAST_CELLS, 1 << (len(hashes) - 1).bit_length())
     odd = np.bincount((mix(hashes ^ TWO) & np.uint64(cells - 1)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
 
@@ -443,14 +444,18 @@ class Join:
             drop_table(spread)
             if open_groups.isEmpty():
                 break
-            if turn < PIVOTS:
-                pairs = open_groups.filter("label <> of").select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b"))
+            large = F.col("members") > FAR
+            last = turn == PIVOTS or open_groups.filter(large).isEmpty()
+            if not last:
+                pairs = open_groups.filter(large).filter("label <> of").select(F.least("pivot", "sid").alias("a"), F.greatest("pivot", "sid").alias("b"))
             else:
                 pairs = self.across(open_groups)
             more = self.verified(stage_table(pairs.distinct(), "pairs"))
             groups = open_groups.select("sig", "sid")
             if not more.isEmpty():
                 labels = merged(labels, more)
+            if last:
+                break
         return labels
 
     def members(self) -> DataFrame:

@@ -6,7 +6,9 @@ needs the fewest bits, phrases times the cost of a pointer into its sample, wins
 whole, in every learned language.
 
 A text that is null or has no letter is ``und`` with score 0, as is every text where nothing was learned.
-Ties go to the language first in alphabetical order. Null languages are not learned. Repeated rows stay.
+Ties go to the language first in alphabetical order. Null languages are not learned. Repeated rows stay, and
+count once in a sample. Very long texts are parsed whole; a sample takes the beginning of one. An empty table
+gives an empty one. Only key, text and language are read, so other columns can't clash.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ UNDETERMINED = "und"
 SAMPLE_CHARS, SAMPLE_DOCS = 40_000, 120
 #: Code points of all samples together: with more than 32 languages, each gets an equal share of them.
 ALL_CHARS = 32 * SAMPLE_CHARS
+#: More languages than this are an error, as each needs a sample of some length.
+MOST_LANGUAGES = 4096
 
 
 def suffix_automaton(text: str) -> dict:
@@ -105,12 +109,16 @@ def plain(text: str) -> str:
 
 def learn(docs: DataFrame, rows: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Languages:
     """Samples from the rows for which the condition on the key holds."""
-    known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).alias("l")).filter(F.col("l").isNotNull() & F.col("t").isNotNull() & rows)
-    n = known.select("l").distinct().count()
+    known = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).filter(F.col("l").isNotNull() & F.col("t").isNotNull() & rows)
+    place = F.dense_rank().over(Window.partitionBy("l").orderBy("h"))
+    drawn = known.select("l", F.xxhash64("k", "t").alias("h")).withColumn("place", place).filter(F.col("place") <= SAMPLE_DOCS)
+    drawn = stage_table(drawn.select("l", "h").distinct(), "drawn")  # MOST_LANGUAGES and SAMPLE_DOCS bound it
+    n = drawn.select("l").distinct().count()
+    if n > MOST_LANGUAGES:
+        raise ValueError(f"{n} languages; at most {MOST_LANGUAGES} can be told apart")
     letters = max(1, min(SAMPLE_CHARS, ALL_CHARS // max(1, n)))
-    place = F.row_number().over(Window.partitionBy("l").orderBy("h", "k"))
-    drawn = known.select("l", "k", F.xxhash64("k").alias("h")).withColumn("place", place).filter(F.col("place") <= SAMPLE_DOCS).select(F.col("l").alias("own"), F.col("k").alias("key")).distinct()
-    chosen = known.join(F.broadcast(drawn), (F.col("l") == F.col("own")) & F.col("k").eqNullSafe(F.col("key"))).select("l", F.substring("t", 1, letters).alias("t"))
+    hashed = known.select("l", F.xxhash64("k", "t").alias("h"), F.substring("t", 1, letters).alias("t"))
+    chosen = hashed.join(F.broadcast(drawn), ["l", "h"]).groupBy("l", "h").agg(F.min("t").alias("t")).select("l", "t")
     samples = {}
     ordered = stage_table(chosen, "samples").orderBy("l", F.xxhash64("t"))
     for name, rows_ in itertools.groupby(ordered.toLocalIterator(), lambda r: r.l):  # one language at a time

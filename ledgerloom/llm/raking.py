@@ -11,7 +11,10 @@ only a dimension that MOST_LEVELS names folds those beyond its heaviest. A table
 is raked on the driver, a larger one by aggregates in Spark, with the same steps and the same results.
 
 Null sources and languages are levels of their own. Texts without a word weigh one token, so that they
-can be sampled too. Repeated rows count as often and are decided alike.
+can be sampled too. Very long texts count whole. Repeated rows count as often and are decided alike, as are
+ties. An empty table gives an empty one. ``sample`` keeps all columns as they are, whatever their names.
+
+A level that MOST_LEVELS folds away can't have a target of its own: asking for one is an error.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import drop_table, stage_table, whole
+from ledgerloom.llm.common import drop_table, quoted, stage_table, unused, whole
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Levels of a dimension that are raked on their own, where the others are to be folded. None are by default.
@@ -120,6 +123,13 @@ def levels(found: DataFrame) -> tuple[DataFrame, dict[str, list[str] | None]]:
     return found, kept
 
 
+def refuse_folded(mix: Mix, kept: dict[str, list[str] | None]) -> None:
+    """An error if a target names a level that has been folded away."""
+    for d, asked in mix.targets.items():
+        if kept.get(d) is not None and (lost := sorted(set(asked) - set(kept[d]) - {OTHER})):
+            raise ValueError(f"{d}: no level of its own for {lost[:5]}; raise MOST_LEVELS")
+
+
 CELL = "source string, lang string, topic string, probability double"
 
 
@@ -190,7 +200,8 @@ def uniform(key: Column | str) -> Column:
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """(doc_id, source, lang, topic, tokens, probability, kept) of every row."""
-    found, _ = levels(stage_table(described(docs), "cells"))
+    found, kept = levels(stage_table(described(docs), "cells"))
+    refuse_folded(mix, kept)
     table = cell_probabilities(found, mix)
     return found.join(table, list(DIMENSIONS)).select("doc_id", *DIMENSIONS, "tokens", F.round("probability", 9).alias("probability")).withColumn("kept", uniform("doc_id") < F.col("probability"))
 
@@ -198,8 +209,11 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 def sample(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The rows of ``docs`` that the mix keeps, with their own columns."""
     found, kept = levels(stage_table(described(docs), "cells"))
-    table = cell_probabilities(found, mix).toDF("s_", "l_", "t_", "p_")
-    words = n_words(whole("text"))
+    refuse_folded(mix, kept)
+    names = {d: unused(docs, d) for d in (*DIMENSIONS, "words", "chance")}
+    table = cell_probabilities(found, mix).toDF(*(names[d] for d in (*DIMENSIONS, "chance")))
     level = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(MISSING))
-    rows = docs.withColumns({"s_": fold(level("source"), kept["source"]), "l_": fold(level("lang"), kept["lang"]), "t_": fold(topic_of(whole("text"), words), kept["topic"])})
-    return rows.join(table, ["s_", "l_", "t_"]).filter(uniform("doc_id") < F.round("p_", 9)).select(docs.columns)
+    rows = docs.withColumn(names["words"], n_words(whole("text")))
+    rows = rows.withColumns({names["source"]: fold(level("source"), kept["source"]), names["lang"]: fold(level("lang"), kept["lang"]), names["topic"]: fold(topic_of(whole("text"), F.col(names["words"])), kept["topic"])})
+    joined = rows.join(table, [names[d] for d in DIMENSIONS])
+    return joined.filter(uniform("doc_id") < F.round(names["chance"], 9)).select(*map(quoted, docs.columns))

@@ -7,7 +7,9 @@ texts one by one with a rate for each coordinate; the L1 term keeps the weights
 the tasks is a few thousand (slot, weight) pairs. Scoring reads every whole text once, without a shuffle.
 
 Null and empty texts have no feature and score as the bias alone. Null labels are left out; without any
-label every score is the prior's 0.5. Repeated rows stay and score alike.
+label every score is the prior's 0.5. Repeated rows stay and score alike; of training rows with one id the
+least text is learned. Very long texts are scored whole. Ties of the sample go by hash and id. An empty table
+gives an empty one. Only id and text are read; results don't clash with other columns.
 """
 
 from __future__ import annotations
@@ -19,15 +21,17 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import id_remainder, whole, worker_store
+from ledgerloom.llm.common import id_remainder, stage_table, whole, worker_store
 
 BITS = 22
 WORD = re.compile(r"[^\W\d_]+")
 #: The training sample: at most so many texts of each label, those with the smallest hash of their id.
 MOST_TOXIC, MOST_CLEAN = 4_000, 6_000
+#: Characters of the training texts of each label: texts are taken in that order as long as they fit.
+MOST_CHARS = 8_000_000
 STEM = 5
 LEAST_TEXTS = 3
 #: Hashes of words that a worker keeps.
@@ -125,7 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, text: str = "text",
     def features(texts: pd.Series) -> pd.Series:
         return pd.Series([np.unique(slots(t)).astype("<i4").tobytes() for t in texts], dtype=object)
 
-    found = docs.select(key, text).join(F.broadcast(chosen), key).select("y", features(whole(text)).alias("f")).collect()  # bounded by MOST_TOXIC and MOST_CLEAN
+    own = docs.select(F.col(key), F.col(text).alias("t")).join(F.broadcast(chosen), key).groupBy(key, "y").agg(F.min(whole("t")).alias("t"))
+    own = stage_table(own.withColumn("at", F.row_number().over(Window.partitionBy("y").orderBy(order, key))), "labelled")  # MOST_TOXIC and MOST_CLEAN rows
+    upto = Window.partitionBy("y").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    fitting = own.withColumn("sum", F.sum(F.length("t")).over(upto)).filter(F.col("sum") <= MOST_CHARS)
+    found = fitting.select("y", features("t").alias("f")).collect()  # MOST_CHARS bounds them
     if not found:
         return Weights(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
     y = np.array([r.y for r in found])

@@ -1,8 +1,10 @@
 import random
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
+from ledgerloom.llm import langid
 from ledgerloom.llm.langid import ALL_CHARS, Languages, language_report, learn, phrases, suffix_automaton
 
 
@@ -49,3 +51,13 @@ def test_every_label_is_learned(spark):
     assert set(found.samples) == {f"l{i}" for i in range(40)} | {"no id"}
     assert all(found.predict(text)[0] == lang for _, text, lang in rows if lang)
     assert all(len(x) <= ALL_CHARS // 41 for x in found.samples.values())
+
+
+def test_repeated_rows_are_one_sample(spark, monkeypatch):
+    rows = [(7, "the cat sat", "en")] * 3000 + [(8, "a dog ran off", "en"), (9, "le chat dort", "fr")]
+    docs = spark.createDataFrame(rows, "k bigint, text string, lang string").withColumns({n: F.lit(1) for n in ("l", "h", "t", "place")})
+    found = learn(docs, F.lit(True), key="k")
+    assert sorted(found.samples["en"].split("\n")[:2]) == ["a dog ran off", "the cat sat"] and len(found.samples["en"]) < 40
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
+    with pytest.raises(ValueError, match="languages"):
+        learn(docs, F.lit(True), key="k")

@@ -1,6 +1,8 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
+import pytest
 
 from ledgerloom.llm import raking
 from ledgerloom.llm.raking import Mix, described, fit, mixed, probabilities, sample
@@ -76,3 +78,20 @@ def test_every_source_keeps_its_level(spark, monkeypatch):
             m.setattr(raking, "MOST_CELLS", 100_000)
             by_driver = {r.doc_id: r.probability for r in mixed(docs, mix).collect()}
         assert by_table.keys() == by_driver.keys() and all(abs(p - by_driver[i]) < 1e-6 for i, p in by_table.items())
+
+
+def test_names_do_not_clash(spark):
+    rows = [(i, "one two three", "en" if i % 3 else None, "a" if i % 2 else "b") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
+    names = ("s_", "l_", "t_", "p_", "topic", "words", "chance", "probability", "tokens", "kept", "a.b")
+    wide = docs.withColumns({n: F.concat(F.lit(n), F.col("doc_id").cast("string")) for n in names})
+    got = sample(wide, Mix(share=0.5)).collect()
+    assert got and got[0].__fields__ == wide.columns and all(r[n] == f"{n}{r.doc_id}" for r in got for n in names)
+    assert {r.doc_id for r in got} == {r.doc_id for r in sample(docs, Mix(share=0.5)).collect()}
+
+
+def test_a_folded_target_is_an_error(spark, monkeypatch):
+    monkeypatch.setitem(raking.MOST_LEVELS, "source", 1)
+    docs = spark.createDataFrame([(1, "one", "en", "a"), (2, "two two", "en", "b")], "doc_id bigint, text string, lang string, source string")
+    with pytest.raises(ValueError, match="MOST_LEVELS"):
+        sample(docs, Mix({"source": {"a": 1.0}}))

@@ -57,3 +57,13 @@ def test_edges(spark):
     none = toxicity.train(docs, labels.limit(0), id_remainder("doc_id", 5) != 0)
     assert none.bias == 0 and toxicity.drop_toxic(docs, none).columns == docs.columns
     assert toxicity.toxicity_report(docs.filter(F.lit(False)), labels).count() == 0
+
+
+def test_the_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_CHARS", 100)
+    learned = []
+    monkeypatch.setattr(toxicity, "ftrl", lambda samples, y, weight: learned.extend(y) or toxicity.Weights(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0))
+    docs = spark.createDataFrame([(1, "bad word")] * 3000 + [(i, "good " * 8) for i in range(2, 40)], "doc_id bigint, text string").withColumns({n: F.lit(1) for n in ("y", "t", "at", "sum")})
+    labels = spark.createDataFrame([(1, 1), *((i, 0) for i in range(2, 40))], "doc_id bigint, toxic int")
+    toxicity.train(docs, labels, F.lit(True))
+    assert sorted(learned) == [0, 0, 1]

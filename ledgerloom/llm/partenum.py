@@ -65,6 +65,8 @@ FEW_IDS = 50_000
 #: A signature is hot if at least HOT_LEAST sets, and one in HOT_SHARE of all rows, seem to have it; one set in HOT_RATE is looked at. So at most HOT_SHARE are.
 HOT_LEAST, HOT_SHARE, HOT_RATE = 2000, 4096, 64
 SALTS = 32
+#: Signatures or shingles that a task holds before it sends them.
+SENT_ROWS = 1 << 16
 
 ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -191,12 +193,12 @@ def set_table(docs: DataFrame, size: int, key: str, text: str, row: Column | Non
 
     @F.pandas_udf("n bigint, sid bigint, cells array<bigint>")
     def describe(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t, size) for t in texts]
-        return pd.DataFrame({
-            "n": [len(x) for x in sets],
-            "sid": pd.array([set_id(x) if len(x) else None for x in sets], dtype="Int64"),
-            "cells": pd.Series([sketch(x) if len(x) else None for x in sets], dtype=object),
-        })
+        rows = []
+        for t in texts:  # one set at a time
+            own = shingles(t, size)
+            rows.append((len(own), set_id(own) if len(own) else None, sketch(own) if len(own) else None))
+        n, sid, cells = zip(*rows, strict=True) if rows else ((), (), ())
+        return pd.DataFrame({"n": n, "sid": pd.array(sid, dtype="Int64"), "cells": pd.Series(cells, dtype=object)})
 
     more = [] if row is None else [row.alias("row")]
     return docs.select(F.col(key).alias("doc_id"), *more, describe(whole(text)).alias("s")).select("doc_id", *(["row"] if more else []), "s.*")
@@ -207,10 +209,10 @@ def signature_rows(docs: DataFrame, size: int, threshold: Threshold, second: int
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        sigs, sids, held = [], [], 0
         for batch in batches:
-            sigs, sids = [], []
-            for t in batch.column(0).to_pylist():
-                own = shingles(t, size)
+            for t in batch.column(0):
+                own = shingles(t.as_py(), size)
                 if not len(own) or (sid := set_id(own)) in seen:
                     continue
                 if len(seen) >= KEPT_SETS:
@@ -218,8 +220,12 @@ def signature_rows(docs: DataFrame, size: int, threshold: Threshold, second: int
                 seen.add(sid)
                 sigs.append(signatures(own, threshold, second))
                 sids.append(np.full(len(sigs[-1]), sid, np.int64))
-            if sigs:
-                yield pa.record_batch({"sig": np.concatenate(sigs).view(np.int64), "sid": np.concatenate(sids)})
+                held += len(sigs[-1])
+                if held >= SENT_ROWS:
+                    yield pa.record_batch({"sig": np.concatenate(sigs).view(np.int64), "sid": np.concatenate(sids)})
+                    sigs, sids, held = [], [], 0
+        if sigs:
+            yield pa.record_batch({"sig": np.concatenate(sigs).view(np.int64), "sid": np.concatenate(sids)})
 
     return docs.select(text).mapInArrow(emit, "sig bigint, sid bigint")
 
@@ -370,9 +376,20 @@ class Join:
                 bits, texts = batch.column(0).to_numpy(), batch.column(1)
                 if sent is not None:
                     texts = texts.take(pa.array(np.flatnonzero(sent.value[bits >> 6] >> (bits & 63) & 1)))
-                own = [x for x in (shingles(t, size) for t in texts.to_pylist()) if len(x)]
+                own, held = [], 0
+                for t in texts:
+                    one = shingles(t.as_py(), size)
+                    if len(one):
+                        own.append((set_id(one), one.tobytes()))
+                        held += len(one)
+                    if own and held >= SENT_ROWS:
+                        yield batch_of(own)
+                        own, held = [], 0
                 if own:
-                    yield pa.record_batch({"sid": pa.array([set_id(x) for x in own], pa.int64()), "own": pa.array([x.tobytes() for x in own], pa.binary())})
+                    yield batch_of(own)
+
+        def batch_of(own: list[tuple[int, bytes]]) -> pa.RecordBatch:
+            return pa.record_batch({"sid": pa.array([i for i, _ in own], pa.int64()), "own": pa.array([x for _, x in own], pa.binary())})
 
         return chosen.mapInArrow(emit, "sid bigint, own binary").dropDuplicates(["sid"])
 

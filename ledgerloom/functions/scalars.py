@@ -20,7 +20,7 @@ def retryable(status: Column) -> Column:
     return status.isin(*RETRYABLE_STATUSES) | (status >= 500)
 
 
-def scope_rank(session: Column, project: Column, workspace: Column) -> Column:
-    """4 for a session, 3 for a project, 2 for a workspace, else 1; blanks don't count."""
+def scope_rank(status: Column, session: Column, project: Column, workspace: Column, asked: Column) -> Column:
+    """4 for a session's own node of the asked session, 3 for a project, 2 for a workspace, else 1; a session on any other node doesn't count."""
     filled = lambda c: F.coalesce(c, F.lit("")) != ""
-    return F.when(filled(session), 4).when(filled(project), 3).when(filled(workspace), 2).otherwise(1)
+    return F.when((status == "active_session") & session.eqNullSafe(asked), 4).when(filled(project), 3).when(filled(workspace), 2).otherwise(1)

@@ -20,7 +20,7 @@ SECRETS = (
     (rf"{BOUNDARY}sk-[A-Za-z0-9_-]{{20,}}{BOUNDARY}", "[REDACTED_OPENAI_KEY]"),
     (rf"{BOUNDARY}gh[pousr]_[A-Za-z0-9_]{{20,}}{BOUNDARY}", "[REDACTED_GITHUB_TOKEN]"),
     (rf"(?i){BOUNDARY}Bearer[{SPACES}]+[A-Za-z0-9._~+/=-]{{20,}}{BOUNDARY}", "Bearer [REDACTED_TOKEN]"),
-    (rf"{BOUNDARY}[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{BOUNDARY}", "[REDACTED_EMAIL]"),
+    (rf"{BOUNDARY}[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{{2,}}{BOUNDARY}", "[REDACTED_EMAIL]"),
 )
 PATHS = ((rf"/Users/[^/{SPACES}]+", "/Users/[REDACTED_USER]"), (rf"/home/[^/{SPACES}]+", "/home/[REDACTED_USER]"))
 
@@ -105,11 +105,10 @@ def first_filled(*texts: Column) -> Column:
 
 def number(text: Column) -> Column:
     """A finite number from its text, else null. Suffixes and words for numbers are no numbers; hexadecimal is."""
-    t = trimmed(text)
-    plain = F.when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.try_cast("double"))
-    hexed = F.when(t.rlike(r"^0[xX][0-9a-fA-F]{1,12}$"), F.conv(F.substring(t, 3, 12), 16, 10).try_cast("double"))
+    plain = F.regexp_extract(text, rf"^[{SPACES}]*([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)[{SPACES}]*$", 1).try_cast("double")
+    hexed = F.conv(F.nullif(F.regexp_extract(text, rf"^[{SPACES}]*0[xX]([0-9a-fA-F]{{1,12}})[{SPACES}]*$", 1), F.lit("")), 16, 10).try_cast("double")
     found = F.coalesce(plain, hexed)
-    return F.when(~F.isnan(found) & (F.abs(found) < float("inf")), found)
+    return F.when(F.abs(found) < float("inf"), found)
 
 
 def cut(text: Column, units: int) -> Column:

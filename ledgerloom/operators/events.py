@@ -63,7 +63,14 @@ def route(session: Column, environment: Column, payload: Column, config: Column,
     return F.coalesce(first_filled(session), environment, first_filled(payload), first_filled(config), F.lit(default))
 
 
+# An event's usage, and what else is uploaded beside it.
+USAGE = ("model", "input_tokens", "output_tokens", "cached_tokens", "total_tokens", "cost_usd", "tools", "turns")
+BESIDE_USAGE = ("harness", "user_id", "status", "repo", "branch")
+
+
 def usage_row(events: DataFrame) -> DataFrame:
-    """What is uploaded of an event's usage: its title redacted and cut, no count of requests."""
+    """What is uploaded of an event's usage, if it has any: its title redacted and cut, the count of requests left out."""
     title = cut(redact(F.col("title")), USAGE_TITLE)
-    return events.filter("total_tokens is not null or model is not null").select("event_id", "session_id", "model", "input_tokens", "output_tokens", "total_tokens", "cost_usd", title.alias("title"))
+    there = [c for c in USAGE if c in events.columns]
+    known = F.coalesce(*(F.col(c).cast("string") for c in (*there, *(["requests"] if "requests" in events.columns else [])))).isNotNull()
+    return events.filter(known).select("event_id", "session_id", *(c for c in BESIDE_USAGE if c in events.columns), *there, title.alias("title"))

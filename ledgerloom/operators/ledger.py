@@ -27,25 +27,29 @@ def retired_ids(patches: DataFrame) -> DataFrame:
 
 def candidates(nodes: DataFrame, patches: DataFrame, session_id: Column | str | None = None) -> DataFrame:
     """Active nodes and this session's own that no patch has retired."""
-    own = F.lit(False)
+    own, asked = F.lit(False), _asked(session_id)
     if session_id is not None:
-        asked = F.lit(session_id) if isinstance(session_id, str) else session_id
         own = (F.col("status") == "active_session") & (asked != "") & F.coalesce(F.col("scope.session") == asked, F.lit(False))
     live = nodes.filter((F.col("status") == "active") | own)
     return live.join(retired_ids(patches), "id", "left_anti")
 
 
-def _rank() -> Column:
-    return scope_rank(F.col("scope.session"), F.col("scope.project"), F.col("scope.workspace"))
+def _asked(session_id: Column | str | None) -> Column:
+    return session_id if isinstance(session_id, Column) else F.lit(session_id).cast("string")
 
 
-def scope_precedence(live: DataFrame) -> DataFrame:
+def rank(session_id: Column | str | None = None) -> Column:
+    """A node's rank in the view of a session."""
+    return scope_rank(F.col("status"), F.col("scope.session"), F.col("scope.project"), F.col("scope.workspace"), _asked(session_id))
+
+
+def scope_precedence(live: DataFrame, session_id: Column | str | None = None) -> DataFrame:
     """One node for each key: the highest rank, then the latest ``updated_at`` as text, then the first by ``ord``; nodes without a key all stay.
 
     Nodes without a key are no group: they bypass the ranking.
     """
     keyed, free = live.filter("key <> ''"), live.filter("coalesce(key, '') = ''")
-    best = Window.partitionBy("key").orderBy(_rank().desc(), F.coalesce("updated_at", F.lit("")).desc(), "ord")
+    best = Window.partitionBy("key").orderBy(rank(session_id).desc(), F.coalesce("updated_at", F.lit("")).desc(), "ord")
     return free.unionByName(keyed.withColumn("rn_", F.row_number().over(best)).filter("rn_ = 1").drop("rn_"))
 
 
@@ -53,7 +57,7 @@ def effective_view(nodes: DataFrame, patches: DataFrame, session_id: Column | st
     """The nodes in force. ``nodes`` has id, key, status, updated_at, scope and ord, the order of loading."""
     if guard:
         guard_operations(patches)
-    return scope_precedence(candidates(nodes, patches, session_id))
+    return scope_precedence(candidates(nodes, patches, session_id), session_id)
 
 
 def effective_order(nodes: DataFrame, patches: DataFrame, session_id: Column | str | None = None, guard: bool = True) -> DataFrame:
@@ -62,25 +66,32 @@ def effective_order(nodes: DataFrame, patches: DataFrame, session_id: Column | s
         guard_operations(patches)
     live = candidates(nodes, patches, session_id)
     seen = live.filter("key <> ''").groupBy(F.col("key").alias("key_")).agg(F.min("ord").alias("first_"))
-    return scope_precedence(live).join(seen, F.col("key") == F.col("key_"), "left").withColumn("place", F.struct(F.col("key_").isNotNull().alias("keyed"), F.coalesce("first_", "ord").alias("at"))).drop("key_", "first_")
+    return scope_precedence(live, session_id).join(seen, F.col("key") == F.col("key_"), "left").withColumn("place", F.struct(F.col("key_").isNotNull().alias("keyed"), F.coalesce("first_", "ord").alias("at"))).drop("key_", "first_")
 
 
-def source_labels(view: DataFrame, group: str = "ledger") -> DataFrame:
-    """(ledger, labels): distinct source labels, the first seen first."""
-    one = view.filter(F.coalesce("label", F.lit("")) != "").groupBy(group, "label").agg(F.min("ord").alias("at"))
+def source_labels(view: DataFrame, group: str = "ledger", order: str = "place") -> DataFrame:
+    """(ledger, labels): distinct source labels, the first of the view's order first."""
+    one = view.filter(F.coalesce("label", F.lit("")) != "").groupBy(group, "label").agg(F.min(order).alias("at"))
     return one.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "label"))), lambda x: x["label"]).alias("labels"))
 
 
-def summary(view: DataFrame, group: str = "ledger", nodes: int = 5, chars: int = 480) -> DataFrame:
-    """(ledger, summary): the first nodes' contents, trimmed, blank ones left out, joined and cut."""
-    top = view.withColumn("n_", F.row_number().over(Window.partitionBy(group).orderBy("ord"))).filter(F.col("n_") <= nodes)
-    parts = F.transform(F.array_sort(F.collect_list(F.struct("ord", F.coalesce("content", F.lit("")).alias("content")))), lambda x: F.trim(x["content"]))
+def summary(view: DataFrame, group: str = "ledger", nodes: int = 5, chars: int = 480, order: str = "place") -> DataFrame:
+    """(ledger, summary): the contents of the view's first nodes, trimmed, blank ones left out, joined and cut."""
+    top = view.withColumn("n_", F.row_number().over(Window.partitionBy(group).orderBy(order))).filter(F.col("n_") <= nodes)
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("n_", F.coalesce("content", F.lit("")).alias("content")))), lambda x: F.trim(x["content"]))
     text = F.array_join(F.filter(parts, lambda x: x != ""), " / ")
     return top.groupBy(group).agg(text.alias("t_")).select(group, F.when(F.length("t_") > chars, F.concat(F.substring("t_", 1, chars - 1), F.lit("…"))).otherwise(F.col("t_")).alias("summary"))
 
 
-def container_envelope(view: DataFrame, patches: DataFrame, group: str = "ledger") -> DataFrame:
-    """One row a ledger: its effective nodes' ids in order, all its patches' ids, labels, summary and counts."""
-    ids = view.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id"))), lambda x: x["id"]).alias("node_ids"), F.count("*").alias("n_nodes"))
-    own = patches.groupBy(group).agg(F.array_sort(F.collect_list("id")).alias("patch_ids"), F.count("*").alias("n_patches"))
-    return ids.join(own, group, "left").join(source_labels(view, group), group, "left").join(summary(view, group), group, "left")
+def container_envelope(view: DataFrame, patches: DataFrame, group: str = "ledger", order: str = "place") -> DataFrame:
+    """One row a ledger: its effective nodes' ids in the view's order, all its patches' ids as loaded (``ord``), labels, summary and counts."""
+    in_order = lambda by, c: F.transform(F.array_sort(F.collect_list(F.struct(F.col(by).alias("at"), F.col(c).alias("id")))), lambda x: x["id"])
+    ids = view.groupBy(group).agg(in_order(order, "id").alias("node_ids"), F.count("*").alias("n_nodes"))
+    own = patches.groupBy(group).agg(in_order("ord", "id").alias("patch_ids"), F.count("*").alias("n_patches"))
+    return ids.join(own, group, "left").join(source_labels(view, group, order), group, "left").join(summary(view, group, order=order), group, "left")
+
+
+def with_container(envelopes: DataFrame, containers: DataFrame, checksum: Column, overrides: dict[str, Column] | None = None, group: str = "ledger") -> DataFrame:
+    """Envelopes with their container's verbatim text and its recorded checksum; overrides come last."""
+    kept = containers.select(group, F.col("content").alias("container_text"), checksum.alias("container_checksum"))
+    return envelopes.join(kept, group, "left").withColumns(overrides or {})

@@ -96,7 +96,13 @@ def hit_title(metadata: dict[str, Column], hit_id: Column) -> Column:
 
 def hit_url(url: Column, source_url: Column, bucket: Column, hit_id: Column, scheme: str = "memory") -> Column:
     """The hit's own address (``url`` even when blank hides ``source_url``), else one made of bucket and id."""
-    coded = lambda c: F.replace(F.url_encode(c), F.lit("+"), F.lit("%20"))
+
+    def coded(c: Column) -> Column:
+        out = F.url_encode(c)
+        for said, plain in (("+", "%20"), ("%21", "!"), ("%27", "'"), ("%28", "("), ("%29", ")"), ("%7E", "~")):  # what a URI's part leaves as it is
+            out = F.replace(out, F.lit(said), F.lit(plain))
+        return out
+
     made = F.concat(F.lit(f"{scheme}://bucket/"), coded(bucket), F.lit("/chunks/"), coded(hit_id))
     return F.coalesce(trimmed(F.coalesce(url, source_url)), made)
 

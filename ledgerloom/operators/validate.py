@@ -1,4 +1,4 @@
-"""Rules for the records of a ledger. Each function gives (id, problem) rows; nothing else is checked."""
+"""Rules for the records of a ledger. Each function gives (id, rule, problem) rows, and ``ord`` where the records have it; nothing else is checked."""
 
 from __future__ import annotations
 
@@ -12,7 +12,8 @@ from ledgerloom import vocab
 
 def _problems(kind: str, rows: DataFrame, rules: Sequence[tuple[Column, Column | str]]) -> DataFrame:
     said = F.array(*(F.when(F.coalesce(broken, F.lit(False)), F.concat(F.lit(f"{kind} "), F.coalesce("id", F.lit("undefined")), F.lit(": "), F.lit(text) if isinstance(text, str) else text)) for broken, text in rules))
-    return rows.select("id", F.explode(F.filter(said, lambda x: x.isNotNull())).alias("problem"))
+    own = ["id", "ord"] if "ord" in rows.columns else ["id"]
+    return rows.select(*own, F.posexplode(said).alias("rule", "problem")).filter("problem is not null")
 
 
 def _missing(fields: Sequence[str]) -> list[tuple[Column, str]]:
@@ -72,5 +73,6 @@ def dangling(references: DataFrame, known: DataFrame, reference: str = "ref", ke
 
 
 def problem_text(problems: DataFrame, group: str) -> DataFrame:
-    """(group, problems): all problems of a group, in order, as one text."""
-    return problems.groupBy(group).agg(F.array_join(F.array_sort(F.collect_list("problem")), "; ").alias("problems"), F.count("*").alias("n_problems"))
+    """(group, problems): all problems of a group as one text, in the order of records and rules."""
+    one = F.collect_list(F.struct("ord", "rule", "problem"))
+    return problems.groupBy(group).agg(F.array_join(F.transform(F.array_sort(one), lambda x: x["problem"]), "; ").alias("problems"), F.count("*").alias("n_problems"))

@@ -17,11 +17,12 @@ def transcript(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JSON lines made of conversations: assistants' turns carry usage; some lines are broken or blank."""
     c = table(spark, sf_dir, "conversations")
     n = F.length("text")
-    said = F.to_json(F.struct(F.struct(
-        F.when(F.col("turn") % 3 != 0, F.concat(F.lit("m"), F.col("turn").cast("string"))).otherwise(" ").alias("model"),
-        F.array(F.struct(F.lit("tool_use").alias("type"), F.concat(F.lit("t"), (n % 4).cast("string")).alias("name")), F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("name"))).alias("content"),
-        F.when(F.col("role") == "assistant", F.struct(n.cast("bigint").alias("input_tokens"), (n % 7).cast("bigint").alias("cache_creation_input_tokens"), (n % 5).cast("bigint").alias("cache_read_input_tokens"), F.when(n % 2 == 0, n.cast("bigint")).alias("output_tokens"))).alias("usage"),
-    ).alias("message")))
+    name = F.concat(F.when(n % 2 == 0, " ").otherwise(""), F.lit("t"), (n % 4).cast("string"))
+    model = F.when(F.col("turn") % 3 != 0, F.concat(F.lit("m"), F.col("turn").cast("string"))).otherwise(" ").alias("model")
+    content = F.array(F.struct(F.lit("tool_use").alias("type"), name.alias("name")), F.struct(F.lit("text").alias("type"), F.lit(None).cast("string").alias("name"))).alias("content")
+    usage_of = lambda kind: F.struct(n.cast(kind).alias("input_tokens"), (n % 7).cast("bigint").alias("cache_creation_input_tokens"), (n % 5).cast(kind).alias("cache_read_input_tokens"), F.when(n % 2 == 0, n.cast("double")).alias("output_tokens"))
+    line_of = lambda kind: F.to_json(F.struct(F.struct(model, content, F.when(F.col("role") == "assistant", usage_of(kind)).alias("usage")).alias("message")))
+    said = F.when(n % 3 == 0, line_of("string")).otherwise(line_of("bigint"))
     line = F.when(F.col("turn") % 11 == 10, "{broken").when(F.col("turn") % 11 == 9, " ").otherwise(said)
     return transcript_lines(c.select(F.col("conv_id").alias("session"), F.col("turn").alias("ord"), line.alias("value")))
 
@@ -43,22 +44,34 @@ def tool_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""WITH p AS (SELECT event_id, ['a' || (event_id % 3), 'b', 'a' || (user_id % 3), ''] AS names FROM events), u AS (SELECT event_id, unnest(names) AS name, generate_subscripts(names, 1) AS pos FROM p),
 c AS (SELECT event_id, name, count(*) AS n, min(pos) AS seen FROM u WHERE name <> '' GROUP BY ALL) SELECT event_id, string_agg(name || ':' || n, ',' ORDER BY seen) AS tools FROM c GROUP BY event_id""")
 def payload_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    names = F.array(F.concat(F.lit("a"), (F.col("event_id") % 3).cast("string")), F.lit("b"), F.concat(F.lit("a"), (F.col("user_id") % 3).cast("string")), F.lit(""))
-    found = activity.payload_tools(e.select("event_id", names.alias("names")), "event_id")
+    """Names and objects with a name; blanks around a name don't count."""
+    k, u = (F.col("event_id") % 3).cast("string"), (F.col("user_id") % 3).cast("string")
+    text = F.concat(F.lit('{"tools_used":["a'), k, F.lit('",{"name":" b "},"  a'), u, F.lit('"," ",{"x":1},7]}'))
+    rows = table(spark, sf_dir, "events").select("event_id", activity.payload_tool_names(F.parse_json(text)).alias("names"))
+    found = activity.payload_tools(rows, "event_id")
     return found.select("event_id", F.array_join(F.transform("tools", lambda t: F.concat_ws(":", t["name"], t["count"].cast("string"))), ",").alias("tools"))
 
 
 def _payload() -> object:
     k, u = F.col("event_id").cast("string"), F.col("user_id").cast("string")
-    return F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('{"model":" m ","usage":{},"tokens":{"input":5}}'))).when(F.col("event_id") % 3 == 1, F.concat(F.lit('{"usage":7,"token_usage":{"prompt_tokens":" '), k, F.lit(' ","completion_tokens":'), u, F.lit(',"cost":0.5}}'))).otherwise(F.concat(F.lit('{"usage":{"input_tokens":"12f","output_tokens":'), u, F.lit(',"total_tokens":99,"model":"x"}}')))
-
-
-@query("""SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'm' WHEN 2 THEN 'x' END AS model, CASE WHEN event_id % 3 = 1 THEN event_id END AS input_tokens, CASE WHEN event_id % 3 > 0 THEN user_id END AS output_tokens,
-CASE event_id % 3 WHEN 1 THEN event_id + user_id WHEN 2 THEN 99 END AS total_tokens, CASE WHEN event_id % 3 = 1 THEN 0.5 END AS cost_usd FROM events""")
+    kinds = (
+        F.lit('{"model":" m ","usage":{},"tokenUsage":{"input_tokens":5},"total_cost_usd":"2.5"}'),
+        F.concat(F.lit('{"usage":7,"token_usage":{"prompt_tokens":" '), k, F.lit(' ","completion_tokens":'), u, F.lit(',"cost_usd":0.5,"requests":3}}')),
+        F.concat(F.lit('{"usage":{"input_tokens":"12f","output_tokens":'), u, F.lit(',"total_tokens":99,"model":"x","cached_input_tokens":4},"num_requests":2}')),
+        F.concat(F.lit('{"usage":[1],"tokenUsage":{"inputTokens":5,"outputTokens":7.0,"cacheReadInputTokens":"0x10"},"cost_usd":true,"message":{"model":"n"}}')),
+        F.concat(F.lit('{"message":{"usage":{"input_tokens":'), k, F.lit(',"cache_read_input_tokens":1,"tokens":9}}}')),
+        F.lit("no json"),
+    )
+    return F.element_at(F.array(*kinds), (F.col("event_id") % 6 + 1).cast("int"))
+
+
+@query("""SELECT event_id, CASE event_id % 6 WHEN 0 THEN 'm' WHEN 2 THEN 'x' WHEN 3 THEN 'n' END AS model, CASE event_id % 6 WHEN 1 THEN event_id WHEN 3 THEN 5 WHEN 4 THEN event_id END AS input_tokens,
+CASE event_id % 6 WHEN 1 THEN user_id WHEN 2 THEN user_id WHEN 3 THEN 7 END AS output_tokens, CASE event_id % 6 WHEN 1 THEN event_id + user_id WHEN 2 THEN user_id WHEN 3 THEN 12 WHEN 4 THEN event_id END AS total_tokens,
+CASE event_id % 6 WHEN 2 THEN 4 WHEN 3 THEN 16 WHEN 4 THEN 1 END AS cached_tokens, CASE event_id % 6 WHEN 0 THEN 2.5::DOUBLE WHEN 1 THEN 0.5::DOUBLE END AS cost_usd, CASE event_id % 6 WHEN 1 THEN 3 WHEN 2 THEN 2 END AS requests FROM events""")
 def payload_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first object wins even when empty, fields by any of their names."""
-    return table(spark, sf_dir, "events").select("event_id", activity.payload_usage(_payload()).alias("u")).select("event_id", "u.model", "u.input_tokens", "u.output_tokens", "u.total_tokens", "u.cost_usd")
+    """The first object wins even when empty, fields by any of their names, the total always recomputed."""
+    rows = table(spark, sf_dir, "events").select("event_id", _payload().alias("payload"))
+    return activity.payload_usage(rows, "event_id").select("event_id", "model", "input_tokens", "output_tokens", "total_tokens", F.col("cached_tokens").cast("int").alias("cached_tokens"), "cost_usd", F.col("requests").cast("int").alias("requests"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 3 <> 1 OR event_id % 2 = 0 THEN 'hook_payload' WHEN user_id % 2 = 0 THEN 'transcript' ELSE 'none' END AS source FROM events")

@@ -12,7 +12,7 @@ MAGIC, VERSION = "LOOM", "0.1"
 
 
 def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(path, content). By nation: every 5th has an unknown section, of 3 modulo 7 one wrong count, of 4 a broken line, of 5 a forbidden key, of 6 other content than hashed."""
+    """(path, content). By nation: every 5th has an unknown section, of 3 modulo 7 one wrong count, of 4 a broken line, of 5 a forbidden key, of 6 other content than hashed, of 2 no time in the header, of 1 a null there."""
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"))
     line = lambda prefix, key: F.concat(F.lit('{"id":"' + prefix), F.col(key).cast("string"), F.lit('"}'))
     ordered = lambda key, text: F.transform(F.array_sort(F.collect_list(F.struct(F.col(key).alias("a"), text.alias("t")))), lambda x: x["t"])
@@ -24,6 +24,7 @@ def containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     more = F.concat(more, F.when(F.col("k") % 7 == 4, F.array(F.lit("{oops"))).when(F.col("k") % 7 == 5, F.array(F.lit('{"deep":{"API_KEY":1}}'))).otherwise(none))
     text = container.write_text(F.coalesce("nodes", none), F.coalesce("patches", none), MAGIC, VERSION, "2024-01-01T00:00:00Z", more)
     text = F.when(F.col("k") % 7 == 3, F.regexp_replace(text, r'"counts":\{"nodes":', '"counts":{"nodes":1')).when(F.col("k") % 7 == 6, F.replace(text, F.lit("mem_"), F.lit("mem_0"))).otherwise(text)
+    text = F.when(F.col("k") % 7 == 2, F.regexp_replace(text, ',"generated_at":"[^"]*"', "")).when(F.col("k") % 7 == 1, F.replace(text, F.lit('"format_id":"ledger/1"'), F.lit('"format_id":null'))).otherwise(text)
     return one.select(F.concat(F.lit("nation-"), F.col("k").cast("string")).alias("path"), text.alias("content"))
 
 
@@ -74,7 +75,7 @@ def count_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return container.count_mismatches(containers(spark, sf_dir))
 
 
-@query("SELECT 'nation-' || n_nationkey AS path, CASE n_nationkey % 7 WHEN 3 THEN 'count mismatch' WHEN 4 THEN 'invalid record JSON' WHEN 5 THEN CASE WHEN n_nationkey % 5 = 0 THEN 'forbidden key' ELSE 'count mismatch' END WHEN 6 THEN 'checksum mismatch' END AS problem FROM nation")
+@query("SELECT 'nation-' || n_nationkey AS path, CASE n_nationkey % 7 WHEN 2 THEN 'missing header key generated_at' WHEN 3 THEN 'count mismatch' WHEN 4 THEN 'invalid record JSON' WHEN 5 THEN CASE WHEN n_nationkey % 5 = 0 THEN 'forbidden key' ELSE 'count mismatch' END WHEN 6 THEN 'checksum mismatch' END AS problem FROM nation")
 def container_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first problem of each container."""
     return container.verify(containers(spark, sf_dir), MAGIC, VERSION)

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.scalars import scope_rank
 from ledgerloom.operators import ledger, validate
 from ledgerloom.plans.registry import query, table
 
@@ -17,7 +16,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders")
     active = F.when(F.col("o_orderstatus") == "P", "active_session").otherwise("active")
     lead = F.substring("o_orderpriority", 1, 1)
-    session = F.when(F.col("o_orderstatus") == "P", F.pmod("o_orderkey", F.lit(5)).cast("string"))
+    session = F.when((F.col("o_orderstatus") == "P") | (F.col("o_orderkey") % 4 == 1), F.pmod("o_orderkey", F.lit(5)).cast("string"))
     return o.select(
         F.col("o_orderkey").cast("string").alias("id"),
         F.when(F.pmod("o_orderkey", F.lit(7)) != 0, F.col("o_custkey").cast("string")).alias("key"),
@@ -38,19 +37,21 @@ def patches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat_ws("-", F.lit("patch"), F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")).alias("id"),
         F.element_at(names, F.col("l_linenumber")).alias("operation"),
         F.array(F.col("l_orderkey").cast("string")).alias("target_ids"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ord"),
     )
 
 
 NODES = """
 n AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(o_custkey AS VARCHAR) END AS key,
   CASE WHEN o_orderstatus = 'P' THEN 'active_session' ELSE 'active' END AS status, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS updated_at,
-  CASE WHEN o_orderstatus = 'P' THEN CAST(o_orderkey % 5 AS VARCHAR) END AS session,
-  CASE WHEN o_orderstatus = 'P' THEN 4 WHEN o_orderpriority[1] IN ('1', '2') THEN 3 WHEN o_orderpriority[1] = '3' THEN 2 ELSE 1 END AS rank,
+  CASE WHEN o_orderstatus = 'P' OR o_orderkey % 4 = 1 THEN CAST(o_orderkey % 5 AS VARCHAR) END AS session,
+  CASE WHEN o_orderstatus = 'P' AND o_orderkey % 5 = 2 THEN 4 WHEN o_orderpriority[1] IN ('1', '2') THEN 3 WHEN o_orderpriority[1] = '3' THEN 2 ELSE 1 END AS rank,
   o_orderkey AS ord, ' order ' || o_orderkey || ' ' || o_orderpriority AS content, o_orderpriority AS label, CAST(o_custkey % 50 AS VARCHAR) AS ledger FROM orders),
 live AS (SELECT * FROM n WHERE (status = 'active' OR (status = 'active_session' AND session = '2'))
   AND NOT EXISTS (SELECT 1 FROM lineitem l WHERE l_returnflag = 'R' AND l_linenumber IN (1, 2, 5, 7) AND l.l_orderkey = n.ord)),
-view_ AS (SELECT * FROM live WHERE key IS NULL UNION ALL
-  SELECT * FROM live WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY rank DESC, updated_at DESC, ord) = 1)
+placed AS (SELECT *, CASE WHEN key IS NULL THEN ord ELSE min(ord) OVER (PARTITION BY key) END AS slot FROM live),
+view_ AS (SELECT * FROM placed WHERE key IS NULL UNION ALL
+  SELECT * FROM placed WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY rank DESC, updated_at DESC, ord) = 1)
 """
 
 
@@ -58,7 +59,7 @@ view_ AS (SELECT * FROM live WHERE key IS NULL UNION ALL
 def effective_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anti-join of retired nodes, then the argmax of scope for each key."""
     view = ledger.effective_view(nodes(spark, sf_dir), patches(spark, sf_dir), SESSION)
-    return view.select("id", "key", "status", scope_rank(F.col("scope.session"), F.col("scope.project"), F.col("scope.workspace")).alias("rank"), "updated_at")
+    return view.select("id", "key", "status", ledger.rank(SESSION).alias("rank"), "updated_at")
 
 
 @query(f"WITH {NODES}, f AS (SELECT key, min(ord) AS at FROM live WHERE key IS NOT NULL GROUP BY key) SELECT id, view_.key IS NOT NULL AS keyed, coalesce(f.at, ord) AS place FROM view_ LEFT JOIN f USING (key)")
@@ -70,42 +71,42 @@ def effective_view_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {NODES}, r AS (SELECT * FROM n WHERE key IS NULL UNION ALL SELECT * FROM n WHERE key IS NOT NULL QUALIFY row_number() OVER (PARTITION BY key ORDER BY rank DESC, updated_at DESC, ord) = 1) SELECT id, key, rank FROM r")
 def scope_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The argmax alone, over all nodes."""
-    one = ledger.scope_precedence(nodes(spark, sf_dir))
-    return one.select("id", "key", scope_rank(F.col("scope.session"), F.col("scope.project"), F.col("scope.workspace")).alias("rank"))
+    one = ledger.scope_precedence(nodes(spark, sf_dir), SESSION)
+    return one.select("id", "key", ledger.rank(SESSION).alias("rank"))
 
 
 @query(f"WITH {NODES} SELECT rank, count(*) AS n FROM n GROUP BY rank")
 def scope_rank_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir).select(scope_rank(F.col("scope.session"), F.col("scope.project"), F.col("scope.workspace")).alias("rank"))
+    n = nodes(spark, sf_dir).select(ledger.rank(SESSION).alias("rank"))
     return n.groupBy("rank").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {NODES}, l AS (SELECT ledger, label, min(ord) AS seen FROM view_ GROUP BY ALL) SELECT ledger, string_agg(label, '|' ORDER BY seen) AS labels FROM l GROUP BY ledger")
+@query(f"WITH {NODES}, l AS (SELECT ledger, label, min((key IS NOT NULL, slot)) AS seen FROM view_ GROUP BY ALL) SELECT ledger, string_agg(label, '|' ORDER BY seen) AS labels FROM l GROUP BY ledger")
 def source_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct labels in order of first appearance."""
-    view = ledger.effective_view(nodes(spark, sf_dir), patches(spark, sf_dir), SESSION)
+    view = ledger.effective_order(nodes(spark, sf_dir), patches(spark, sf_dir), SESSION)
     return ledger.source_labels(view).select("ledger", F.array_join("labels", "|").alias("labels"))
 
 
-SUMMARY = f"""{NODES}, top AS (SELECT *, row_number() OVER (PARTITION BY ledger ORDER BY ord) AS k FROM view_),
-s AS (SELECT ledger, string_agg(trim(content), ' / ' ORDER BY ord) AS t FROM top WHERE k <= 5 GROUP BY ledger)"""
+SUMMARY = f"""{NODES}, top AS (SELECT *, row_number() OVER (PARTITION BY ledger ORDER BY key IS NOT NULL, slot) AS k FROM view_),
+s AS (SELECT ledger, string_agg(trim(content), ' / ' ORDER BY k) AS t FROM top WHERE k <= 5 GROUP BY ledger)"""
 
 
 @query(f"WITH {SUMMARY} SELECT ledger, CASE WHEN length(t) > 100 THEN substr(t, 1, 99) || '…' ELSE t END AS summary FROM s")
 def summary_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first five nodes' contents, joined and cut."""
-    return ledger.summary(ledger.effective_view(nodes(spark, sf_dir), patches(spark, sf_dir), SESSION), chars=100)
+    return ledger.summary(ledger.effective_order(nodes(spark, sf_dir), patches(spark, sf_dir), SESSION), chars=100)
 
 
-@query(f"""WITH {SUMMARY}, i AS (SELECT ledger, md5(string_agg(id, ',' ORDER BY ord)) AS node_ids, count(*) AS n_nodes FROM view_ GROUP BY ledger),
-p AS (SELECT CAST(o_custkey % 50 AS VARCHAR) AS ledger, count(*) AS n_patches, md5(string_agg('patch-' || l_orderkey || '-' || l_linenumber, ',' ORDER BY 'patch-' || l_orderkey || '-' || l_linenumber)) AS patch_ids
+@query(f"""WITH {SUMMARY}, i AS (SELECT ledger, md5(string_agg(id, ',' ORDER BY key IS NOT NULL, slot)) AS node_ids, count(*) AS n_nodes FROM view_ GROUP BY ledger),
+p AS (SELECT CAST(o_custkey % 50 AS VARCHAR) AS ledger, count(*) AS n_patches, md5(string_agg('patch-' || l_orderkey || '-' || l_linenumber, ',' ORDER BY l_orderkey, l_linenumber)) AS patch_ids
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' GROUP BY ALL)
 SELECT ledger, node_ids, n_nodes, patch_ids, n_patches, CASE WHEN length(t) > 480 THEN substr(t, 1, 479) || '…' ELSE t END AS summary FROM i LEFT JOIN p USING (ledger) LEFT JOIN s USING (ledger)""")
 def container_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One envelope a ledger: effective ids in order, all patches, summary, counts."""
-    view = ledger.effective_view(nodes(spark, sf_dir), patches(spark, sf_dir), SESSION)
+    view = ledger.effective_order(nodes(spark, sf_dir), patches(spark, sf_dir), SESSION)
     owner = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("o"), F.pmod("o_custkey", F.lit(50)).cast("string").alias("ledger"))
-    own = patches(spark, sf_dir).join(owner, F.element_at("target_ids", 1) == F.col("o")).select("ledger", "id")
+    own = patches(spark, sf_dir).join(owner, F.element_at("target_ids", 1) == F.col("o")).select("ledger", "id", "ord")
     out = ledger.container_envelope(view, own)
     return out.select("ledger", F.md5(F.array_join("node_ids", ",")).alias("node_ids"), "n_nodes", F.md5(F.array_join("patch_ids", ",")).alias("patch_ids"), "n_patches", "summary")
 
@@ -153,14 +154,14 @@ def _present(fields: tuple[str, ...], absent: str, when) -> object:
 @query(f"WITH {NODE_RULES} SELECT id, 'node ' || id || ': ' || p AS problem FROM bad")
 def validate_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _records(spark, sf_dir).withColumn("present", _present(validate.vocab.NODE_FIELDS, "retrieval", F.col("k") % 19 == 0))
-    return validate.validate_nodes(rows, VERSION)
+    return validate.validate_nodes(rows, VERSION).select("id", "problem")
 
 
-@query(f"WITH {NODE_RULES}, t AS (SELECT k % 20 AS ledger, 'node ' || id || ': ' || p AS problem FROM bad) SELECT ledger, string_agg(problem, '; ' ORDER BY problem) AS problems, count(*) AS n_problems FROM t GROUP BY ledger")
+@query(f"WITH {NODE_RULES}, t AS (SELECT k % 20 AS ledger, k, list_position(['mi', 'sc', 'id', 'uk', 'us', 'co', 'lo'], CASE WHEN p LIKE 'unknown s%' THEN 'us' WHEN p LIKE 'unknown t%' THEN 'uk' ELSE p[1:2] END) AS rule, 'node ' || id || ': ' || p AS problem FROM bad) SELECT ledger, string_agg(problem, '; ' ORDER BY k, rule) AS problems, count(*) AS n_problems FROM t GROUP BY ledger")
 def validate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All problems of a ledger as one text."""
     rows = _records(spark, sf_dir).withColumn("present", _present(validate.vocab.NODE_FIELDS, "retrieval", F.col("k") % 19 == 0))
-    found = validate.validate_nodes(rows, VERSION).withColumn("ledger", F.regexp_extract("id", r"(\d+)$", 1).cast("bigint") % 20)
+    found = validate.validate_nodes(rows.withColumn("ord", F.col("k")), VERSION).withColumn("ledger", F.col("ord") % 20)
     return validate.problem_text(found, "ledger")
 
 
@@ -178,7 +179,7 @@ def validate_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("p_size") % 3 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit("mem_1"))).alias("target_ids"),
         F.when(F.col("p_size") % 2 != 0, F.col("p_name")).alias("new_content"), _present(validate.vocab.PATCH_FIELDS, "", F.lit(False)).alias("present"),
     )
-    return validate.validate_patches(rows, "patch/1")
+    return validate.validate_patches(rows, "patch/1").select("id", "problem")
 
 
 @query("""WITH e AS (SELECT *, CASE WHEN s_suppkey % 5 = 0 THEN 'e' ELSE 'edge_' END || s_suppkey AS id FROM supplier),
@@ -187,7 +188,7 @@ SELECT id, 'edge ' || id || ': ' || p AS problem FROM bad""")
 def validate_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("s_suppkey")
     rows = table(spark, sf_dir, "supplier").select(F.concat(F.when(k % 5 == 0, "e").otherwise("edge_"), k.cast("string")).alias("id"), F.lit("edge/1").alias("schema_version"), F.when(F.col("s_nationkey") % 2 == 0, "likes").otherwise("blocks").alias("type"), _present(validate.vocab.EDGE_FIELDS, "", F.lit(False)).alias("present"))
-    return validate.validate_edges(rows, "edge/1")
+    return validate.validate_edges(rows, "edge/1").select("id", "problem")
 
 
 @query("""WITH s AS (SELECT DISTINCT 's' || user_id AS id, user_id FROM events),
@@ -196,4 +197,4 @@ SELECT id, 'session ' || id || ': ' || p AS problem FROM bad""")
 def validate_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("user_id")
     rows = table(spark, sf_dir, "events").select("user_id").distinct().select(F.concat(F.lit("s"), u.cast("string")).alias("id"), F.lit("session/1").alias("schema_version"), F.when(u % 3 == 0, "lost").otherwise("ended").alias("status"), _present(validate.vocab.SESSION_FIELDS, "policy", u % 4 == 0).alias("present"))
-    return validate.validate_sessions(rows, "session/1")
+    return validate.validate_sessions(rows, "session/1").select("id", "problem")

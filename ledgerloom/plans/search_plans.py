@@ -35,10 +35,10 @@ def search_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_hits(hits(spark, sf_dir), search.MEMORY_TOP).select("id", "lang")
 
 
-@query(f"WITH {HITS} SELECT id, 'memory://bucket/' || source || '/chunks/' || id AS url, lang AS title FROM h WHERE doc_id % 3 = 0")
+@query(f"WITH {HITS} SELECT id, 'memory://bucket/' || source || '/chunks/' || id AS url, lang AS title FROM h")
 def search_compact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Id, title and address of each hit."""
-    one = hits(spark, sf_dir).filter("doc_id % 3 = 0")
+    one = hits(spark, sf_dir)
     none = F.lit(None).cast("string")
     return one.select("id", search.hit_url(none, none, F.col("source"), F.col("id")).alias("url"), search.hit_title({"title": none, "name": F.lit(" "), "source": F.col("lang")}, F.col("id")).alias("title"))
 
@@ -50,12 +50,12 @@ def hit_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", search.hit_title(names, F.col("doc_id").cast("string")).alias("title"))
 
 
-@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'http://a/' || doc_id WHEN 1 THEN 'http://s' ELSE 'memory://bucket/a%20b%2F' || lang || '/chunks/' || doc_id || '%2B' END AS url FROM documents")
+@query("SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'http://a/' || doc_id WHEN 1 THEN 'http://s' ELSE 'memory://bucket/a%20b%2F' || lang || '/chunks/' || doc_id || '%2B!''()~*' END AS url FROM documents")
 def hit_url(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hit's address, or one made of encoded parts; a blank one hides the source's."""
     k, text = F.col("doc_id") % 4, F.col("doc_id").cast("string")
     url = F.when(k == 0, F.concat(F.lit(" http://a/"), text)).when(k == 2, " ")
-    return table(spark, sf_dir, "documents").select("doc_id", search.hit_url(url, F.when(k.isin(1, 2), "http://s"), F.concat(F.lit("a b/"), "lang"), F.concat(text, F.lit("+"))).alias("url"))
+    return table(spark, sf_dir, "documents").select("doc_id", search.hit_url(url, F.when(k.isin(1, 2), "http://s"), F.concat(F.lit("a b/"), "lang"), F.concat(text, F.lit("+!'()~*"))).alias("url"))
 
 
 @query("""WITH r AS (SELECT doc_id AS response_id, lang AS context, unnest([1, 2, 3]) AS i FROM documents)

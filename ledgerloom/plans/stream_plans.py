@@ -3,21 +3,15 @@
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.registry import query
+from ledgerloom.session import shared_dir
 from ledgerloom.streaming import delivery, windows
 
 
-def _shared(spark: SparkSession) -> str:
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}/ledgerloom-streams"
-    return f"{root}/{uuid.uuid4().hex}"
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
     rows = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/{'events.parquet' if os.path.isdir(f'{sf_dir}/events.parquet') else 'events.parque[t]'}")
@@ -26,7 +20,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
     """Run a stream over all that is there; its rows as a table in the shared folder."""
-    spark, root = stream.sparkSession, _shared(stream.sparkSession)
+    spark, root = stream.sparkSession, shared_dir(stream.sparkSession)
     if mode == "append":
         done = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
         done.awaitTermination()

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -10,13 +13,30 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Let Python workers find the library where it lies."""
-    known = spark.sparkContext.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
+    """Let Python workers find the library: where it lies if they share this machine, else as a zip that Spark sends them."""
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        if not getattr(context, "_ledgerloom_sent", False):
+            folder = tempfile.mkdtemp(prefix="ledgerloom-")  # on the driver; Spark copies the file from here
+            context.addPyFile(shutil.make_archive(os.path.join(folder, "ledgerloom"), "zip", ROOT, "ledgerloom"))
+            context._ledgerloom_sent = True
+        return spark
+    known = context.environment.get("PYTHONPATH", os.environ.get("PYTHONPATH", ""))
     if ROOT not in known.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
+        context.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, known]))
     return spark
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """A new folder where driver and executors both write. Only a local master may do without ``spark.checkpoint.dir``."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = f"file://{tempfile.gettempdir()}/ledgerloom-streams"
+    return f"{root}/{uuid.uuid4().hex}"
+
+
 def session(master: str | None = None, **conf: str) -> SparkSession:
     """UTC, adaptive execution and zstd files; cluster settings come from the cluster."""
     builder = SparkSession.builder.appName("ledgerloom")

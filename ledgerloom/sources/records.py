@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TRANSCRIPT_LINE = "struct<message:struct<model:string,content:array<struct<type:string,name:string>>,usage:struct<input_tokens:bigint,cache_creation_input_tokens:bigint,output_tokens:bigint,cache_read_input_tokens:bigint>>>"
+TRANSCRIPT_LINE = "struct<message:struct<model:string,content:array<struct<type:string,name:string>>,usage:struct<input_tokens:string,cache_creation_input_tokens:string,output_tokens:string,cache_read_input_tokens:string>>>"
 
 
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:

@@ -16,7 +16,7 @@ def build(body, magic=MAGIC, version="0.1", **header):
         elif line.strip():
             counts[section] = counts.get(section, 0) + 1
     known = {k: v for k, v in counts.items() if k in ("nodes", "patches", "edges", "sessions")}
-    head = {"container": "ledger", "versions": {}, "sections": [{"name": k, "count": v} for k, v in known.items()], "counts": known, "content_sha256": hashlib.sha256(body.encode()).hexdigest()} | header
+    head = {"container": "ledger", "format_id": "ledger/1", "generated_at": "", "versions": {}, "sections": [{"name": k, "count": v} for k, v in known.items()], "counts": known, "content_sha256": hashlib.sha256(body.encode()).hexdigest()} | header
     return f"{magic}\t{version}\n{json.dumps(head)}\n{body}\n"
 
 
@@ -56,4 +56,4 @@ def test_queue_and_transcripts(spark, tmp_path):
     assert [r.name for r in records.read_queue(spark, str(tmp_path)).collect()] == ["a.json", "b.json"]
     (tmp_path / "t.jsonl").write_text('{"message":{"model":"m","usage":{"input_tokens":3}}}\n\n{bad\n[1]\n')
     rows = records.read_transcripts(spark, str(tmp_path / "t.jsonl")).collect()
-    assert len(rows) == 1 and rows[0].message.usage.input_tokens == 3
+    assert len(rows) == 1 and rows[0].message.usage.input_tokens == "3"

@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _load() -> None:
-    from ledgerloom.plans import activity_plans, container_plans, ledger_plans, outbox_plans, search_plans, stream_plans, text_plans  # noqa: F401
+    from ledgerloom.plans import activity_plans, container_plans, ledger_plans, outbox_plans, search_plans, stream_plans, text_plans, upload_plans  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -395,12 +395,24 @@ class Join:
     def across(self, groups: DataFrame) -> DataFrame:
         """Pairs (a, b) of sets that share a group but no component, and whose sizes and sketches allow a link. ``groups`` says how many sets are in each."""
         t = self.threshold
-        rows = groups.select("sig", "sid", "label", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")).join(self.nodes.select("sid", "n", "cells"), "sid")
+        rows = groups.select("sig", "pivot", "sid", "label", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks")).join(self.nodes.select("sid", "n", "cells"), "sid")
         own = F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int")
         rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        rows = rows.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sid", "label", "n", "cells")
+        rows = rows.select("sig", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "sid", "label", "n", "cells", "pivot")
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Groups of like members have the same pivot, meet in one task, and give a pair once."""
+            seen: set[tuple[int, int]] = set()
+            for pairs in compared(batches):
+                if len(seen) > KEPT_SETS:
+                    seen.clear()
+                new = [x for x in zip(*(c.to_pylist() for c in pairs.columns), strict=True) if x not in seen]
+                if new:
+                    seen.update(new)
+                    a, b = zip(*new, strict=True)
+                    yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held: list[pa.RecordBatch] = []
             for batch in batches:
                 keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1)
@@ -441,7 +453,7 @@ class Join:
                         if len(j):
                             yield pa.record_batch({"a": np.minimum(sid[j], sid[i]), "b": np.maximum(sid[j], sid[i])})
 
-        return rows.repartition("sig", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(compare, "a bigint, b bigint")
+        return rows.repartition("pivot", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(compare, "a bigint, b bigint")
 
     def labels(self) -> DataFrame:
         """The components: (node, label) of every set but its component's least."""

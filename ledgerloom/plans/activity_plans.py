@@ -9,7 +9,7 @@ from ledgerloom.operators import activity, usage
 from ledgerloom.operators import events as ev
 from ledgerloom.operators.outbox import revoked
 from ledgerloom.plans.registry import query, table
-from ledgerloom.sources.records import parse_payload, transcript_lines
+from ledgerloom.sources.records import config_of, parse_payload, transcript_lines
 from ledgerloom.sources.records import payload_keys as sorted_keys
 
 
@@ -88,6 +88,14 @@ def payload_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.try_element_at(F.json_object_keys(F.to_json(parse_payload(text))), F.lit(1)).alias("first_key"))
 
 
+@query("""SELECT event_id, CASE WHEN event_id % 4 < 2 THEN json_extract_string(props, '$.k') END AS setting FROM events""")
+def config_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A setting of configurations, some of them broken or missing."""
+    k = F.col("event_id") % 4
+    text = F.when(k < 2, F.col("props")).when(k == 2, F.concat(F.col("props"), F.lit("}")))
+    return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(config_of(text), "$.k", "string").alias("setting"))
+
+
 @query("""SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'a,b,z' ELSE 'k' END AS keys FROM events""")
 def payload_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("event_id") % 2 == 0, F.lit('{"z":1,"a":{"q":2},"b":[]}')).otherwise(F.col("props"))

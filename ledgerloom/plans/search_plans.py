@@ -189,9 +189,9 @@ def bucket_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("source").distinct()
 
 
-@query("SELECT source FROM documents WHERE lang = 'de' AND n_chars > 5000 INTERSECT SELECT source FROM documents WHERE lang = 'es' AND n_chars > 5000")
+@query("SELECT source FROM documents WHERE lang = 'de' INTERSECT SELECT source FROM documents WHERE lang = 'es'")
 def shared_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter("n_chars > 5000")
+    docs = table(spark, sf_dir, "documents")
     return docs.filter("lang = 'de'").select("source").intersect(docs.filter("lang = 'es'").select("source"))
 
 

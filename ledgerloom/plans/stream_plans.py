@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.plans.registry import query
+from ledgerloom.plans.registry import query, table
 from ledgerloom.session import shared_dir
 from ledgerloom.streaming import delivery, windows
 
@@ -40,6 +40,22 @@ def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _last(out, "start", "event_type").select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
+@query("""WITH p AS (SELECT time_bucket(INTERVAL 15 MINUTE, ts) - to_minutes(15 * k) AS start FROM events, range(4) AS r(k)) SELECT CAST(start AS TIMESTAMP) AS start, count(*) AS n FROM p GROUP BY ALL""")
+def window_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each hour that begins on a quarter, of a table."""
+    out = windows.sliding(table(spark, sf_dir, "events"), "1 hour", "15 minutes")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "n")
+
+
+@query("""WITH s AS (SELECT user_id, ts, event_id, coalesce(ts - lag(ts) OVER w > INTERVAL 30 MINUTE, true) AS opens FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+g AS (SELECT user_id, ts, sum(CAST(opens AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM s)
+SELECT user_id, CAST(min(ts) AS TIMESTAMP) AS start, CAST(max(ts) + INTERVAL 30 MINUTE AS TIMESTAMP) AS "end", count(*) AS n FROM g GROUP BY user_id, k""")
+def window_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's sessions, which end 30 minutes after their last event, of a table."""
+    out = windows.sessions(table(spark, sf_dir, "events"))
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
 @query("SELECT event_id FROM events")
 def stream_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event twice in, once out."""

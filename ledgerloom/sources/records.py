@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 TRANSCRIPT_LINE = "struct<message:struct<model:string,content:array<struct<type:string,name:string>>,usage:struct<input_tokens:string,cache_creation_input_tokens:string,output_tokens:string,cache_read_input_tokens:string>>>"
 
 
+def whole_json(text: Column) -> Column:
+    """JSON text as a variant; null if it is none, or if anything stands behind its first value, which Spark's parser doesn't read."""
+    held = F.try_parse_json(F.concat(F.lit('{"v":['), text, F.lit('],"whole":true}')))
+    alone = F.try_variant_get(held, "$.whole", "boolean") & F.try_variant_get(held, "$.v[1]", "variant").isNull()
+    return F.when(alone, F.try_variant_get(held, "$.v[0]", "variant"))
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(path, ord, message) of JSONL transcripts; blank and broken lines are skipped."""
     raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("ord"), "value")
@@ -16,13 +23,24 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
 
 def transcript_lines(rows: DataFrame, line: str = "value") -> DataFrame:
     """Rows with the ``message`` of their JSON line; rows whose line is blank or no object go."""
-    good = rows.filter((F.trim(line) != "") & F.try_parse_json(line).isNotNull() & F.startswith(F.trim(line), F.lit("{")))
+    good = rows.filter((F.trim(line) != "") & whole_json(F.col(line)).isNotNull() & F.startswith(F.trim(line), F.lit("{")))
     return good.withColumn("message", F.from_json(line, TRANSCRIPT_LINE)["message"])
 
 
 def parse_payload(text: Column) -> Column:
     """JSON text as a variant: blank is an empty object, text that is no JSON goes under ``raw``."""
-    return F.when(F.trim(text) == "", F.parse_json(F.lit("{}"))).otherwise(F.coalesce(F.try_parse_json(text), F.parse_json(F.to_json(F.struct(text.alias("raw"))))))
+    return F.when(F.trim(text) == "", F.parse_json(F.lit("{}"))).otherwise(F.coalesce(whole_json(text), F.parse_json(F.to_json(F.struct(text.alias("raw"))))))
+
+
+def config_of(text: Column) -> Column:
+    """A configuration's text as a variant; text that is missing or no JSON is an empty object."""
+    return F.coalesce(whole_json(text), F.parse_json(F.lit("{}")))
+
+
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """The objects of JSON files, one a file or a list a file. With a schema the files aren't read twice."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
 
 
 def payload_keys(text: Column) -> Column:

@@ -1,6 +1,8 @@
 import hashlib
 import json
 
+from pyspark.sql import functions as F
+
 from ledgerloom.sources import container, records
 
 MAGIC = "LOOM"
@@ -57,3 +59,17 @@ def test_queue_and_transcripts(spark, tmp_path):
     (tmp_path / "t.jsonl").write_text('{"message":{"model":"m","usage":{"input_tokens":3}}}\n\n{bad\n[1]\n')
     rows = records.read_transcripts(spark, str(tmp_path / "t.jsonl")).collect()
     assert len(rows) == 1 and rows[0].message.usage.input_tokens == "3"
+
+
+def test_json_files(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{\n  "id": "x",\n  "n": 1\n}')
+    (tmp_path / "b.json").write_text('[{"id": "y"}, {"id": "z", "n": 3}]')
+    want = {("x", 1), ("y", None), ("z", 3)}
+    assert {(r.id, r.n) for r in records.read_json(spark, str(tmp_path), "id string, n bigint").collect()} == want
+    assert {(r.id, r.n) for r in records.read_json(spark, str(tmp_path)).collect()} == want
+
+
+def test_whole_json(spark):
+    cases = {'{"a":1}': '{"a":1}', ' [1,2] ': "[1,2]", "null": "null", '{"a":1}}': None, '{"a":1} x': None, "1,2": None, "{},null": None, '{"a":1}]}': None, "": None, "{": None, None: None}
+    rows = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r.t: r.x for r in rows.select("t", F.to_json(records.whole_json(F.col("t"))).alias("x")).collect()} == cases

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import number, trimmed
+from ledgerloom.sources.records import whole_json
 
 
 def transcript_usage(lines: DataFrame, session: str = "session") -> DataFrame:
@@ -62,7 +63,7 @@ def payload_usage(payloads: DataFrame, key: str, text: str = "payload") -> DataF
 
     The total is always the sum of input and output. Each payload is parsed once.
     """
-    parsed = payloads.select(key, F.try_parse_json(text).alias("v"))
+    parsed = payloads.select(key, whole_json(F.col(text)).alias("v"))
     first = F.coalesce(*(F.try_variant_get("v", at, "map<string,variant>") for at in USAGE_OBJECTS), F.create_map().cast("map<string,variant>"))
     held = parsed.select(key, "v", first.alias("u"))
     raw = lambda name: F.try_variant_get("v", f"$.{name[8:]}", "string") if name.startswith("payload:") else F.try_variant_get(F.try_element_at("u", F.lit(name)), "$", "string")

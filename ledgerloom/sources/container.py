@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.text import keys_at_any_depth
+from ledgerloom.sources.records import whole_json
 from ledgerloom.vocab import FORBIDDEN_KEYS, KNOWN_SECTIONS
 
 HEADER_KEYS = ("format_id", "versions", "sections", "counts", "generated_at", "content_sha256")
@@ -55,7 +56,7 @@ def unknown_sections(files: DataFrame) -> DataFrame:
 
 def count_mismatches(files: DataFrame) -> DataFrame:
     """(path, section, source, expected, actual) where the header and the body disagree on a known section."""
-    header = F.try_parse_json(F.try_element_at(_lines(F.col("content")), F.lit(2)))
+    header = whole_json(F.try_element_at(_lines(F.col("content")), F.lit(2)))
     known = F.explode(F.array(*map(F.lit, KNOWN_SECTIONS))).alias("section")
     base = files.select("path", header.alias("h"), known)
     listed = F.from_json(F.to_json(F.try_variant_get("h", "$.sections", "variant")), "array<struct<name:string,count:bigint>>")
@@ -75,7 +76,7 @@ def verify(files: DataFrame, magic: str, version: str = "0.1", container: str =
     body = _lines(text)
     first, second = F.element_at(body, 1), F.try_element_at(body, F.lit(2))
     tab = F.instr(first, "\t")
-    header = F.try_parse_json(second)
+    header = whole_json(second)
     field = lambda k: F.try_variant_get("header", f"$.{k}", "string")
     head = files.select("path", "content", first.alias("first"), tab.alias("tab"), second.alias("second"), header.alias("header"))
     said = F.substring("first", 1, 1 << 10)
@@ -96,7 +97,7 @@ def verify(files: DataFrame, magic: str, version: str = "0.1", container: str =
         keys_at_any_depth(F.col("second"), FORBIDDEN_KEYS).alias("head_keys"),
     )
     rows = records(files)
-    parsed = F.try_parse_json("record")
+    parsed = whole_json(F.col("record"))
     trouble = F.when(F.col("section").isNull(), "record before any section").when(parsed.isNull(), "invalid record JSON").when(~F.startswith(F.trim("record"), F.lit("{")), "record must be an object")
     rows = rows.select("path", "pos", trouble.alias("trouble"), keys_at_any_depth(F.col("record"), FORBIDDEN_KEYS).alias("keys"))
     found = rows.groupBy("path").agg(F.min_by("trouble", F.when(F.col("trouble").isNotNull(), F.col("pos"))).alias("body_problem"), F.max(F.size("keys") > 0).alias("body_keys"))

@@ -11,7 +11,9 @@ from ledgerloom.llm.bpe import token_report
 from ledgerloom.llm.common import documents
 from ledgerloom.llm.context_mixing import score_report
 from ledgerloom.llm.langid import language_report
+from ledgerloom.llm.middle import MIDDLE_SQL, middle_report
 from ledgerloom.llm.partenum import Threshold, jaccard_components
+from ledgerloom.llm.quality import QUALITY_SQL, quality_report
 from ledgerloom.llm.raking import mixed
 from ledgerloom.llm.secrets import secret_report
 from ledgerloom.llm.sharding import SHARD_SQL, shard_names
@@ -59,9 +61,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), size=3, threshold=Threshold(90), second=3)
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(documents(spark, sf_dir))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return middle_report(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": SHARD_SQL}
+    return {"op3_sharding": SHARD_SQL, "op12_quality_rules": QUALITY_SQL, "op13_fill_in_middle": MIDDLE_SQL}

@@ -13,6 +13,7 @@ from ledgerloom.llm.context_mixing import score_report
 from ledgerloom.llm.langid import language_report
 from ledgerloom.llm.middle import MIDDLE_SQL, middle_report
 from ledgerloom.llm.partenum import Threshold, jaccard_components
+from ledgerloom.llm.prefix_trie import TRIE_SQL, conversation_trie
 from ledgerloom.llm.quality import QUALITY_SQL, quality_report
 from ledgerloom.llm.raking import mixed
 from ledgerloom.llm.secrets import secret_report
@@ -61,6 +62,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(documents(spark, sf_dir), size=3, threshold=Threshold(90), second=3)
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(documents(spark, sf_dir))
 
@@ -74,4 +79,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_sharding": SHARD_SQL, "op12_quality_rules": QUALITY_SQL, "op13_fill_in_middle": MIDDLE_SQL}
+    return {"op3_sharding": SHARD_SQL, "op11_prefix_trie": TRIE_SQL, "op12_quality_rules": QUALITY_SQL, "op13_fill_in_middle": MIDDLE_SQL}

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.scalars import MOST_ATTEMPTS, backoff_seconds, retryable
+from ledgerloom.functions.text import cut
 
-SENDS = 25
+# Fixed values of delivery: sends a run, UTF-16 units of an error.
+SENDS, MOST_ERROR = 25, 300
 
 
 def due(next_attempt_at: Column, now: Column) -> Column:
@@ -29,18 +31,25 @@ def outcome(readable: Column, status: Column, attempts: Column, most: int = MOST
 def drain(items: DataFrame, now: Column, limit: int = SENDS, most: int = MOST_ATTEMPTS, group: str = "queue") -> DataFrame:
     """Items with their ``outcome`` and next state. Each queue sends up to ``limit`` due items by name; items not due or unreadable don't use it up.
 
-    ``items``: queue, name, attempts, next_attempt_at, readable, status (of the delivery, were it tried).
+    ``items``: queue, name (once a queue), attempts, next_attempt_at, readable, status (of the delivery, were it tried), and if known its error.
+    The name of a queue's last send comes from its ``limit`` least names, of which each task keeps no more; no task sorts a queue.
     """
     is_due = due(F.col("next_attempt_at"), now)
     sendable = is_due & F.col("readable")
-    order = Window.partitionBy(group).orderBy("name").rowsBetween(Window.unboundedPreceding, 0)
-    sent = F.sum(sendable.cast("int")).over(order)
-    stepped = items.withColumn("sent_", sent)
-    before = F.col("sent_") - sendable.cast("int")
-    result = F.when(before >= limit, "waiting").when(~is_due, "deferred").otherwise(outcome(F.col("readable"), F.col("status"), F.col("attempts"), most))
-    tried = result.isin("retrying", "quarantined") & F.col("readable")
-    attempts = F.col("attempts") + tried.cast("int")
-    return stepped.withColumn("outcome", result).withColumn("next_attempts", attempts).withColumn("wait_seconds", F.when(F.col("outcome") == "retrying", backoff_seconds(F.col("next_attempts")))).drop("sent_")
+    least = items.filter(sendable).select(F.col(group).alias("group_"), "name").withColumn("nth_", F.row_number().over(Window.partitionBy("group_").orderBy("name")))
+    ends = least.filter(F.col("nth_") <= limit).groupBy("group_").agg(F.max("name").alias("end_"), F.count("*").alias("sends_")).filter(F.col("sends_") >= limit)
+    after = F.lit(True) if limit < 1 else F.coalesce(F.col("name") > F.col("end_"), F.lit(False))
+    result = F.when(after, "waiting").when(~is_due, "deferred").otherwise(outcome(F.col("readable"), F.col("status"), F.col("attempts"), most))
+    stepped = items.join(ends, items[group].eqNullSafe(F.col("group_")), "left").withColumn("outcome", result).drop("group_", "end_", "sends_")
+    tried = F.col("outcome").isin("retrying", "quarantined") & F.col("readable")
+    wait = F.when(F.col("outcome") == "retrying", backoff_seconds(F.col("next_attempts")))
+    stepped = stepped.withColumn("next_attempts", F.col("attempts") + tried.cast("int")).withColumn("wait_seconds", wait)
+    failed = F.col("outcome").isin("retrying", "quarantined")
+    error = cut(F.col("error"), MOST_ERROR) if "error" in items.columns else F.lit(None).cast("string")
+    return stepped.withColumns({
+        "last_status": F.when(tried, F.col("status")), "last_error": F.when(failed, F.coalesce(error, F.when(~F.col("readable"), "unreadable item"))),
+        "next_due": F.when(F.col("outcome") == "retrying", now + F.make_dt_interval(secs=F.col("wait_seconds").cast("decimal(18,6)"))),
+    })
 
 
 def report(drained: DataFrame, *group: str) -> DataFrame:

@@ -45,6 +45,15 @@ def outbox_drain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drained(spark, sf_dir).select("event_id", "outcome", "next_attempts", "wait_seconds")
 
 
+@query(f"""WITH {ITEMS} SELECT event_id, outcome, CASE WHEN outcome = 'retrying' THEN TIMESTAMP '{NOW}' + to_seconds(CAST(least(21600, 30 * pow(2, attempts)) AS BIGINT)) END AS next_attempt_at,
+CASE WHEN outcome IN ('retrying', 'quarantined') AND readable THEN status END AS last_status, CASE WHEN outcome IN ('retrying', 'quarantined') THEN CASE WHEN readable THEN substr('refused with ' || status || repeat('x', event_id % 400), 1, 300) ELSE 'unreadable item' END END AS last_error FROM d""")
+def outbox_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next state of every item after one run: when it is due again, and the last answer, its text cut."""
+    error = F.when(F.col("readable"), F.concat(F.lit("refused with "), F.col("status").cast("string"), F.repeat(F.lit("x"), (F.col("event_id") % 400).cast("int"))))
+    done = outbox.drain(items(spark, sf_dir).withColumn("error", error), F.lit(NOW).cast("timestamp"))
+    return done.select("event_id", "outcome", F.col("next_due").cast("timestamp_ntz").alias("next_attempt_at"), "last_status", "last_error")
+
+
 @query(f"WITH {ITEMS} SELECT queue, count(*) FILTER (outcome = 'delivered') AS delivered, count(*) FILTER (outcome = 'retrying') AS retrying, count(*) FILTER (outcome = 'quarantined') AS quarantined, count(*) FILTER (outcome = 'deferred') AS deferred FROM d GROUP BY queue")
 def outbox_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outbox.report(drained(spark, sf_dir), "queue")

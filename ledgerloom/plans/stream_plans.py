@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.plans.registry import query, table
 from ledgerloom.session import shared_dir
-from ledgerloom.streaming import delivery, windows
+from ledgerloom.streaming import delivery, outbox, windows
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,6 +83,44 @@ def stream_outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _last(finished(delivery.deliveries(tries), "update"), "name").select("name", "attempts", "outcome")
 
 
+OUTBOX_LIMIT, OUTBOX_PAUSE = 2, 600
+#: Runs of all queues: each step is the next run of every queue that has one before the last day begins.
+OUTBOX_RUNS = f"""WITH RECURSIVE i AS (SELECT user_id AS queue, lpad(CAST(event_id AS VARCHAR), 9, '0') || '.json' AS name, event_id AS k, event_id % 7 <> 0 AS readable, CAST(epoch(date_trunc('day', ts)) AS BIGINT) AS arrived FROM events),
+clock AS (SELECT max(arrived) AS w FROM i),
+r AS (SELECT queue, name, k, readable, 0 AS attempts, arrived AS next, CAST(NULL AS BIGINT) AS last, 'waiting' AS outcome, CAST(NULL AS INTEGER) AS status, CAST(NULL AS BIGINT) AS at_s FROM i
+  UNION ALL SELECT queue, name, k, readable, CASE WHEN sent AND tried <> 200 THEN attempts + 1 ELSE attempts END, CASE WHEN result = 'retrying' THEN run + CAST(least(21600, 30 * pow(2, attempts)) AS BIGINT) WHEN touched THEN NULL ELSE next END,
+    run, CASE WHEN touched THEN result ELSE 'waiting' END, CASE WHEN sent THEN tried ELSE status END, CASE WHEN touched THEN run END
+  FROM (SELECT *, CASE WHEN NOT touched THEN NULL WHEN NOT readable THEN 'quarantined' WHEN tried = 200 THEN 'delivered' WHEN (tried IN (0, 404, 408, 429) OR tried >= 500) AND attempts + 1 < 8 THEN 'retrying' ELSE 'quarantined' END AS result, touched AND readable AS sent
+    FROM (SELECT *, next <= run AND coalesce(sum(CAST(readable AND next <= run AS INTEGER)) OVER (PARTITION BY queue ORDER BY name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < {OUTBOX_LIMIT} AS touched
+      FROM (SELECT *, [0, 200, 404, 408, 429, 500, 400, 401, 422][CAST((k + 4 * attempts) % 9 + 1 AS INTEGER)] AS tried, greatest(min(next) OVER (PARTITION BY queue), coalesce(last + {OUTBOX_PAUSE}, 0)) AS run FROM r WHERE next IS NOT NULL) WHERE run <= (SELECT w FROM clock))))"""
+
+
+def _answer(name: str, content: str, attempts: int) -> tuple[int, str | None]:
+    """A receiver that answers by an item's number and the tries it has had."""
+    status = (0, 200, 404, 408, 429, 500, 400, 401, 422)[(int(name[:9]) + 4 * attempts) % 9]
+    if status == 0:
+        raise ConnectionError("no network")
+    return status, f"refused with {status}: " + "x" * 400
+
+
+@query(f"""{OUTBOX_RUNS}, t AS (SELECT * FROM r WHERE at_s IS NOT NULL QUALIFY row_number() OVER (PARTITION BY name ORDER BY at_s DESC) = 1)
+SELECT CAST(queue AS VARCHAR) AS queue, name, outcome, CAST(attempts AS INTEGER) AS attempts, to_timestamp(next) AT TIME ZONE 'UTC' AS next_attempt_at, status AS last_status,
+CASE WHEN NOT readable THEN 'unreadable item' WHEN status = 0 THEN 'no network' WHEN status <> 200 THEN substr('refused with ' || status || ': ' || repeat('x', 400), 1, 300) END AS last_error, to_timestamp(at_s) AT TIME ZONE 'UTC' AS run_at FROM t""")
+def stream_outbox_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as items of their users' queues, each sent twice into the stream: two sends a run, runs ten minutes apart, retries when their backoff ends."""
+    k = F.col("event_id")
+    content = F.when(k % 7 == 0, "{broken").otherwise(F.to_json(F.struct("event_id")))
+    items = events(spark, sf_dir).select(
+        F.col("user_id").alias("queue"), F.concat(F.lpad(k.cast("string"), 9, "0"), F.lit(".json")).alias("name"), content.alias("content"),
+        F.date_trunc("day", "ts").alias("arrived"), F.explode(F.array(F.lit(0), F.lit(1))).alias("copy"),
+    )
+    outbox.use_timers(spark)
+    out = finished(outbox.outbox(items.withWatermark("arrived", "0 seconds"), _answer, OUTBOX_LIMIT, pause=OUTBOX_PAUSE, keep=3600, event_time=True), "update")
+    last = out.groupBy("queue", "name").agg(F.max_by(F.struct("outcome", "attempts", "next_attempt_at", "last_status", "last_error", "at"), "at").alias("r"))
+    stamp = lambda c: F.col(f"r.{c}").cast("timestamp_ntz")
+    return last.select("queue", "name", "r.outcome", "r.attempts", stamp("next_attempt_at").alias("next_attempt_at"), "r.last_status", "r.last_error", stamp("at").alias("run_at"))
+
+
 def _last(rows: DataFrame, *keys: str) -> DataFrame:
     """Of the rows that each batch wrote, the last of every key."""
     others = [c for c in rows.columns if c not in (*keys, "batch_")]

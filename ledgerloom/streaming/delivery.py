@@ -15,13 +15,13 @@ STATE = "attempts int, outcome string"
 OUTPUT = "name string, attempts int, outcome string, wait_seconds bigint"
 
 
-def step(attempts: int, status: int, most: int = MOST_ATTEMPTS) -> tuple[int, str, int | None]:
+def step(attempts: int, status: int, most: int = MOST_ATTEMPTS, base: int = BACKOFF_BASE, cap: int = BACKOFF_CAP) -> tuple[int, str, int | None]:
     """(attempts, outcome, seconds to wait) after a delivery's status: the batch transition for one item."""
     if 200 <= status <= 299:
         return attempts, "delivered", None
     attempts += 1
     if (status in RETRYABLE_STATUSES or status >= 500) and attempts < most:
-        return attempts, "retrying", min(BACKOFF_CAP, BACKOFF_BASE * 2 ** max(0, attempts - 1))
+        return attempts, "retrying", min(cap, base * 2 ** max(0, attempts - 1))
     return attempts, "quarantined", None
 
 

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 SCHEMA = "queue int, name string, content string, arrived timestamp"
 
 
-def deliver(name, content, attempts):
-    if "down" in content and attempts < 1:
-        raise ConnectionError("no network " + "y" * 500)
-    return (200, None) if "never" not in content else (422, "bad")
+def receiver():
+    def deliver(name, content, attempts):  # goes to the workers by value
+        if "down" in content and attempts < 1:
+            raise ConnectionError("no network " + "y" * 500)
+        return (200, None) if "never" not in content else (422, "bad")
+
+    return deliver
 
 
 def start(spark, folder, out, **how):
@@ -21,7 +24,7 @@ def start(spark, folder, out, **how):
     stream = spark.readStream.schema(SCHEMA).parquet(f"{folder}/in")
     if how.get("event_time"):
         stream = stream.withWatermark("arrived", "0 seconds")
-    return outbox.outbox(stream, deliver, **how).writeStream.foreachBatch(lambda rows, n: out.extend(rows.collect())).option("checkpointLocation", f"{folder}/state").outputMode("update")
+    return outbox.outbox(stream, receiver(), **how).writeStream.foreachBatch(lambda rows, n: out.extend(rows.collect())).option("checkpointLocation", f"{folder}/state").outputMode("update")
 
 
 def put(spark, folder, rows):
@@ -36,15 +39,16 @@ def test_retry_without_new_input(spark, tmp_path):
     out = []
     running = start(spark, tmp_path, out, pause=1, base=2).trigger(processingTime="1 second").start()
     try:
-        until = time.time() + 90
-        while time.time() < until and sum(r.outcome != "retrying" for r in out) < 4:
+        until = time.time() + 60
+        while time.time() < until and sum(r.outcome != "retrying" for r in out) < 4 and running.isActive:
+            time.sleep(0.5)
+        put(spark, tmp_path, [rows[2], (3, "e", "{}", "2024-01-01")])  # the first of them once more
+        while time.time() < until + 30 and not any(r.name == "e" for r in out) and running.isActive:
             time.sleep(0.5)
-        put(spark, tmp_path, [rows[2]])  # once more
-        running.processAllAvailable()
     finally:
         running.stop()
     seen = sorted((r.name, r.outcome, r.attempts, r.last_status) for r in out)
-    assert seen == [("a", "delivered", 1, 200), ("a", "retrying", 1, 0), ("b", "quarantined", 0, None), ("c", "delivered", 0, 200), ("d", "quarantined", 1, 422)]
+    assert seen == [("a", "delivered", 1, 200), ("a", "retrying", 1, 0), ("b", "quarantined", 0, None), ("c", "delivered", 0, 200), ("d", "quarantined", 1, 422), ("e", "delivered", 0, 200)]
     by = {(r.name, r.outcome): r for r in out}
     assert len(by["a", "retrying"].last_error) == 300 and by["b", "quarantined"].content == "{broken" and by["d", "quarantined"].last_error == "bad"
     assert by["a", "delivered"].at >= by["a", "retrying"].next_attempt_at > by["a", "retrying"].at

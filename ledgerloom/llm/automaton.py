@@ -1,8 +1,8 @@
 """Deterministic automata over bytes, built from regular expressions.
 
 Rules are parsed by Python's own regex parser, turned into one nondeterministic automaton, made
-deterministic by subset construction and minimised by partition refinement. A transition array is a
-list of 256 successors and, last, the set of rules that accept there (bits of an integer).
+deterministic by subset construction (sets of states are the bits of an integer) and minimised by partition
+refinement. The result is an array of transitions by state and byte, and of the rules that accept in a state.
 """
 
 from __future__ import annotations
@@ -10,10 +10,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import numpy as np
+
 _ops = re._constants
 
-#: No successor inside a rule: the automaton of one rule has stopped.
-DEAD = None
 
 
 @dataclass
@@ -115,43 +115,82 @@ def _byte_classes(nfa: Nfa) -> list[list[int]]:
     return list(groups.values())
 
 
-def determinise(nfa: Nfa, starts: list[int], accepts: dict[int, int], anywhere: bool) -> list:
-    """The start row of the minimal automaton. ``accepts`` maps an end state to its rule's bit;
-    with ``anywhere`` a match may begin at every byte."""
-    classes = _byte_classes(nfa)
-    first = nfa.closure(starts)
-    number, todo, moves = {first: 0}, [first], []
-    while todo:
-        states = todo.pop(0)
+@dataclass(frozen=True)
+class Tables:
+    """A minimal automaton as arrays: the state after each byte (-1: none can follow), and the rules' bits of each state. State 0 starts."""
+
+    after: np.ndarray
+    bits: np.ndarray
+
+    def start_row(self) -> list:
+        """The same as linked lists, faster to follow byte by byte: row[byte] is the next row, row[256] its bits."""
+        rows = [[None] * 257 for _ in self.bits]
+        targets = [*rows, None]
+        for row, after, bits in zip(rows, self.after.tolist(), self.bits.tolist(), strict=True):
+            row[:256] = [targets[to] for to in after]
+            row[256] = bits
+        return rows[0]
+
+
+def subsets(nfa: Nfa, starts: list[int], classes: list[list[int]], anywhere: bool) -> tuple[list[int], list[list[int]]]:
+    """The reachable sets of states, as bits of a number, and the set after each class of bytes."""
+    width, reach = len(nfa.edges), [sum(1 << t for t in nfa.closure([s])) for s in range(len(nfa.edges))]
+    every = _union(reach, starts)
+    moved = []  # per state, what each class leads to, side by side in one number
+    for edges in nfa.edges:
+        wide = 0
+        for i, members in enumerate(classes):
+            wide |= _union(reach, [t for mask, t in edges if mask >> members[0] & 1]) << i * width
+        moved.append(wide)
+    again = sum(every << i * width for i in range(len(classes))) if anywhere else 0
+    number, found, moves, one = {every: 0}, [every], [], (1 << width) - 1
+    for states in found:
+        wide, rest = again, states
+        while rest:
+            low = rest & -rest
+            wide |= moved[low.bit_length() - 1]
+            rest ^= low
         row = []
-        for members in classes:
-            b = members[0]
-            to = {t for s in states for mask, t in nfa.edges[s] if mask >> b & 1}
-            target = nfa.closure(to | set(starts) if anywhere else to)
+        for _ in classes:
+            target = wide & one
+            wide >>= width
             if target not in number:
-                number[target] = len(number)
-                todo.append(target)
+                number[target] = len(found)
+                found.append(target)
             row.append(number[target])
         moves.append(row)
-    bits = [0] * len(number)
-    for states, n in number.items():
-        for s in states:
-            bits[n] |= accepts.get(s, 0)
-    block = {bit: i for i, bit in enumerate(sorted(set(bits)))}
-    part = [block[bit] for bit in bits]
+    return found, moves
+
+
+def _union(sets: list[int], members: list[int]) -> int:
+    out = 0
+    for m in members:
+        out |= sets[m]
+    return out
+
+
+def compiled(nfa: Nfa, starts: list[int], accepts: dict[int, int], anywhere: bool) -> Tables:
+    """The minimal automaton. ``accepts`` maps an end state to its rule's bit; with ``anywhere`` a match may begin at every byte."""
+    classes = _byte_classes(nfa)
+    found, moves = subsets(nfa, starts, classes, anywhere)
+    bits = np.array([_union([b if states >> s & 1 else 0 for s, b in accepts.items()], range(len(accepts))) for states in found], np.int64)
+    after = np.array(moves, np.int32)
+    _, part = np.unique(bits, return_inverse=True)
     while True:  # states stay together while their successors do
-        keys: dict[tuple[int, ...], int] = {}
-        nxt = [keys.setdefault((part[n], *(part[t] for t in moves[n])), len(keys)) for n in range(len(moves))]
-        if len(keys) == len(set(part)):
+        _, finer = np.unique(np.column_stack([part, part[after]]), axis=0, return_inverse=True)
+        finer = finer.reshape(-1)
+        if finer.max() == part.max():
             break
-        part = nxt
-    rows: dict[int, list] = {p: [None] * 257 for p in set(part)}
-    empty = None if anywhere else number.get(frozenset())
-    for n, row in enumerate(moves):
-        mine = rows[part[n]]
-        mine[256] = bits[n]
-        for members, to in zip(classes, row, strict=True):
-            target = DEAD if empty is not None and part[to] == part[empty] else rows[part[to]]
-            for b in members:
-                mine[b] = target
-    return rows[part[0]]
+        part = finer
+    _, head = np.unique(part, return_index=True)  # one state of each part, the parts in the order of these
+    order = np.argsort(head, kind="stable")
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    head, place = head[order], rank[part]
+    small = place[after[head]].astype(np.int32)
+    if not anywhere and 0 in found:
+        small[small == place[found.index(0)]] = -1
+    wide = np.empty((len(head), 256), np.int32)
+    for i, members in enumerate(classes):
+        wide[:, members] = small[:, [i]]
+    return Tables(wide, bits[head])

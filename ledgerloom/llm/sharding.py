@@ -7,7 +7,9 @@ over WINDOW bits replaces WINDOW splits; documents of buckets that are still too
 round, and no directory passes through the driver. The hash is of the id, hence even for any text.
 
 Rows with one id share all bits: a bucket with a single id is never split, even when it exceeds the limit
-(``oversize``). A null id hashes as the empty text, a null text has no byte. Repeated rows stay together.
+(``oversize``), as is one very long text; texts are only measured here. A null id hashes as the empty text, a null or empty text
+has no byte. Repeated rows stay together, so no tie is to be broken. An empty table has no shard. Other columns are passed on by
+``write_shards``, whose own ``shard`` replaces one of that name.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import stage_table, whole
+from ledgerloom.llm.common import stage_table, unused, whole
 
 BITS, WINDOW = 60, 12
 #: Bytes of text in a shard at most.
@@ -61,8 +63,9 @@ def shard_names(docs: DataFrame, limit: int = SHARD_BYTES, key: str = "doc_id",
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> None:
     """Write ``docs`` to one folder for each shard. Rows of one id go to one shard; a column named ``shard`` is replaced."""
-    names = shard_names(docs, limit, key, text).groupBy(F.col(key).alias("_id")).agg(F.first("shard").alias("shard"))
-    rows = docs.drop("shard").join(names, docs[key].eqNullSafe(F.col("_id"))).drop("_id")
+    own = unused(docs, "_id")
+    names = shard_names(docs.select(key, text), limit, key, text).groupBy(F.col(key).alias(own)).agg(F.first("shard").alias("shard"))
+    rows = docs.drop("shard").join(names, docs[key].eqNullSafe(F.col(own))).drop(own)
     rows.repartition("shard").write.partitionBy("shard").parquet(path)
 
 

@@ -8,7 +8,7 @@ the tasks is a few thousand (slot, weight) pairs. Scoring reads every whole text
 
 Null and empty texts have no feature and score as the bias alone. Null labels are left out; without any
 label every score is the prior's 0.5. Repeated rows stay and score alike; of training rows with one id the
-least text is learned. Very long texts are scored whole. Ties of the sample go by hash and id. An empty table
+least text is learned. Very long texts are scored whole. In the sample they come after all others, where they fit. Ties of the sample go by hash and id. An empty table
 gives an empty one. Only id and text are read; results don't clash with other columns.
 """
 
@@ -30,8 +30,9 @@ BITS = 22
 WORD = re.compile(r"[^\W\d_]+")
 #: The training sample: at most so many texts of each label, those with the smallest hash of their id.
 MOST_TOXIC, MOST_CLEAN = 4_000, 6_000
-#: Characters of the training texts of each label: texts are taken in that order as long as they fit.
-MOST_CHARS = 8_000_000
+#: Characters of the training texts of each label: texts are taken in that order until they hold so many, those of more than
+#: LONG characters after all others. The first one is always taken, so that no label is lost.
+MOST_CHARS, LONG = 8_000_000, 100_000
 STEM = 5
 LEAST_TEXTS = 3
 #: Hashes of words that a worker keeps.
@@ -130,10 +131,11 @@ def train(docs: DataFrame, labels: DataFrame, rows: Column, text: str = "text",
         return pd.Series([np.unique(slots(t)).astype("<i4").tobytes() for t in texts], dtype=object)
 
     own = docs.select(F.col(key), F.col(text).alias("t")).join(F.broadcast(chosen), key).groupBy(key, "y").agg(F.min(whole("t")).alias("t"))
-    own = stage_table(own.withColumn("at", F.row_number().over(Window.partitionBy("y").orderBy(order, key))), "labelled")  # MOST_TOXIC and MOST_CLEAN rows
-    upto = Window.partitionBy("y").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    fitting = own.withColumn("sum", F.sum(F.length("t")).over(upto)).filter(F.col("sum") <= MOST_CHARS)
-    found = fitting.select("y", features("t").alias("f")).collect()  # MOST_CHARS bounds them
+    own = stage_table(own, "labelled")  # MOST_TOXIC and MOST_CLEAN rows at most
+    sizes = own.select(key, "y", F.length("t").cast("bigint").alias("n"))  # texts don't pass the window
+    before = Window.partitionBy("y").orderBy(F.col("n") > LONG, order, key).rowsBetween(Window.unboundedPreceding, -1)
+    fitting = sizes.withColumn("sum", F.coalesce(F.sum("n").over(before), F.lit(0))).filter((F.col("sum") == 0) | (F.col("sum") + F.col("n") <= MOST_CHARS))
+    found = own.join(F.broadcast(fitting.select(key)), key).select("y", features("t").alias("f")).collect()  # MOST_CHARS bounds them, and the slots of one text
     if not found:
         return Weights(np.zeros(0, np.int32), np.zeros(0, np.float32), 0.0)
     y = np.array([r.y for r in found])

@@ -49,3 +49,10 @@ def test_edges(spark, tmp_path):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == 6 and {r.shard for r in back.select("shard").distinct().collect()} == set(totals)
     assert shard_names(docs.limit(0)).count() == 0
+
+
+def test_shards_of_a_table_with_clashing_names(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", "x", "old"), (2, None, "y", "old"), (None, "b" * 50, "z", None)], "doc_id bigint, text string, _id string, shard string")
+    write_shards(docs, str(tmp_path / "out"), limit=10)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(r._id for r in back.collect()) == ["x", "y", "z"] and all(r.shard != "old" for r in back.collect())

@@ -67,3 +67,47 @@ def test_the_sample_is_bounded(spark, monkeypatch):
     labels = spark.createDataFrame([(1, 1), *((i, 0) for i in range(2, 40))], "doc_id bigint, toxic int")
     toxicity.train(docs, labels, F.lit(True))
     assert sorted(learned) == [0, 0, 1]
+
+
+def test_a_long_text_takes_no_label(spark):
+    """One text beyond the sample's characters: the others are learned, and alone it is learned itself."""
+    rng = np.random.default_rng(3)
+    word = lambda base: " ".join(f"{base}{rng.integers(30)}" for _ in range(12))
+    letters = lambda t: t.translate(str.maketrans("0123456789", "abcdefghij"))
+    rows = [(i, letters(word("foul" if i % 2 else "fair"))) for i in range(400)]
+    long = letters(word("foul")) + " " + "foul " * 1_700_000
+    labels = spark.createDataFrame([(i, i % 2) for i in range(401)] + [(401, 1)], "doc_id bigint, toxic int")
+    docs = spark.createDataFrame([*rows, (401, long)], "doc_id bigint, text string")
+    got = {r.doc_id: r for r in toxicity.toxicity_report(docs, labels).collect()}
+    assert all(got[i].predicted == i % 2 for i in range(400))
+    alone = toxicity.train(docs.filter("doc_id = 401 or doc_id % 2 = 0"), labels, F.lit(True))
+    assert len(alone.slot) or alone.bias != 0
+
+
+def test_scores_equal_the_plain_sum(spark):
+    """The report's score is the bias and the weights of a text's distinct features, as the docstring lists them."""
+    import math
+    import re
+
+    import xxhash
+
+    mask = (1 << 64) - 1
+
+    def features(text):
+        words = re.findall(r"[^\W\d_]+", text.lower())
+        full = [xxhash.xxh3_64_intdigest(w.encode()) >> toxicity.BITS << toxicity.BITS for w in words]
+        stems = [xxhash.xxh3_64_intdigest(("\n" + w[: toxicity.STEM]).encode()) >> 64 - toxicity.BITS for w in words]
+        one, two = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+        hashes = [h * one & mask for h in full]
+        hashes += [((a * one & mask) ^ b) * two & mask for a, b in zip(full, full[1:])]
+        hashes += [((a * two & mask) ^ b) * one & mask for a, b in zip(full, full[2:])]
+        return {*stems, *(h >> 64 - toxicity.BITS for h in hashes)}
+
+    d = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
+    model = toxicity.train(docs, labels, id_remainder("doc_id", 5) != 0)
+    weight = dict(zip(model.slot.tolist(), model.weight.tolist(), strict=True))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in toxicity.toxicity_report(docs, labels).collect():
+        total = model.bias + sum(weight.get(f, 0.0) for f in features(texts[r.doc_id]))
+        assert abs(r.score - 1 / (1 + math.exp(-max(-30, min(30, total))))) < 1e-5 and r.predicted == (r.score >= 0.5)

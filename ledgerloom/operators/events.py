@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.functions.text import cut, first_filled, redact
+from ledgerloom.functions.text import cut, first_filled, redact, redact_json
 from ledgerloom.vocab import EVENT_KIND
 
 TITLE, USAGE_TITLE = 120, 200
@@ -33,11 +33,15 @@ def status_of(command: Column) -> Column:
     return F.when(F.contains(command, F.lit("fail")), "failed").otherwise("completed")
 
 
-def redact_event(events: DataFrame) -> DataFrame:
-    """Hide secrets in title, summary, intent and folder by each event's own mode; blank ones become null. Redaction comes before the title is cut."""
+def redact_event(events: DataFrame, blocks: tuple[str, ...] = ("metadata",)) -> DataFrame:
+    """Hide secrets in title, summary, intent and folder by each event's own mode; blank ones become null. Redaction comes before the title is cut.
+
+    ``blocks`` name columns of JSON text; those that are there are redacted at any depth. A block that is no JSON is redacted as a text.
+    """
     mode = F.col("content_policy.redaction")
     hidden = {c: F.nullif(redact(F.col(c), mode), F.lit("")) for c in ("summary", "intent", "cwd")}
-    return events.withColumns(hidden | {"title": cut(redact(F.col("title"), mode), TITLE)})
+    nested = {c: F.coalesce(redact_json(F.col(c), mode), redact(F.col(c), mode)) for c in blocks if c in events.columns}
+    return events.withColumns(hidden | nested | {"title": cut(redact(F.col("title"), mode), TITLE)})
 
 
 def flat_metadata(fixed: dict[str, Column], optional: dict[str, Column], lists: dict[str, Column]) -> Column:

@@ -75,6 +75,12 @@ def resolve(asked: DataFrame, known: DataFrame, name: str, fallback: bool) -> Da
     return joined.withColumn("resolved", F.coalesce("found", F.col(name)) if fallback else F.col("found")).drop("called", "found")
 
 
+def resolve_within(asked: DataFrame, known: DataFrame, group: str, name: str) -> DataFrame:
+    """``asked`` with ``resolved``: the id of the first known row of the same group whose name or id it is, else null. ``known``: group, name, id, ord."""
+    names = known.select(F.col(group).alias("group_"), F.explode(F.array("name", "id")).alias("called"), "id", "ord").groupBy("group_", "called").agg(F.min_by("id", "ord").alias("resolved"))
+    return asked.join(names, (F.col(group) == F.col("group_")) & (F.col(name) == F.col("called")), "left").drop("group_", "called")
+
+
 def fan_out(hits: DataFrame, failed: Column | None = None) -> DataFrame:
     """All buckets' hits by score, best first, ties by bucket and place. Hits of failed buckets are left out; nothing is cut or deduplicated."""
     ok = hits if failed is None else hits.filter(~failed)

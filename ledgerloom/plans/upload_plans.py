@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import uploads
+from ledgerloom.operators import documents, uploads
 from ledgerloom.plans.outbox_plans import ITEMS, drained
 from ledgerloom.plans.registry import query, table
 from ledgerloom.session import shared_dir
+from ledgerloom.sources import upload_sink
 
 
 @query("""SELECT strftime(ts, '%Y-%m-%dT%H-%M-%S') || '-000Z-' || event_id || '.json' AS name, 'mail [REDACTED_EMAIL]' AS summary, CASE WHEN event_id % 2 = 0 THEN '/home/[REDACTED_USER]/w' ELSE '/home/u' || user_id || '/w' END AS cwd FROM events""")
@@ -92,3 +93,36 @@ def upload_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     fields = F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return uploads.upload_form(rows).select("event_id", "problem", F.decode("bytes", "UTF-8").alias("content"), "content_type", fields.alias("fields"))
+
+
+@query("""WITH b AS (SELECT user_id % 40 AS n, * FROM events),
+u AS (SELECT CAST(event_id AS VARCHAR) AS event_id, CASE WHEN n < 25 THEN 'b' || n WHEN event_id % 2 = 0 THEN md5(CAST(n AS VARCHAR)) ELSE 'default' END AS bucket_id,
+  CASE WHEN n < 25 AND event_id % 3 > 0 THEN 'c' || n || '-' || event_type END AS collection_id,
+  CASE WHEN event_id % 3 > 0 THEN event_type ELSE 'daily_log' END AS collection, strftime(ts, '%Y-%m-%d') AS day, * EXCLUDE (event_id) FROM b)
+SELECT event_id, bucket_id, collection_id, collection || '-' || day || '-' || event_id || '.json' AS file_name,
+  'mail [REDACTED_EMAIL]' AS summary, '{"deep":[{"who":"[REDACTED_EMAIL]"}],"n":' || user_id || '}' AS event_metadata, '[REDACTED_OPENAI_KEY] done' AS title,
+  'collection=' || collection || ';event_kind=ai_job_summary;harness=h;job_status=completed;job_title=[REDACTED_OPENAI_KEY] done;job_type=' || event_type || CASE WHEN event_id::BIGINT % 5 = 0 THEN
+  ';ledger_node_ids=mem_' || user_id || ',mem_x;ledger_schema_version=l/1;memory_format=ledger' ELSE '' END || CASE WHEN event_id::BIGINT % 2 = 0 THEN ';repo=r' ELSE '' END || ';source=hook' AS metadata FROM u""")
+def upload_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as documents, written by tasks, committed, and read back."""
+    e, k, u = table(spark, sf_dir, "events"), F.col("event_id"), F.col("user_id") % 40
+    none, text = F.lit(None).cast("string"), k.cast("string")
+    rows = e.select(
+        text.alias("id"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'.000Z'").alias("created_at"), F.lit("hook").alias("source"), F.lit("h").alias("harness"), F.lit("ai_job_summary").alias("event_kind"),
+        *(none.alias(c) for c in ("org_id", "user_id", "session_id", "schema_version", "kind", "intent", "cwd", "branch", "service")),
+        F.when(u < 25, F.concat(F.lit("name"), u.cast("string"))).when(k % 2 == 0, F.md5(u.cast("string"))).alias("bucket"), F.when(k % 3 > 0, F.col("event_type")).alias("collection"),
+        F.col("event_type").alias("job_type"), F.lit("completed").alias("job_status"), F.concat(F.lit("sk-"), F.md5(text), F.lit(" done")).alias("title"), F.concat(F.lit("mail u"), text, F.lit("@x.org")).alias("summary"),
+        F.when(k % 2 == 0, "r").alias("repo"), F.struct(F.lit("default").alias("redaction")).alias("content_policy"),
+        F.concat(F.lit('{"deep": [{"who": "u'), text, F.lit('@x.org"}], "n": '), F.col("user_id").cast("string"), F.lit("}")).alias("metadata"),
+        F.when(k % 5 == 0, F.concat(F.lit('{"schema_version":"l/1","node_ids":["mem_'), F.col("user_id").cast("string"), F.lit('","mem_x"]}'))).alias("ledger"),
+    )
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("n"))
+    buckets = n.select(F.concat(F.lit("b"), F.col("n").cast("string")).alias("id"), F.concat(F.lit("name"), F.col("n").cast("string")).alias("name"), F.col("n").alias("ord"))
+    collections = e.filter(u < 25).select(u.alias("n"), "event_type").distinct().select(
+        F.concat(F.lit("b"), F.col("n").cast("string")).alias("bucket_id"), F.concat(F.lit("c"), F.col("n").cast("string"), F.lit("-"), "event_type").alias("id"), F.col("event_type").alias("name"), F.col("n").alias("ord"),
+    )
+    path = f"{shared_dir(spark)}/uploads"
+    upload_sink.write_uploads(documents.uploads(rows, buckets, collections), path)
+    back = upload_sink.read_uploads(spark, path, documents.UPLOAD)
+    pairs = F.array_join(F.transform(F.array_sort(F.map_entries(F.from_json("metadata", "map<string,string>"))), lambda x: F.concat_ws("=", x["key"], x["value"])), ";")
+    return back.select("event_id", "bucket_id", "collection_id", "file_name", F.get_json_object("content", "$.summary").alias("summary"), F.get_json_object("content", "$.metadata").alias("event_metadata"), F.get_json_object("content", "$.title").alias("title"), pairs.alias("metadata"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerloom.functions.scalars import scope_rank
+from ledgerloom.operators.blocks import ordered_blocks
 from ledgerloom.vocab import OPERATIONS, RETIRING_OPERATIONS
 
 
@@ -83,11 +84,22 @@ def summary(view: DataFrame, group: str = "ledger", nodes: int = 5, chars: int =
     return top.groupBy(group).agg(text.alias("t_")).select(group, F.when(F.length("t_") > chars, F.concat(F.substring("t_", 1, chars - 1), F.lit("…"))).otherwise(F.col("t_")).alias("summary"))
 
 
+def id_blocks(rows: DataFrame, group: str, order: str, size: int = 10_000) -> DataFrame:
+    """(group, block, items): the ids of a group in order, in arrays of at most ``size``; no task holds a group."""
+    return ordered_blocks(rows, group, (order,), "id", size)
+
+
 def container_envelope(view: DataFrame, patches: DataFrame, group: str = "ledger", order: str = "place") -> DataFrame:
-    """One row a ledger: its effective nodes' ids in the view's order, all its patches' ids as loaded (``ord``), labels, summary and counts."""
-    in_order = lambda by, c: F.transform(F.array_sort(F.collect_list(F.struct(F.col(by).alias("at"), F.col(c).alias("id")))), lambda x: x["id"])
-    ids = view.groupBy(group).agg(in_order(order, "id").alias("node_ids"), F.count("*").alias("n_nodes"))
-    own = patches.groupBy(group).agg(in_order("ord", "id").alias("patch_ids"), F.count("*").alias("n_patches"))
+    """One row a ledger: its effective nodes' ids in the view's order, all its patches' ids as loaded (``ord``), labels, summary and counts.
+
+    The lists of ids are made of ``id_blocks``: what a task holds beside one block is the row that it gives.
+    """
+
+    def whole(rows: DataFrame, by: str, ids: str, n: str) -> DataFrame:
+        blocks = F.transform(F.array_sort(F.collect_list(F.struct("block", "items"))), lambda x: x["items"])
+        return id_blocks(rows, group, by).groupBy(group).agg(F.flatten(blocks).alias(ids)).withColumn(n, F.size(ids).cast("bigint"))
+
+    ids, own = whole(view, order, "node_ids", "n_nodes"), whole(patches, "ord", "patch_ids", "n_patches")
     return ids.join(own, group, "left").join(source_labels(view, group, order), group, "left").join(summary(view, group, order=order), group, "left")
 
 

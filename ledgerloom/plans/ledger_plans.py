@@ -162,7 +162,7 @@ def validate_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All problems of a ledger as one text."""
     rows = _records(spark, sf_dir).withColumn("present", _present(validate.vocab.NODE_FIELDS, "retrieval", F.col("k") % 19 == 0))
     found = validate.validate_nodes(rows.withColumn("ord", F.col("k")), VERSION).withColumn("ledger", F.col("ord") % 20)
-    return validate.problem_text(found, "ledger")
+    return validate.problem_text(found, "ledger", ("ord", "rule", "place"), size=7)
 
 
 @query("""WITH p AS (SELECT *, CASE WHEN p_partkey % 11 = 0 THEN 'p' ELSE 'patch_' END || p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'update' WHEN 2 THEN 'forget' ELSE 'invent' END AS op FROM part),
@@ -198,3 +198,58 @@ def validate_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = F.col("user_id")
     rows = table(spark, sf_dir, "events").select("user_id").distinct().select(F.concat(F.lit("s"), u.cast("string")).alias("id"), F.lit("session/1").alias("schema_version"), F.when(u % 3 == 0, "lost").otherwise("ended").alias("status"), _present(validate.vocab.SESSION_FIELDS, "policy", u % 4 == 0).alias("present"))
     return validate.validate_sessions(rows, "session/1").select("id", "problem")
+
+
+PARTS = """n AS (SELECT s_suppkey % 9 AS ledger, s_suppkey AS ord, 'mem_' || s_suppkey AS id, CASE WHEN s_suppkey % 10 = 0 THEN '[1]' WHEN s_suppkey % 10 = 1 THEN NULL ELSE 'object' END AS shape FROM supplier),
+p AS (SELECT p_partkey % 9 AS ledger, p_partkey AS ord, 'patch_' || p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 'create' WHEN 1 THEN 'update' WHEN 2 THEN 'forget' ELSE 'invent' END AS op FROM part),
+c AS (SELECT c_custkey % 9 AS ledger, c_custkey AS ord, 'edge_' || c_custkey AS id FROM customer),
+known AS (SELECT ledger, id FROM n), knownp AS (SELECT ledger, id FROM p),
+bad AS (SELECT ledger, 0 AS kind, ord, 1 AS rule, 0 AS a, 0 AS b, 'node ' || id || ': unknown status gone' AS problem FROM n WHERE ord % 17 = 0
+UNION ALL SELECT ledger, 0, ord, 2, 0, 0, 'node ' || id || ': relations must be object' FROM n WHERE shape IS NULL OR shape <> 'object'
+UNION ALL SELECT ledger, 0, ord, 3, 1, 0, 'node ' || id || ': relations.note must be list' FROM n WHERE shape = 'object' AND ord % 3 = 0
+UNION ALL SELECT ledger, 0, ord, 3, 0, b, 'node ' || id || ': relations.refines missing node ' || ref FROM (SELECT *, unnest([0, 1]) AS b, unnest(['mem_' || (ord + 9), 'mem_' || (ord * 3)]) AS ref FROM n WHERE shape = 'object') r WHERE NOT EXISTS (SELECT 1 FROM known WHERE known.ledger = r.ledger AND known.id = r.ref)
+UNION ALL SELECT ledger, 1, ord, 1, 0, 0, 'patch ' || id || ': unknown operation invent' FROM p WHERE op = 'invent'
+UNION ALL SELECT ledger, 1, ord, 2, b, 0, 'patch ' || id || ': missing target node ' || ref FROM (SELECT *, unnest([0, 1]) AS b, unnest(['mem_' || (ord - 9), 'mem_' || ord]) AS ref FROM p) r WHERE NOT EXISTS (SELECT 1 FROM known WHERE known.ledger = r.ledger AND known.id = r.ref)
+UNION ALL SELECT ledger, 1, ord, 3, 0, 0, 'patch ' || id || ': missing new node mem_x' FROM p WHERE ord % 6 = 0
+UNION ALL SELECT ledger, 2, ord, 1, 0, 0, 'edge ' || id || ': unknown type likes' FROM c WHERE ord % 8 = 0
+UNION ALL SELECT ledger, 2, ord, 2, 0, 0, 'edge ' || id || ': missing from node mem_' || (ord + 18) FROM c WHERE NOT EXISTS (SELECT 1 FROM known WHERE known.ledger = c.ledger AND known.id = 'mem_' || (c.ord + 18))
+UNION ALL SELECT ledger, 2, ord, 3, 0, 0, 'edge ' || id || ': missing to node ' || CASE WHEN ord % 4 = 0 THEN 'undefined' ELSE 'mem_' || ord END FROM c WHERE ord % 4 = 0 OR NOT EXISTS (SELECT 1 FROM known WHERE known.ledger = c.ledger AND known.id = 'mem_' || c.ord)
+UNION ALL SELECT ledger, 2, ord, 4, 0, 0, 'edge ' || id || ': missing source patch patch_' || (2 * ord) FROM c WHERE ord % 5 > 0 AND NOT EXISTS (SELECT 1 FROM knownp WHERE knownp.ledger = c.ledger AND knownp.id = 'patch_' || (2 * c.ord))
+UNION ALL SELECT user_id % 9, 3, user_id, 1, 0, 0, 'session s' || user_id || ': unknown status lost' FROM (SELECT DISTINCT user_id FROM events) WHERE user_id % 3 = 0)"""
+
+
+def _whole_ledgers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All problems of nine ledgers: suppliers are nodes, parts patches, customers edges, users sessions."""
+    own = lambda k, prefix: [(F.col(k) % 9).alias("ledger"), F.col(k).alias("ord"), F.concat(F.lit(prefix), F.col(k).cast("string")).alias("id")]
+    mem = lambda c: F.concat(F.lit("mem_"), c.cast("string"))
+    full = lambda fields: _present(fields, "", F.lit(False)).alias("present")
+    s, p, c, u = F.col("s_suppkey"), F.col("p_partkey"), F.col("c_custkey"), F.col("user_id")
+    note = F.when(s % 3 == 0, F.lit(',"note":"mem_1"')).otherwise("")
+    related = F.concat(F.lit('{"refines":["'), mem(s + 9), F.lit('","'), mem(s * 3), F.lit('"]'), note, F.lit("}"))
+    nodes = table(spark, sf_dir, "supplier").select(
+        *own("s_suppkey", "mem_"), F.lit(VERSION).alias("schema_version"), F.lit("task").alias("type"), F.when(s % 17 == 0, "gone").otherwise("active").alias("status"), F.lit("x").alias("content"), F.lit("l").alias("label"),
+        F.array().cast("array<string>").alias("span_sources"), F.when(s % 10 == 0, "[1]").when(s % 10 > 1, related).alias("relations"), full(validate.vocab.NODE_FIELDS),
+    )
+    ops = F.element_at(F.array(*map(F.lit, ("create", "update", "forget", "invent"))), (p % 4 + 1).cast("int"))
+    patches = table(spark, sf_dir, "part").select(
+        *own("p_partkey", "patch_"), F.lit("patch/1").alias("schema_version"), ops.alias("operation"), F.array(mem(p - 9), mem(p)).alias("target_ids"), F.lit("new").alias("new_content"),
+        F.when(p % 6 == 0, F.array(F.lit("mem_x"))).alias("new_node_ids"), full(validate.vocab.PATCH_FIELDS),
+    )
+    edges = table(spark, sf_dir, "customer").select(
+        *own("c_custkey", "edge_"), F.lit("edge/1").alias("schema_version"), F.when(c % 8 == 0, "likes").otherwise("blocks").alias("type"), mem(c + 18).alias("from"), F.when(c % 4 > 0, mem(c)).alias("to"),
+        F.when(c % 5 > 0, F.concat(F.lit("patch_"), (2 * c).cast("string"))).otherwise("").alias("source_patch_id"), full(validate.vocab.EDGE_FIELDS),
+    )
+    sessions = table(spark, sf_dir, "events").select("user_id").distinct().select(*own("user_id", "s"), F.lit("session/1").alias("schema_version"), F.when(u % 3 == 0, "lost").otherwise("ended").alias("status"), full(validate.vocab.SESSION_FIELDS))
+    return validate.all_problems(nodes, patches, edges, sessions, {"node": VERSION, "patch": "patch/1", "edge": "edge/1", "session": "session/1"})
+
+
+@query(f"WITH {PARTS} SELECT ledger, kind, ord, problem, count(*) AS n FROM bad GROUP BY ALL")
+def reference_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Problems of all four kinds of records, those of their references among them."""
+    return _whole_ledgers(spark, sf_dir).groupBy("ledger", "kind", "ord", "problem").agg(F.count("*").alias("n"))
+
+
+@query(f"WITH {PARTS}, o AS (SELECT *, (row_number() OVER (PARTITION BY ledger ORDER BY kind, ord, rule, a, b) - 1) // 50 AS block FROM bad) SELECT ledger, block, string_agg(problem, '; ' ORDER BY kind, ord, rule, a, b) AS problems, count(*) AS n_problems FROM o GROUP BY ledger, block")
+def problem_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The problems of a ledger in the order of reading, fifty to a text."""
+    return validate.problem_blocks(_whole_ledgers(spark, sf_dir), size=50)

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -28,13 +28,25 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder where driver and executors both write. Only a local master may do without ``spark.checkpoint.dir``."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """A new folder where driver and executors both write; it goes when Spark ends. Only a local master may do without ``spark.checkpoint.dir``."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/ledgerloom-streams"
-    return f"{root}/{uuid.uuid4().hex}"
+    path = f"{root}/{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(target)
+    system.deleteOnExit(target)
+    return path
+
+
+def staged(rows: DataFrame, label: str) -> DataFrame:
+    """Cut the lineage: ``rows`` written to the shared folder and read back."""
+    path, schema = f"{shared_dir(rows.sparkSession)}/{label}", rows.schema
+    rows.write.option("compression", "zstd").parquet(path)
+    return rows.sparkSession.read.schema(schema).parquet(path)
 
 
 def session(master: str | None = None, **conf: str) -> SparkSession:

@@ -16,6 +16,12 @@ NODE_FIELDS = ("schema_version", "id", "type", "scope", "key", "content", "statu
 PATCH_FIELDS = ("schema_version", "id", "operation", "target_ids", "new_node_ids", "reason", "source", "confidence", "resolution_policy", "created_at", "applied_at")
 EDGE_FIELDS = ("schema_version", "id", "from", "to", "type", "created_at", "source_patch_id")
 SESSION_FIELDS = ("schema_version", "id", "agent", "workspace", "project", "started_at", "ended_at", "status", "parent_session_id", "branch_name", "loaded_memory_ids", "session_overlay_ids", "pending_patch_ids", "active_task", "policy", "events", "created_at", "updated_at")
+# What is said of a record that breaks a rule, in the order of the rules; the references come last.
+NODE_PROBLEMS = ("missing {field}", "schema_version must be {version}", "id must start with mem_", "unknown type {type}", "unknown status {status}", "content cannot be empty", "long-term node requires source label or source raw span", "relations must be object", "relations.{relation} must be list", "relations.{relation} missing node {ref}")
+PATCH_PROBLEMS = ("missing {field}", "schema_version must be {version}", "id must start with patch_", "unknown operation {operation}", "target_ids required for {operation}", "new_content required for {operation}", "missing target node {ref}", "missing new node {ref}")
+EDGE_PROBLEMS = ("missing {field}", "schema_version must be {version}", "id must start with edge_", "unknown type {type}", "missing from node {ref}", "missing to node {ref}", "missing source patch {ref}")
+SESSION_PROBLEMS = ("missing {field}", "schema_version must be {version}", "unknown status {status}")
+KINDS = ("node", "patch", "edge", "session")
 EVENT_KIND = "ai_job_summary"
 RETRYABLE_STATUSES = (0, 404, 408, 429)
 TEMPORAL_MODES = ("before", "after", "between", "as_of", "latest")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.bpe import encode_documents
-from ledgerloom.llm.common import id_remainder, stage_table
+from ledgerloom.llm.common import bounded_batches, id_remainder, stage_table
 from ledgerloom.llm.partenum import drop_near_copies
 from ledgerloom.llm.raking import sample
 from ledgerloom.llm.secrets import mask_secrets
@@ -20,17 +20,20 @@ from ledgerloom.llm.toxicity import drop_toxic, train
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop what a model of the labelled documents rejects. Null and empty texts score as the model's bias; repeated rows score alike; a null id is never a label's."""
+    bounded_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return drop_toxic(docs, train(docs, labels, id_remainder("doc_id", 5) != 0))
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of texts that share 0.8 of their five-word shingles: the least id's, of its rows the one of the least hash; of fully equal rows one. Null, empty and wordless texts are linked with nothing and stay."""
+    bounded_batches(spark)
     return drop_near_copies(docs)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mask secrets in the texts. A null text stays null; ``n_chars``, where there is one, follows the masked text (null for null)."""
+    bounded_batches(spark)
     masked = mask_secrets(docs)
     if "n_chars" not in docs.columns:
         return masked
@@ -39,11 +42,13 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sample documents towards flatter shares of sources, languages and topics. Nulls are levels of their own; the draw goes by id, so rows of one id stay or go together."""
+    bounded_batches(spark)
     return sample(docs)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add token ids; a null text has those of the empty one, none."""
+    bounded_batches(spark)
     return encode_documents(docs)
 
 

@@ -27,6 +27,6 @@ def placed(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
 
 def ordered_blocks(rows: DataFrame, group: str, order: Sequence[str], value: str, size: int) -> DataFrame:
     """(group, block, items): the values of each group in order, cut into arrays of ``size``. A null value is left out but takes its place."""
-    numbered = placed(rows.select(group, *order, value), group, order).select(group, "place_", value)
-    items = F.transform(F.array_sort(F.collect_list(F.struct("place_", F.col(value).alias("v")))), lambda x: x["v"])
+    numbered = placed(rows.select(group, *order, F.col(value).alias("value_")), group, order).select(group, "place_", "value_")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("place_", F.col("value_").alias("v")))), lambda x: x["v"])
     return numbered.groupBy(group, F.floor(F.col("place_") / size).alias("block")).agg(F.filter(items, lambda v: v.isNotNull()).alias("items"))

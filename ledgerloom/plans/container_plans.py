@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.registry import query, table
-from ledgerloom.sources import container
+from ledgerloom.session import shared_dir
+from ledgerloom.sources import byte_ranges, container
 
 MAGIC, VERSION = "LOOM", "0.1"
 
@@ -79,3 +81,38 @@ def count_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 def container_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first problem of each container."""
     return container.verify(containers(spark, sf_dir), MAGIC, VERSION)
+
+
+def container_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of the containers, each written to a file of its own and read in ranges of 1,500 bytes."""
+    folder = shared_dir(spark)
+
+    @F.pandas_udf("bigint")
+    def write(paths: pd.Series, contents: pd.Series) -> pd.Series:
+        system, top = byte_ranges.place(folder)
+        for path, content in zip(paths, contents, strict=True):
+            with system.open_output_stream(f"{top}/{path}") as out:
+                out.write(content.encode())
+        return contents.str.len()
+
+    containers(spark, sf_dir).select(write("path", "content").alias("n")).agg(F.sum("n")).collect()
+    return byte_ranges.read_lines(spark, folder, 1500).withColumn("path", F.element_at(F.split("path", "/"), -1))
+
+
+@query("""WITH l AS (SELECT c_nationkey AS k, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 2 AS pos, CASE WHEN c_nationkey % 7 = 6 THEN 'mem_0' ELSE 'mem_' END || c_custkey AS id, 'nodes' AS section FROM customer
+UNION ALL SELECT s_nationkey, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) + 3 + (SELECT count(*) FROM customer WHERE c_nationkey = s_nationkey), 'patch_' || s_suppkey, 'patches' FROM supplier)
+SELECT 'nation-' || k AS path, pos, section, id FROM l""")
+def container_range_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of files that several tasks read, with line numbers and the sections that ranges inherit."""
+    rows = byte_ranges.records(container_files(spark, sf_dir)).filter("section in ('nodes', 'patches')")
+    return rows.select("path", "pos", "section", F.get_json_object("record", "$.id").alias("id")).filter("id is not null")
+
+
+@query("""WITH n AS (SELECT n_nationkey AS k FROM nation), c AS (SELECT c_nationkey AS k, string_agg(chr(10) || '{"id":"' || CASE WHEN c_nationkey % 7 = 6 THEN 'mem_0' ELSE 'mem_' END || c_custkey || '"}', '' ORDER BY c_custkey) AS t, count(*) AS n FROM customer GROUP BY 1),
+s AS (SELECT s_nationkey AS k, string_agg(chr(10) || '{"id":"patch_' || s_suppkey || '"}', '' ORDER BY s_suppkey) AS t, count(*) AS n FROM supplier GROUP BY 1)
+SELECT 'nation-' || k AS path, 'LOOM' || chr(9) || '0.1' AS magic, CAST(4 + coalesce(c.n, 0) + coalesce(s.n, 0) + CASE WHEN k % 5 = 0 THEN 3 ELSE 0 END + CASE WHEN k % 7 IN (4, 5) THEN 1 ELSE 0 END AS BIGINT) AS n_lines,
+sha256('@nodes' || coalesce(c.t, '') || chr(10) || '@patches' || coalesce(s.t, '') || CASE WHEN k % 5 = 0 THEN chr(10) || '@notes ' || chr(10) || chr(10) || '{"id":"n"}' ELSE '' END ||
+CASE k % 7 WHEN 4 THEN chr(10) || '{oops' WHEN 5 THEN chr(10) || '{"deep":{"API_KEY":1}}' ELSE '' END) AS digest FROM n LEFT JOIN c USING (k) LEFT JOIN s USING (k)""")
+def container_range_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Magic line, number of lines and digest of files that several tasks read."""
+    return byte_ranges.overview(container_files(spark, sf_dir)).select("path", "magic", "n_lines", "digest")

@@ -15,12 +15,13 @@ from dataclasses import dataclass
 
 import pyarrow as pa
 import pyarrow.parquet as pq
-from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ledgerloom.sources.byte_ranges import place
+
 NAME = "ledgerloom_uploads"
 
 
@@ -32,16 +33,12 @@ class Written(WriterCommitMessage):
     rows: int
 
 
-def _place(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 class UploadWriter(DataSourceArrowWriter):
     def __init__(self, path: str):
         self.path = path
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        system, root = _place(self.path)
+        system, root = place(self.path)
         name, rows, out = f"{uuid.uuid4().hex}.parquet", 0, None
         try:
             for batch in iterator:
@@ -60,7 +57,7 @@ class UploadWriter(DataSourceArrowWriter):
         return Written(name if rows else None, rows)
 
     def commit(self, messages: list[Written | None]) -> None:
-        system, root = _place(self.path)
+        system, root = place(self.path)
         system.create_dir(f"{root}/commits", recursive=True)
         name = uuid.uuid4().hex
         with system.open_output_stream(f"{root}/commits/_{name}") as out:
@@ -70,7 +67,7 @@ class UploadWriter(DataSourceArrowWriter):
         system.move(f"{root}/commits/_{name}", f"{root}/commits/{name}.json")  # readers pass over names that begin with _
 
     def abort(self, messages: list[Written | None]) -> None:
-        system, root = _place(self.path)
+        system, root = place(self.path)
         for m in messages:
             if m is not None and m.file:
                 system.delete_file(f"{root}/data/{m.file}")

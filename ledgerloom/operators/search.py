@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import trimmed
@@ -87,6 +87,40 @@ def fan_out(hits: DataFrame, failed: Column | None = None) -> DataFrame:
     return ok.orderBy(F.desc("score"), "bucket_ord", "hit_ord")
 
 
+class SearchError(RuntimeError):
+    """No bucket of a search could be searched."""
+
+
+NO_BUCKETS = "found no searchable buckets"
+
+
+def outcomes(branches: DataFrame, query: str = "query_id") -> DataFrame:
+    """(query, bucket_count, sources_searched, error): how many buckets answered, which were asked, and if none answered why, by the first that failed.
+
+    ``branches``: query, bucket, bucket_ord, reason (null where the bucket answered). A query's buckets are a short list.
+    """
+    asked = F.transform(F.array_sort(F.collect_list(F.struct("bucket_ord", "bucket"))), lambda x: x["bucket"])
+    one = branches.groupBy(query).agg(F.count_if(F.col("reason").isNull()).alias("bucket_count"), asked.alias("sources_searched"), F.min_by("reason", F.when(F.col("reason").isNotNull(), F.col("bucket_ord"))).alias("first_"))
+    return one.withColumn("error", F.when(F.col("bucket_count") == 0, F.coalesce("first_", F.lit(NO_BUCKETS)))).drop("first_")
+
+
+def search(hits: DataFrame, branches: DataFrame, query: str = "query_id") -> DataFrame:
+    """Every query with its outcome and the hits of the buckets that answered, a row a hit, or one without a hit; ``place`` is a hit's rank, best first.
+
+    ``hits``: query, bucket, hit_ord, id, score. Equal scores go by the order of buckets and hits.
+    """
+    answered = branches.filter("reason is null").select(query, "bucket", "bucket_ord")
+    found = hits.join(answered, [query, "bucket"]).withColumn("place", F.row_number().over(Window.partitionBy(query).orderBy(F.desc("score"), "bucket_ord", "hit_ord")))
+    return outcomes(branches, query).join(found, query, "left")
+
+
+def require_answers(found: DataFrame, query: str = "query_id") -> None:
+    """Fail if a query's buckets all failed. An action, as a column that raises could be optimised away."""
+    lost = outcomes(found, query).filter("error is not null").take(1)
+    if lost:
+        raise SearchError(str(lost[0].error))
+
+
 def top_hits(hits: DataFrame, k: int = BUCKET_TOP, tie: str = "id") -> DataFrame:
     return hits.orderBy(F.desc("score"), tie).limit(k)
 

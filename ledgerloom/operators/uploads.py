@@ -1,4 +1,4 @@
-"""What leaves the ledger: queued events, quarantined items, usage tables, upload forms, and the small rules beside them."""
+"""What leaves the ledger: queued events, quarantined items, upload forms, and the small rules beside them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ledgerloom.functions.text import first_filled, number, trimmed
 from ledgerloom.operators.events import queue_name, redact_event
-from ledgerloom.operators.usage import upsert
 
 
 def queued(events: DataFrame) -> DataFrame:
@@ -27,21 +26,6 @@ def quarantine(drained: DataFrame, path: str) -> DataFrame:
     return drained.filter("outcome not in ('quarantined', 'delivered')")
 
 
-def usage_sink(path: str, key: str, *order: str):
-    """A function for ``foreachBatch``: merge each batch of usage rows into a table of the latest row of each key.
-
-    Every batch writes the merged table to a folder of its own and only then names it in ``current``, so a
-    batch that is run again merges into the same predecessor.
-    """
-
-    def merge(rows: DataFrame, batch: int) -> None:
-        spark, before = rows.sparkSession, f"{path}/batch-{batch - 1}"
-        merged = upsert(spark.read.parquet(before), rows, key, *order) if batch > 0 else upsert(rows.limit(0), rows, key, *order)
-        merged.write.mode("overwrite").parquet(f"{path}/batch-{batch}")
-
-    return merge
-
-
 def job_id(own: Column, jobs: Column, event_id: Column) -> Column:
     """The id of an upload: its own, else its first job's, else the event's."""
     return F.coalesce(own, F.try_element_at(jobs, F.lit(1))["job_id"], event_id)

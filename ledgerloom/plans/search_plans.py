@@ -211,7 +211,26 @@ def scope_authz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.allowed(asked, ends, tokens).select("event_id", "allowed")
 
 
-@query("SELECT name FROM (VALUES ('search'), ('fetch'), ('upload')) t(name)")
+@query("SELECT DISTINCT event_type AS name FROM events WHERE event_type NOT IN ('purchase', 'signup')")
 def visible_tools(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tools = spark.createDataFrame([("search",), ("fetch",), ("upload",), ("workflow_list",), ("workflow_run",)], "name string")
-    return search.visible(tools, ("workflow_list", "workflow_dry_run", "workflow_run"), enabled=False)
+    """Kinds of events as tools, two of which are gated."""
+    tools = table(spark, sf_dir, "events").select(F.col("event_type").alias("name")).distinct()
+    return search.visible(tools, ("purchase", "signup", "workflow_run"), enabled=False)
+
+
+def _branches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Users ask a bucket for each kind of event, the kinds by name; some fail, of every fifth user all. Events are hits."""
+    e = table(spark, sf_dir, "events")
+    failed = (F.col("user_id") % 5 == 0) | ((F.col("user_id") + F.length("event_type")) % 3 == 0)
+    asked = e.select(F.col("user_id").alias("query_id"), F.col("event_type").alias("bucket"), F.when(failed, F.concat(F.lit("status 50"), F.length("event_type").cast("string"), F.lit(" from "), "event_type")).alias("reason")).distinct()
+    hits = e.select(F.col("user_id").alias("query_id"), F.col("event_type").alias("bucket"), F.col("event_id").alias("hit_ord"), F.col("event_id").alias("id"), F.floor("value").cast("int").alias("score"))
+    return hits, asked.withColumn("bucket_ord", F.col("bucket"))
+
+
+@query("""WITH a AS (SELECT DISTINCT user_id, event_type, user_id % 5 = 0 OR (user_id + length(event_type)) % 3 = 0 AS failed FROM events),
+o AS (SELECT user_id, count(*) FILTER (NOT failed) AS bucket_count, string_agg(event_type, ',' ORDER BY event_type) AS sources, min_by('status 50' || length(event_type) || ' from ' || event_type, event_type) FILTER (failed) AS first FROM a GROUP BY user_id),
+h AS (SELECT e.user_id, event_id, row_number() OVER (PARTITION BY e.user_id ORDER BY CAST(floor(value) AS INTEGER) DESC, e.event_type, event_id) AS place FROM events e JOIN a ON a.user_id = e.user_id AND a.event_type = e.event_type AND NOT failed)
+SELECT o.user_id AS query_id, bucket_count, sources AS sources_searched, CASE WHEN bucket_count = 0 THEN first END AS error, event_id AS id, place FROM o LEFT JOIN h ON h.user_id = o.user_id""")
+def search_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches over several buckets: hits, buckets that answered, buckets asked, and the error of a search that failed as a whole."""
+    return search.search(*_branches(spark, sf_dir)).select("query_id", "bucket_count", F.array_join("sources_searched", ",").alias("sources_searched"), "error", "id", "place")

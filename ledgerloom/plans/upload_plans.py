@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import documents, uploads
+from ledgerloom.operators import documents, uploads, usage_table
 from ledgerloom.plans.outbox_plans import ITEMS, drained
 from ledgerloom.plans.registry import query, table
 from ledgerloom.session import shared_dir
@@ -35,12 +35,12 @@ def quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, max(event_id) AS event_id, max_by(value, event_id) AS value FROM events GROUP BY user_id")
 def usage_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Batches of usage merged one after the other, one of them twice."""
+    """Batches of usage merged one after the other: one of them twice, the last one first, and one by a stream that begins anew."""
     rows, path = table(spark, sf_dir, "events").select("user_id", "event_id", "value"), f"{shared_dir(spark)}/usage"
-    merge = uploads.usage_sink(path, "user_id", "event_id")
-    for batch in (0, 1, 1, 2):
-        merge(rows.filter(F.col("event_id") % 3 == batch), batch)
-    return spark.read.parquet(f"{path}/batch-2")
+    for batch in (2, 0, 0):
+        usage_table.usage_sink(path, "user_id", "event_id", buckets=8)(rows.filter(F.col("event_id") % 3 == batch), batch)
+    usage_table.usage_sink(path, "user_id", "event_id")(rows.filter("event_id % 3 = 1"), 0)
+    return usage_table.UsageTable(path, "user_id", "event_id").read(spark, "user_id bigint, event_id bigint, value double")
 
 
 @query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 'own' WHEN 1 THEN 'job' || user_id ELSE 'e' || event_id END AS id FROM events")

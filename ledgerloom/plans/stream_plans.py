@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import os
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.registry import query, table
 from ledgerloom.session import shared_dir
-from ledgerloom.streaming import delivery, outbox, windows
+from ledgerloom.sources.byte_ranges import place
+from ledgerloom.streaming import delivery, outbox, queue_files, windows
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +123,43 @@ def stream_outbox_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return last.select("queue", "name", "r.outcome", "r.attempts", stamp("next_attempt_at").alias("next_attempt_at"), "r.last_status", "r.last_error", stamp("at").alias("run_at"))
 
 
+@query("""SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '.json' AS name, CAST(CASE WHEN c_custkey % 3 > 0 OR c_custkey % 7 = 0 THEN 0 WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts,
+CASE WHEN c_custkey % 3 > 0 OR c_custkey % 7 = 0 THEN '1970-01-01T00:00:00.000Z' ELSE 'later' || c_custkey END AS next_attempt_at FROM customer WHERE c_custkey % 20 < 9""")
+def stream_outbox_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as files of a queue, half of them and some states first, then the rest, with states written anew; every 7th state is broken."""
+    k, root = F.col("c_custkey"), shared_dir(spark)
+    folder = f"{root}/queue"
+
+    @F.pandas_udf("int")
+    def write(names: pd.Series, contents: pd.Series) -> pd.Series:
+        system, top = place(folder)
+        system.create_dir(top, recursive=True)
+        for name, content in zip(names, contents, strict=True):
+            with system.open_output_stream(f"{top}/{name}") as out:
+                out.write(content.encode())
+        return pd.Series([1] * len(names), dtype="int32")
+
+    c = table(spark, sf_dir, "customer").filter(k % 20 < 9)
+    name = F.concat(F.lpad(k.cast("string"), 9, "0"), F.lit(".json"))
+    item = c.select(k, name.alias("name"), F.lit("{}").alias("content"))
+
+    def states(tries: int) -> DataFrame:
+        said = F.to_json(F.struct(F.lit(tries).alias("attempts"), F.concat(F.lit("later"), k.cast("string")).alias("next_attempt_at")))
+        return c.filter(k % 3 == 0).select(k, F.concat(name, F.lit(queue_files.STATE_SUFFIX)).alias("name"), F.when(k % 7 == 0, "{broken").otherwise(said).alias("content"))
+
+    outbox.use_timers(spark)
+    arrivals = (item.filter(k % 2 == 0).unionByName(states(1)), item.filter(k % 2 == 1).unionByName(states(2).filter(k % 2 == 0)))
+    for rows in arrivals:
+        rows.select(write("name", "content").alias("n")).agg(F.sum("n")).collect()
+
+        def keep(found: DataFrame, batch: int) -> None:
+            found.withColumn("batch_", F.lit(batch)).write.mode("append").parquet(f"{root}/out")
+
+        stream = queue_files.listing(queue_files.read_queue_stream(spark, folder, settle=0))
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{root}/state").outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    return _last(spark.read.parquet(f"{root}/out"), "name").select("name", "attempts", "next_attempt_at")
+
+
 def _last(rows: DataFrame, *keys: str) -> DataFrame:
     """Of the rows that each batch wrote, the last of every key."""
     others = [c for c in rows.columns if c not in (*keys, "batch_")]

@@ -120,6 +120,8 @@ class Listing(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         there, state_ms, last_ms, *state = self.item.get() if self.item.exists() else (False, -1, -1, 0, NEVER, None)
+        if 0 <= last_ms <= timerValues.getCurrentWatermarkInMs() - self.keep:  # due to be forgotten, though its timer comes behind the rows
+            there, state_ms, state = False, -1, [0, NEVER, None]
         for batch in rows:
             for name, content, ms in zip(batch["name"], batch["content"], batch["ms"].tolist(), strict=True):
                 last_ms = max(ms, last_ms)

@@ -4,19 +4,24 @@ A text's terms are its distinct words in lower case. Each term's hash votes, wit
 or against each of BITS bits; the signs are the fingerprint. Weights grow with a term's length and the
 logarithm of its count, and are whole numbers, so sums are exact and equal texts have equal fingerprints.
 
-For the search, a fingerprint is cut into BLOCKS blocks and stands in one table for each, keyed by that
-block. Two fingerprints that differ in fewer than twice as many bits as there are blocks differ in at most
-one bit of some block, so a query that probes each table with its block and with each bit of it turned
-loses nothing up to RADIUS = 2 * BLOCKS - 1. Copies are one entry with a count. The stated queries go
-against all entries.
-
-Null texts count as empty; texts without a word have the fingerprint 0. Repeated rows stay.
+For the search, a fingerprint is cut into blocks and stands in one table for each, keyed by that block. Two
+fingerprints within the radius differ in at most radius // blocks bits of some block, so a query that probes
+each table with its block, and with up to so many bits of it turned, loses nothing. Fewer and wider blocks
+need more probes and meet fewer strangers: ``layout`` chooses their number by the numbers of entries and
+queries, so that keys widen with the logarithm of the corpus; whatever it chooses, the result is the same.
+Copies are one entry with a count. The stated queries go against all entries.
+
+Null texts count as empty; empty texts, and those without a word, have the fingerprint 0. A text of any length is
+fingerprinted whole, in memory for its distinct words. Documents of one id follow each other by their texts, null ids first;
+repeated rows stay and follow themselves. A single document follows itself, an empty table gives an empty one. Only
+id and text are read, so no other column can clash.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -30,9 +35,11 @@ from pyspark.sql import types as T
 
 from ledgerloom.llm.common import stage_table, whole
 
-BITS, BLOCKS = 256, 13
+BITS = 256
 #: Reaches texts whose weighted cosine is about 0.95.
-RADIUS = 2 * BLOCKS - 1
+RADIUS = 25
+#: Bits of a block that are turned at most.
+TURNED = 3
 LANES = BITS // 64
 KEPT_WORDS = 300_000
 LONGEST = 12
@@ -92,30 +99,57 @@ def fingerprint_column(text: Column | str) -> Column:
     return prints(whole(text))
 
 
+def ends_of(blocks: int) -> list[int]:
+    return [i * BITS // blocks for i in range(blocks + 1)]
+
+
+def masks(width: int, turned: int) -> list[int]:
+    """Up to ``turned`` bits of a block."""
+    return [sum(1 << bit for bit in bits) for k in range(turned + 1) for bits in itertools.combinations(range(width), k)]
+
+
+def layout(radius: int, entries: int, queries: int) -> int:
+    """How many blocks cost least: rows of tables and probes, and strangers met by chance."""
+
+    def cost(blocks: int) -> float:
+        widths = [high - low for low, high in itertools.pairwise(ends_of(blocks))]
+        probes = [sum(math.comb(w, k) for k in range(radius // blocks + 1)) for w in widths]
+        return entries * blocks + queries * sum(probes) + queries * entries * sum(p / 2**w for p, w in zip(probes, widths, strict=True))
+
+    return min(range(max(5, radius // (TURNED + 1) + 1), max(6, radius + 2)), key=cost)
+
+
+def block_values(lanes: str, blocks: int) -> Column:
+    """array<bigint> of a fingerprint's blocks, which may reach from one lane into the next."""
+    found = []
+    for low, high in itertools.pairwise(ends_of(blocks)):
+        value, left = f"shiftrightunsigned({lanes}[{low // 64}], {low % 64})", 64 - low % 64
+        if left < high - low:
+            value = f"({value} | shiftleft({lanes}[{low // 64 + 1}], {left}))"
+        found.append(F.expr(f"{value} & {(1 << high - low) - 1}L"))
+    return F.array(*found)
+
+
 def near_counts(prints: DataFrame, queries: Column, key: str = "doc_id", lanes: str = "lanes", radius: int = RADIUS) -> DataFrame:
     """(key, n_near) of the rows for which ``queries`` holds: how many other rows have a fingerprint within the radius."""
-    if not 0 <= radius < 2 * BLOCKS:
-        raise ValueError(f"the radius must be under {2 * BLOCKS}")
+    if not 0 <= radius < BITS // 4:
+        raise ValueError(f"the radius must be under {BITS // 4}")
     entries = prints.filter(F.col(lanes).isNotNull()).groupBy(F.col(lanes).alias("theirs")).agg(F.count("*").alias("copies"))
     asked = prints.filter(queries & F.col(lanes).isNotNull()).select(F.col(lanes).alias("own")).distinct()
-    ends = [i * BITS // BLOCKS for i in range(BLOCKS + 1)]
-
-    def block(col: str, i: int) -> str:
-        """The bits from ends[i] to ends[i + 1], which may reach into the next lane."""
-        low, width = ends[i], ends[i + 1] - ends[i]
-        value, left = f"shiftrightunsigned({col}[{low // 64}], {low % 64})", 64 - low % 64
-        if left < width:
-            value = f"({value} | shiftleft({col}[{low // 64 + 1}], {left}))"
-        return f"({value} & {(1 << width) - 1}L)"
-
-    cell = lambda i, value: F.struct(F.lit(i).alias("table"), F.expr(value).alias("block"))
-    probes = [cell(i, f"{block('own', i)} ^ {turned}L") for i in range(BLOCKS) for turned in (0, *(1 << t for t in range(ends[i + 1] - ends[i])))]
-    tables = [cell(i, block("theirs", i)) for i in range(BLOCKS)]
-    distance = F.aggregate(F.zip_with("own", "theirs", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, x: n + x)
+    blocks = layout(radius, entries.count(), asked.count())
+    turned = radius // blocks
+    widths = [high - low for low, high in itertools.pairwise(ends_of(blocks))]
+    wide = F.lit(masks(max(widths), turned))  # masks of narrower blocks are those below their width
+    probes = asked.select("own", F.posexplode(block_values("own", blocks)).alias("table", "value")).withColumn("width", F.element_at(F.lit(widths), F.col("table") + 1))
+    probes = probes.select("own", "table", "value", "width", F.explode(wide).alias("mask")).filter(F.col("mask") < F.expr("shiftleft(1L, width)"))
+    probes = probes.select("own", "table", F.col("value").bitwiseXOR(F.col("mask")).alias("block"))
+    tables = entries.select("theirs", "copies", F.posexplode(block_values("theirs", blocks)).alias("table", "block"))
+    apart = lambda a, b: F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    distance = F.aggregate(apart("own", "theirs"), F.lit(0), lambda n, x: n + x)
+    near = probes.join(tables, ["table", "block"]).filter(distance <= radius)
     # A pair meets in many tables and counts in the first.
-    first = F.expr("CASE " + " ".join(f"WHEN bit_count({block('own', i)} ^ {block('theirs', i)}) <= 1 THEN {i}" for i in range(BLOCKS)) + " END")
-    found = asked.select("own", F.explode(F.array(*probes)).alias("k")).join(entries.select("theirs", "copies", F.explode(F.array(*tables)).alias("k")), "k").filter((distance <= radius) & (first == F.col("k.table")))
-    sums = found.groupBy("own").agg((F.sum("copies") - 1).alias("n_near"))
+    first = F.array_position(F.transform(apart(block_values("own", blocks), block_values("theirs", blocks)), lambda n: n <= turned), True) - 1
+    sums = near.filter(first == F.col("table")).groupBy("own").agg((F.sum("copies") - 1).alias("n_near"))
     return prints.filter(queries).join(sums, F.col(lanes) == F.col("own")).select(key, "n_near")
 
 

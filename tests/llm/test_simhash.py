@@ -80,3 +80,30 @@ def test_near_copies_are_found(spark):
     apart = lambda a, b: sum(int(x).bit_count() for x in (np.array(a) ^ np.array(b)).view(np.uint64).tolist())
     assert got == {i: sum(apart(a, b) <= simhash.RADIUS for j, b in rows if j != i) for i, a in rows if i < 50}
     assert all(got[i] >= 1 for i in range(12)) and 0 < got[0] < 138
+
+
+def test_layouts_widen_with_the_corpus():
+    found = [simhash.layout(simhash.RADIUS, n, n // 50) for n in (1000, 10**6, 10**9)]
+    assert found == sorted(found, reverse=True) and found[-1] < found[0]
+    for blocks in (5, 9, 13, 26):
+        widths = [b - a for a, b in zip(simhash.ends_of(blocks), simhash.ends_of(blocks)[1:])]
+        assert sum(widths) == simhash.BITS
+        for turned in (0, 1, 2):
+            for w in set(widths):
+                assert sorted(simhash.masks(w, turned)) == [m for m in sorted(simhash.masks(max(widths), turned)) if m < 1 << w]
+
+
+def test_any_layout_gives_the_same(spark, monkeypatch):
+    rng, base = random.Random(8), random.Random(9).getrandbits(256)
+    rows = []
+    for i in range(80):
+        p = base
+        for b in rng.sample(range(256), rng.randint(0, 40)):
+            p ^= 1 << b
+        rows.append((i, np.frombuffer(p.to_bytes(32, "little"), "<i8").tolist()))
+    docs = spark.createDataFrame(rows, "doc_id bigint, lanes array<bigint>")
+    apart = lambda a, b: sum(int(x).bit_count() for x in (np.array(a) ^ np.array(b)).view(np.uint64).tolist())
+    for radius, blocks in ((25, 13), (25, 9), (25, 7), (25, 26), (3, 5), (0, 5)):
+        monkeypatch.setattr(simhash, "layout", lambda *a, n=blocks: n)
+        got = {r.doc_id: r.n_near for r in simhash.near_counts(docs, F.col("doc_id") % 4 == 0, radius=radius).collect()}
+        assert got == {i: sum(apart(a, b) <= radius for j, b in rows if j != i) for i, a in rows if i % 4 == 0}

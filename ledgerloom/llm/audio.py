@@ -3,10 +3,12 @@
 ``store`` writes bytes as 8-bit mono WAV; ``features`` reads such a file back, resamples it by a polyphase
 filter, takes overlapped log-mel frames, finds spans of high energy with two thresholds, and cuts the
 frames into patches of one fixed shape. Patches travel as an Arrow fixed-shape tensor column with their
-time spans, in Arrow's stream format. Frames are made in blocks, so a long medium needs little memory.
+time spans, in Arrow's stream format. Frames are made in blocks; samples, resampled samples and frames' results are held
+whole, so a medium needs some 24 bytes of memory for each of its own while it is worked on, whatever its length.
 
 Null texts count as empty; an empty payload is one block of zeros. Equal texts have equal values; the
-sums are taken in double precision and rounded. Repeated rows stay.
+sums are taken in double precision and rounded. Frames exactly at a threshold neither open nor close a segment. Repeated rows
+stay; an empty table gives an empty one. Result columns replace columns of the same names, all others are kept.
 """
 
 from __future__ import annotations

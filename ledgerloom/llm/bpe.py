@@ -7,7 +7,10 @@ shorter token there, and steps back one token where none is left; a position giv
 again, so the work is linear. Pairs are decided by undoing merges at the seam and are kept in a table.
 
 The files of a vocabulary are read where they lie (``path``), never copied. Texts: null counts as empty,
-an empty text has no token. The literal of a special token becomes its id. Repeated rows stay.
+an empty text has no token. The literal of a special token becomes its id. A very long text is encoded whole, piece by piece, in
+memory for its ids; a very long piece too, in linear time. Ties don't arise: of equal merges the left one comes first. Repeated
+rows stay and are encoded alike, an empty table gives an empty one. Result columns replace columns of the same names, all others
+are kept.
 """
 
 from __future__ import annotations

@@ -61,3 +61,24 @@ def test_repeated_rows_are_one_sample(spark, monkeypatch):
     monkeypatch.setattr(langid, "MOST_LANGUAGES", 1)
     with pytest.raises(ValueError, match="languages"):
         learn(docs, F.lit(True), key="k")
+
+
+def test_report_equals_brute_force(spark):
+    """Every prediction and score from the samples by plain searches, ties to the first language by name."""
+    import math
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("n_chars < 1500")
+    samples = learn(docs, langid.id_remainder("k", 4) != 2).samples
+    short = {lang: text[:3000] for lang, text in samples.items()}
+    texts = {r.doc_id: r.text for r in docs.collect()} | {-1: None, -2: "", -3: "12 - 3", -4: "ß"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {r.doc_id: r.p for r in rows.select("doc_id", langid.predict_column(rows, Languages(short)).alias("p")).collect()}
+    for i, text in texts.items():
+        if text is None or not any(c.isalpha() for c in text):
+            assert tuple(got[i]) == ("und", 0.0)
+            continue
+        folded = " ".join(text.lower().split())
+        bits = {lang: brute_phrases(folded, sample) * math.log2(len(sample) + 2) for lang, sample in short.items()}
+        best = min(bits.values())
+        assert got[i].lang_pred == min(lang for lang, b in bits.items() if b == best)
+        assert abs(got[i].score - 1 / sum(2 ** -min(60.0, b - best) for b in bits.values())) < 1e-9

@@ -6,6 +6,8 @@ import pytest
 from ledgerloom.plans import registry
 
 D = "/root/testdata/sf0.001"
+#: Queries that find nothing in so small tables.
+EMPTY: set[str] = set()
 _con = []
 
 
@@ -14,7 +16,7 @@ def test_rows(spark, name):
     if not _con:
         _con.append(compare.connect(D))
     said = compare.differences(registry.queries()[name](spark, D), _con[0], registry.oracle_sql()[name])
-    assert said in ("", "no rows"), said
+    assert said == ("no rows" if name in EMPTY else ""), said
 
 
 def test_all_have_sql():

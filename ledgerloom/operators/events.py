@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ledgerloom.functions.text import cut, first_filled, redact, redact_json
 from ledgerloom.vocab import EVENT_KIND
 
+# UTF-16 units of titles, and of errors: of no answer, of an answer, of a check, of a failed hook.
 TITLE, USAGE_TITLE = 120, 200
+NO_ANSWER, ANSWER, CHECK, FAILURE = 200, 300, 240, 500
 
 
 def construct(rows: DataFrame, keep_kind: bool = False) -> DataFrame:
@@ -78,3 +80,14 @@ def usage_row(events: DataFrame) -> DataFrame:
     there = [c for c in USAGE if c in events.columns]
     known = F.coalesce(*(F.col(c).cast("string") for c in (*there, *(["requests"] if "requests" in events.columns else [])))).isNotNull()
     return events.filter(known).select("event_id", "session_id", *(c for c in BESIDE_USAGE if c in events.columns), *there, title.alias("title"))
+
+
+def delivery_error(status: Column, error: Column) -> Column:
+    """What is kept of an upload's error: of one without an answer (status 0) less than of an answer's text; nothing of a success."""
+    return F.when(status.between(200, 299), None).when(status == 0, cut(error, NO_ANSWER)).otherwise(cut(error, ANSWER))
+
+
+def failure_event(failures: DataFrame) -> DataFrame:
+    """Events of hooks that failed, from rows with id, created_at, source, command and error: the error is redacted, then cut, and the job counts as failed."""
+    rows = failures.withColumns({"job_type": F.lit("hook"), "job_status": F.lit("failed"), "title": F.concat("source", F.lit(" hook "), "command"), "tags": F.lit(None).cast("array<string>"), "redaction": F.lit(None).cast("string")})
+    return construct(rows.withColumn("summary", cut(redact(F.col("error")), FAILURE)).drop("error"))

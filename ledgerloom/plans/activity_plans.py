@@ -179,3 +179,20 @@ def usage_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT user_id, bool_or(event_id % 97 = 1) AS revoked FROM events GROUP BY user_id")
 def auth_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(revoked(F.when(F.col("event_id") % 97 == 1, 401).otherwise(200)).alias("revoked"))
+
+
+@query("""SELECT event_id, substr(repeat('e' || event_id, 90), 1, CASE event_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 300 END) AS kept FROM events WHERE event_id % 3 < 2 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 3 = 2""")
+def delivery_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept of errors without an answer, of answers, and of successes."""
+    k = F.col("event_id")
+    status = F.when(k % 3 == 0, 0).when(k % 3 == 1, 503).otherwise(201)
+    return table(spark, sf_dir, "events").select("event_id", ev.delivery_error(status, F.repeat(F.concat(F.lit("e"), k.cast("string")), F.lit(90))).alias("kept"))
+
+
+@query("""SELECT CAST(event_id AS VARCHAR) AS id, 'ai_job_summary' AS event_kind, 'failed' AS job_status, 'hook hook ' || event_type AS title, substr('[REDACTED_OPENAI_KEY] ' || repeat('x' || user_id, 300), 1, 500) AS summary, 'source:hook,job:hook' AS tags FROM events""")
+def failure_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of failed hooks: errors redacted before they are cut."""
+    k = F.col("event_id").cast("string")
+    error = F.concat(F.lit("sk-"), F.md5(k), F.lit(" "), F.repeat(F.concat(F.lit("x"), F.col("user_id").cast("string")), F.lit(300)))
+    rows = table(spark, sf_dir, "events").select(k.alias("id"), F.col("ts").alias("created_at"), F.lit("hook").alias("source"), F.col("event_type").alias("command"), error.alias("error"))
+    return ev.failure_event(rows).select("id", "event_kind", "job_status", "title", "summary", F.array_join("tags", ",").alias("tags"))

@@ -116,3 +116,10 @@ CASE k % 7 WHEN 4 THEN chr(10) || '{oops' WHEN 5 THEN chr(10) || '{"deep":{"API_
 def container_range_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Magic line, number of lines and digest of files that several tasks read."""
     return byte_ranges.overview(container_files(spark, sf_dir)).select("path", "magic", "n_lines", "digest")
+
+
+@query("""SELECT 'nation-' || n_nationkey AS path, 'format_id' AS warning, 'null' AS detail FROM nation WHERE n_nationkey % 7 = 1
+UNION ALL SELECT 'nation-' || n_nationkey, 'section', 'notes:' || (1 + CASE WHEN n_nationkey % 7 IN (4, 5) THEN 1 ELSE 0 END) FROM nation WHERE n_nationkey % 5 = 0""")
+def container_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other formats and unknown sections, which leave a container valid."""
+    return container.warnings(containers(spark, sf_dir), "ledger/1")

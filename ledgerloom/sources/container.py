@@ -30,7 +30,7 @@ def _lines(content: Column) -> Column:
 def lines(files: DataFrame) -> DataFrame:
     """(path, pos, line, section) of the body, position 2 on; a record keeps the last marker above it."""
     one = files.select("path", F.posexplode(_lines(F.col("content"))).alias("pos", "line")).filter("pos >= 2")
-    marker = F.when(F.startswith("line", F.lit("@")), F.trim(F.substring("line", 2, 1 << 20)))
+    marker = F.when(F.startswith("line", F.lit("@")), F.trim(F.expr("substring(line, 2)")))
     above = Window.partitionBy("path").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     return one.withColumn("section", F.last(marker, ignorenulls=True).over(above))
 
@@ -55,7 +55,10 @@ def unknown_sections(files: DataFrame) -> DataFrame:
 
 
 def count_mismatches(files: DataFrame) -> DataFrame:
-    """(path, section, source, expected, actual) where the header and the body disagree on a known section."""
+    """(path, section, source, expected, actual) where the header and the body disagree on a known section.
+
+    ``expected`` is null where the header has no entry for a section that the body marks, be it empty.
+    """
     header = whole_json(F.try_element_at(_lines(F.col("content")), F.lit(2)))
     known = F.explode(F.array(*map(F.lit, KNOWN_SECTIONS))).alias("section")
     base = files.select("path", header.alias("h"), known)
@@ -65,9 +68,20 @@ def count_mismatches(files: DataFrame) -> DataFrame:
         F.struct(F.lit("sections").alias("source"), F.try_element_at(F.transform(F.filter(listed, lambda s: s["name"] == F.col("section")), lambda s: s["count"]), F.lit(-1)).alias("expected")),
         F.struct(F.lit("counts").alias("source"), F.try_element_at(counted, F.col("section")).alias("expected")),
     )).alias("s")).select("path", "section", "s.*")
-    seen = section_counts(files)
-    both = said.join(seen, ["path", "section"], "left").withColumn("actual", F.coalesce("n_records", F.lit(0)))
-    return both.filter(~F.coalesce("expected", F.lit(0)).eqNullSafe(F.col("actual"))).select("path", "section", "source", "expected", "actual")
+    marked = lines(files).groupBy("path", "section").agg(F.count_if(~F.startswith("line", F.lit("@")) & (F.trim("line") != "")).alias("n_records"))
+    both = said.join(marked, ["path", "section"], "left").withColumn("actual", F.coalesce("n_records", F.lit(0)))
+    wrong = F.when(F.col("expected").isNull(), F.col("n_records").isNotNull()).otherwise(F.col("expected") != F.col("actual"))
+    return both.filter(wrong).select("path", "section", "source", "expected", "actual")
+
+
+def warnings(files: DataFrame, format_id: str) -> DataFrame:
+    """(path, warning, detail): what doesn't make a container invalid: another format than ``format_id``, and sections that nobody knows, with their number of records."""
+    header = whole_json(F.try_element_at(_lines(F.col("content")), F.lit(2)))
+    declared = files.select("path", F.try_variant_get(header, "$.format_id", "string").alias("detail"))
+    formats = declared.filter(~F.col("detail").eqNullSafe(F.lit(format_id))).select("path", F.lit("format_id").alias("warning"), F.coalesce("detail", F.lit("null")).alias("detail"))
+    held = lines(files).filter("section is not null").groupBy("path", "section").agg(F.count_if(~F.startswith("line", F.lit("@")) & (F.trim("line") != "")).alias("n"))
+    strange = held.filter(~F.col("section").isin(*KNOWN_SECTIONS)).select("path", F.lit("section").alias("warning"), F.concat_ws(":", "section", F.col("n").cast("string")).alias("detail"))
+    return formats.unionByName(strange)
 
 
 def verify(files: DataFrame, magic: str, version: str = "0.1", container: str = "ledger") -> DataFrame:

@@ -119,13 +119,13 @@ def layout(radius: int, entries: int, queries: int) -> int:
     return min(range(max(5, radius // (TURNED + 1) + 1), max(6, radius + 2)), key=cost)
 
 
-def block_values(lanes: str, blocks: int) -> Column:
-    """array<bigint> of a fingerprint's blocks, which may reach from one lane into the next."""
+def block_values(prefix: str, blocks: int) -> Column:
+    """array<bigint> of the blocks of a fingerprint in columns of one lane each; a block may reach from one lane into the next."""
     found = []
     for low, high in itertools.pairwise(ends_of(blocks)):
-        value, left = f"shiftrightunsigned({lanes}[{low // 64}], {low % 64})", 64 - low % 64
+        value, left = f"shiftrightunsigned({prefix}{low // 64}, {low % 64})", 64 - low % 64
         if left < high - low:
-            value = f"({value} | shiftleft({lanes}[{low // 64 + 1}], {left}))"
+            value = f"({value} | shiftleft({prefix}{low // 64 + 1}, {left}))"
         found.append(F.expr(f"{value} & {(1 << high - low) - 1}L"))
     return F.array(*found)
 
@@ -134,23 +134,26 @@ def near_counts(prints: DataFrame, queries: Column, key: str = "doc_id", lanes:
     """(key, n_near) of the rows for which ``queries`` holds: how many other rows have a fingerprint within the radius."""
     if not 0 <= radius < BITS // 4:
         raise ValueError(f"the radius must be under {BITS // 4}")
-    entries = prints.filter(F.col(lanes).isNotNull()).groupBy(F.col(lanes).alias("theirs")).agg(F.count("*").alias("copies"))
-    asked = prints.filter(queries & F.col(lanes).isNotNull()).select(F.col(lanes).alias("own")).distinct()
+    apart = lambda prefix: [F.col(lanes)[i].alias(f"{prefix}{i}") for i in range(LANES)]
+    own, theirs = [f"own{i}" for i in range(LANES)], [f"theirs{i}" for i in range(LANES)]
+    entries = prints.filter(F.col(lanes).isNotNull()).groupBy(*apart("theirs")).agg(F.count("*").alias("copies"))
+    asked = prints.filter(queries & F.col(lanes).isNotNull()).select(*apart("own")).distinct()
     blocks = layout(radius, entries.count(), asked.count())
     turned = radius // blocks
     widths = [high - low for low, high in itertools.pairwise(ends_of(blocks))]
+    cell = lambda value: F.shiftleft(F.col("table").cast("bigint"), max(widths)).bitwiseOR(value).alias("cell")
     wide = F.lit(masks(max(widths), turned))  # masks of narrower blocks are those below their width
-    probes = asked.select("own", F.posexplode(block_values("own", blocks)).alias("table", "value")).withColumn("width", F.element_at(F.lit(widths), F.col("table") + 1))
-    probes = probes.select("own", "table", "value", "width", F.explode(wide).alias("mask")).filter(F.col("mask") < F.expr("shiftleft(1L, width)"))
-    probes = probes.select("own", "table", F.col("value").bitwiseXOR(F.col("mask")).alias("block"))
-    tables = entries.select("theirs", "copies", F.posexplode(block_values("theirs", blocks)).alias("table", "block"))
-    apart = lambda a, b: F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
-    distance = F.aggregate(apart("own", "theirs"), F.lit(0), lambda n, x: n + x)
-    near = probes.join(tables, ["table", "block"]).filter(distance <= radius)
+    probes = asked.select(*own, F.posexplode(block_values("own", blocks)).alias("table", "value")).withColumn("width", F.element_at(F.lit(widths), F.col("table") + 1))
+    probes = probes.select(*own, "table", "value", "width", F.explode(wide).alias("mask")).filter(F.col("mask") < F.expr("shiftleft(1L, width)"))
+    probes = probes.select(*own, cell(F.col("value").bitwiseXOR(F.col("mask"))))
+    tables = entries.select(*theirs, "copies", F.posexplode(block_values("theirs", blocks)).alias("table", "value")).select(*theirs, "copies", cell(F.col("value")))
+    distance = functools.reduce(Column.__add__, (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(own, theirs, strict=True)))
+    near = probes.join(tables, "cell").filter(distance <= radius)
     # A pair meets in many tables and counts in the first.
-    first = F.array_position(F.transform(apart(block_values("own", blocks), block_values("theirs", blocks)), lambda n: n <= turned), True) - 1
-    sums = near.filter(first == F.col("table")).groupBy("own").agg((F.sum("copies") - 1).alias("n_near"))
-    return prints.filter(queries).join(sums, F.col(lanes) == F.col("own")).select(key, "n_near")
+    first = F.array_position(F.zip_with(block_values("own", blocks), block_values("theirs", blocks), lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= turned), True) - 1
+    sums = near.filter(first == F.shiftright("cell", max(widths))).groupBy(*own).agg((F.sum("copies") - 1).alias("n_near"))
+    same = functools.reduce(Column.__and__, (F.col(lanes)[i] == F.col(own[i]) for i in range(LANES)))
+    return prints.filter(queries).join(sums, same).select(key, "n_near")
 
 
 _ROW = T.StructType([

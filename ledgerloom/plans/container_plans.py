@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.operators import ledger
+from ledgerloom.plans.files import write_files
 from ledgerloom.plans.registry import query, table
 from ledgerloom.session import shared_dir
 from ledgerloom.sources import byte_ranges, container
@@ -86,16 +87,7 @@ def container_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
 def container_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines of the containers, each written to a file of its own and read in ranges of 1,500 bytes."""
     folder = shared_dir(spark)
-
-    @F.pandas_udf("bigint")
-    def write(paths: pd.Series, contents: pd.Series) -> pd.Series:
-        system, top = byte_ranges.place(folder)
-        for path, content in zip(paths, contents, strict=True):
-            with system.open_output_stream(f"{top}/{path}") as out:
-                out.write(content.encode())
-        return contents.str.len()
-
-    containers(spark, sf_dir).select(write("path", "content").alias("n")).agg(F.sum("n")).collect()
+    write_files(containers(spark, sf_dir), folder, "path")
     return byte_ranges.read_lines(spark, folder, 1500).withColumn("path", F.element_at(F.split("path", "/"), -1))
 
 
@@ -123,3 +115,15 @@ UNION ALL SELECT 'nation-' || n_nationkey, 'section', 'notes:' || (1 + CASE WHEN
 def container_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Other formats and unknown sections, which leave a container valid."""
     return container.warnings(containers(spark, sf_dir), "ledger/1")
+
+
+@query("""SELECT 'nation-' || n_nationkey AS ledger, CASE WHEN n_nationkey % 4 = 0 THEN 'own summary' ELSE 'of ' || n_name END AS summary, 'LOOM' || chr(9) || '0.1' AS magic,
+CASE WHEN n_nationkey % 7 = 6 THEN 'other' ELSE 'same' END AS checksum FROM nation""")
+def envelope_with_container(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Envelopes with their container's own text and recorded checksum; overrides come last."""
+    files = containers(spark, sf_dir).select(F.col("path").alias("ledger"), "content")
+    envelopes = table(spark, sf_dir, "nation").select(F.concat(F.lit("nation-"), F.col("n_nationkey").cast("string")).alias("ledger"), F.concat(F.lit("of "), "n_name").alias("summary"), F.col("n_nationkey").alias("k"))
+    recorded = F.get_json_object(F.element_at(F.split("content", "\n"), 2), "$.content_sha256")
+    found = ledger.with_container(envelopes, files, recorded, {"summary": F.when(F.col("k") % 4 == 0, "own summary").otherwise(F.col("summary"))})
+    same = F.col("container_checksum") == container.checksum(F.col("container_text"))
+    return found.select("ledger", "summary", F.substring_index("container_text", "\n", 1).alias("magic"), F.when(same, "same").otherwise("other").alias("checksum"))

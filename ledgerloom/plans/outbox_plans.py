@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import outbox
+from ledgerloom.plans.files import write_files
 from ledgerloom.plans.registry import query, table
-from ledgerloom.sources.records import with_state
+from ledgerloom.session import shared_dir
+from ledgerloom.sources.records import read_json, read_queue, read_states, with_state
 
 STATUSES = (0, 200, 404, 408, 429, 500, 400, 401, 422)
 NOW = "2024-02-01 00:00:00"
@@ -73,6 +75,33 @@ def outbox_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_state(i.select("name"), state).select("name", "attempts", "next_attempt_at")
 
 
+@query("""SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '.json' AS name, CAST(CASE WHEN c_custkey % 6 = 0 THEN c_custkey % 5 ELSE 0 END AS INTEGER) AS attempts,
+CASE WHEN c_custkey % 6 = 0 THEN 'later' ELSE '1970-01-01T00:00:00.000Z' END AS next_attempt_at, md5(c_name) AS digest FROM customer WHERE c_custkey % 10 < 4""")
+def queue_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as files of a queue, some beside their state, every 9th of these broken, and a configuration that is no item."""
+    k, folder = F.col("c_custkey"), f"{shared_dir(spark)}/queue"
+    c = table(spark, sf_dir, "customer").filter(k % 10 < 4)
+    name = F.concat(F.lpad(k.cast("string"), 9, "0"), F.lit(".json"))
+    state = F.when(k % 6 == 0, F.to_json(F.struct((k % 5).alias("attempts"), F.lit("later").alias("next_attempt_at")))).otherwise("{broken")
+    write_files(c.select(name.alias("name"), F.to_json(F.struct("c_name")).alias("content")), folder)
+    write_files(c.filter((k % 6 == 0) | (k % 9 == 0)).select(F.concat(name, F.lit(".state.json")).alias("name"), state.alias("content")), folder)
+    write_files(c.limit(1).select(F.lit("config.json").alias("name"), F.lit("{}").alias("content")), folder)
+    listed = with_state(read_queue(spark, folder), read_states(spark, folder))
+    return listed.select("name", "attempts", "next_attempt_at", F.md5(F.get_json_object("content", "$.c_name")).alias("digest"))
+
+
+@query("SELECT s_suppkey AS id, s_name AS name, CASE WHEN s_suppkey % 2 = 0 THEN s_nationkey END AS nation FROM supplier")
+def json_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as JSON files, an object or a list a file, read again."""
+    k, folder = F.col("s_suppkey"), f"{shared_dir(spark)}/json"
+    one = F.struct(k.alias("id"), F.col("s_name").alias("name"), F.when(k % 2 == 0, F.col("s_nationkey")).alias("nation"))
+    s = table(spark, sf_dir, "supplier")
+    write_files(s.filter(k % 3 > 0).select(F.concat(k.cast("string"), F.lit(".json")).alias("name"), F.to_json(one, {"pretty": "true"}).alias("content")), folder)
+    lists = s.filter(k % 3 == 0).groupBy((k % 4).alias("g")).agg(F.to_json(F.collect_list(one)).alias("content"))
+    write_files(lists.select(F.concat(F.lit("list"), F.col("g").cast("string"), F.lit(".json")).alias("name"), "content"), folder)
+    return read_json(spark, folder, "id bigint, name string, nation bigint")
+
+
 @query("SELECT user_id, CASE WHEN bool_or(event_id % 50 = 0) THEN 'needs_login' WHEN bool_or(event_id % 5 = 0) THEN 'degraded' ELSE 'ok' END AS health FROM events GROUP BY user_id")
 def doctor_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 import os
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerloom.plans.files import write_files
 from ledgerloom.plans.registry import query, table
 from ledgerloom.session import shared_dir
-from ledgerloom.sources.byte_ranges import place
 from ledgerloom.streaming import delivery, outbox, queue_files, windows
 
 
@@ -129,16 +128,6 @@ def stream_outbox_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as files of a queue, half of them and some states first, then the rest, with states written anew; every 7th state is broken."""
     k, root = F.col("c_custkey"), shared_dir(spark)
     folder = f"{root}/queue"
-
-    @F.pandas_udf("int")
-    def write(names: pd.Series, contents: pd.Series) -> pd.Series:
-        system, top = place(folder)
-        system.create_dir(top, recursive=True)
-        for name, content in zip(names, contents, strict=True):
-            with system.open_output_stream(f"{top}/{name}") as out:
-                out.write(content.encode())
-        return pd.Series([1] * len(names), dtype="int32")
-
     c = table(spark, sf_dir, "customer").filter(k % 20 < 9)
     name = F.concat(F.lpad(k.cast("string"), 9, "0"), F.lit(".json"))
     item = c.select(k, name.alias("name"), F.lit("{}").alias("content"))
@@ -150,7 +139,7 @@ def stream_outbox_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     outbox.use_timers(spark)
     arrivals = (item.filter(k % 2 == 0).unionByName(states(1)), item.filter(k % 2 == 1).unionByName(states(2).filter(k % 2 == 0)))
     for rows in arrivals:
-        rows.select(write("name", "content").alias("n")).agg(F.sum("n")).collect()
+        write_files(rows, folder)
 
         def keep(found: DataFrame, batch: int) -> None:
             found.withColumn("batch_", F.lit(batch)).write.mode("append").parquet(f"{root}/out")

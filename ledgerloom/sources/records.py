@@ -55,6 +55,17 @@ def read_queue(spark: SparkSession, path: str) -> DataFrame:
     return files.select(name.alias("name"), F.decode("content", "UTF-8").alias("content")).filter(~F.endswith("name", F.lit(".state.json")) & (F.col("name") != "config.json")).orderBy("name")
 
 
+def read_states(spark: SparkSession, path: str) -> DataFrame:
+    """(name, attempts, next_attempt_at, last_error, last_status) of the items that have a state file; what is broken, missing or of another type is null."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.state.json").load(path)
+    state = whole_json(F.decode("content", "UTF-8"))
+    kind = lambda k: F.coalesce(F.schema_of_variant(F.try_variant_get("s", f"$.{k}", "variant")), F.lit("VOID"))
+    number = lambda k: F.when(kind(k).rlike("BIGINT|DECIMAL|DOUBLE"), F.try_variant_get("s", f"$.{k}", "double").cast("int"))
+    text = lambda k: F.when(kind(k) == "STRING", F.try_variant_get("s", f"$.{k}", "string"))
+    item = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.state\.json$", "")
+    return files.select(item.alias("name"), state.alias("s")).select("name", number("attempts").alias("attempts"), text("next_attempt_at").alias("next_attempt_at"), text("last_error").alias("last_error"), number("last_status").alias("last_status"))
+
+
 def with_state(items: DataFrame, state: DataFrame) -> DataFrame:
     """Items with attempts and next attempt; without a state these are 0 and the epoch."""
     return items.join(state, "name", "left").withColumns({"attempts": F.coalesce("attempts", F.lit(0)), "next_attempt_at": F.coalesce("next_attempt_at", F.lit("1970-01-01T00:00:00.000Z"))})

@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -111,36 +111,35 @@ def records(lines: DataFrame) -> DataFrame:
     return body(lines).filter(~F.startswith("line", F.lit("@")) & (F.trim("line") != "")).select("path", "pos", "section", F.col("line").alias("record"))
 
 
-def _digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    path, state = None, None
+OVERVIEW = "path string, magic string, head string, n_lines bigint, digest string"
+
+
+def _read_through(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row a file from its lines in order; only the batch at hand is held."""
+    names, one, state = [c.split()[0] for c in OVERVIEW.split(", ")], None, None
     for batch in batches:
         done = []
-        for own, line in zip(batch["path"], batch["line"], strict=True):
-            if own != path:
-                if path is not None:
-                    done.append((path, state.hexdigest()))
-                path, state = own, hashlib.sha256(line.encode())
+        for path, line in zip(batch["path"], batch["line"], strict=True):
+            if one is None or path != one[0]:
+                if one is not None:
+                    done.append((*one, state.hexdigest()))
+                one, state = [path, None, None, 0], hashlib.sha256()
+            if one[3] < 2:
+                one[1 + one[3]] = line
             else:
-                state.update(b"\n")
-                state.update(line.encode())
-        yield pd.DataFrame(done, columns=["path", "digest"], dtype=object)
-    if path is not None:
-        yield pd.DataFrame([(path, state.hexdigest())], columns=["path", "digest"])
-
-
-def checksums(lines: DataFrame) -> DataFrame:
-    """(path, digest): sha256 of each body's lines, markers and blank ones included; of an empty body that of the empty text."""
-    ordered = body(lines).select("path", "pos", "line").repartition("path").sortWithinPartitions("path", "pos")
-    found = ordered.select("path", "line").mapInPandas(_digests, "path string, digest string")
-    return lines.select("path").distinct().join(found, "path", "left").select("path", F.coalesce("digest", F.lit(hashlib.sha256(b"").hexdigest())).alias("digest"))
+                state.update(("\n" + line if one[3] > 2 else line).encode())
+            one[3] += 1
+        yield pd.DataFrame(done, columns=names).astype({"n_lines": "int64"})
+    if one is not None:
+        yield pd.DataFrame([(*one, state.hexdigest())], columns=names)
 
 
-def line_at(pos: int) -> Column:
-    """Aggregate: a file's line by its number."""
-    return F.max(F.when(F.col("pos") == pos, F.col("line")))
+def overview(lines: DataFrame) -> DataFrame:
+    """(path, magic, head, n_lines, digest): the first two lines of each file, the number of all, and the sha256 of the body's, markers and blank ones included."""
+    ordered = lines.select("path", "pos", "line").repartition("path").sortWithinPartitions("path", "pos")
+    return ordered.select("path", "line").mapInPandas(_read_through, OVERVIEW)
 
 
-def overview(lines: DataFrame) -> DataFrame:
-    """(path, magic, head, n_lines, digest): the first two lines of each file, the number of all, and the digest of the body."""
-    one = lines.groupBy("path").agg(line_at(0).alias("magic"), line_at(1).alias("head"), F.count("*").alias("n_lines"))
-    return one.join(checksums(lines), "path")
+def checksums(lines: DataFrame) -> DataFrame:
+    """(path, digest): of an empty body that of the empty text."""
+    return overview(lines).select("path", "digest")

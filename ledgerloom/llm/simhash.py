@@ -148,7 +148,7 @@ def near_counts(prints: DataFrame, queries: Column, key: str = "doc_id", lanes:
     probes = probes.select(*own, cell(F.col("value").bitwiseXOR(F.col("mask"))))
     tables = entries.select(*theirs, "copies", F.posexplode(block_values("theirs", blocks)).alias("table", "value")).select(*theirs, "copies", cell(F.col("value")))
     distance = functools.reduce(Column.__add__, (F.bit_count(F.col(a).bitwiseXOR(F.col(b))) for a, b in zip(own, theirs, strict=True)))
-    near = probes.join(tables, "cell").filter(distance <= radius)
+    near = probes.hint("merge").join(tables.hint("merge"), "cell").filter(distance <= radius)  # Spark would judge the probes by the queries' size and broadcast them
     # A pair meets in many tables and counts in the first.
     first = F.array_position(F.zip_with(block_values("own", blocks), block_values("theirs", blocks), lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= turned), True) - 1
     sums = near.filter(first == F.shiftright("cell", max(widths))).groupBy(*own).agg((F.sum("copies") - 1).alias("n_near"))

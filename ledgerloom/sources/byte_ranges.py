@@ -1,7 +1,7 @@
 """Containers of any size, read in byte ranges by several tasks.
 
 A line belongs to the range in which it begins. Ranges have a fixed length, so a file is cut alike however often and wherever it is
-read; a line's number is its number within the range plus what the ranges before hold, and a range inherits the last section marker of
+read. A task reads one range, or several small ones if there are more than TASKS, up to RANGE_BYTES. A line's number is its number within the range plus what the ranges before hold, and a range inherits the last section marker of
 those before it. Both are sums over one row a range. The digest of a body goes through its lines in order with one state, in constant
 memory; it is the one thing that a single task does for a file. Paths are reached through Arrow's file systems, on the driver for sizes
 only.
@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import io
+import itertools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -21,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 NAME, RANGE_BYTES, BATCH_LINES = "ledgerloom_ranges", 32 << 20, 4096
+#: Ranges beyond so many share tasks.
+TASKS = 256
 SCHEMA = "path string, part bigint, row bigint, line string, section string"
 
 
@@ -29,51 +33,67 @@ def place(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, part: int, low: int, high: int):
-        self.path, self.part, self.low, self.high = path, part, low, high
+@dataclass(frozen=True)
+class Range:
+    path: str
+    part: int
+    low: int
+    high: int
+
+
+class Ranges(InputPartition):
+    def __init__(self, ranges: list[Range]):
+        self.ranges = ranges
 
 
 class RangeReader(DataSourceReader):
     def __init__(self, root: str, length: int):
         self.root, self.length = root, length
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         system, top = place(self.root)
         info = system.get_file_info(top)
         files = [info] if info.type == fs.FileType.File else system.get_file_info(fs.FileSelector(top, recursive=True))
         plain = [f for f in files if f.type == fs.FileType.File and f.size and not f.base_name.startswith(("_", "."))]
-        return [Range(f.path, k, low, min(f.size, low + self.length)) for f in sorted(plain, key=lambda f: f.path) for k, low in enumerate(range(0, f.size, self.length))]
+        ranges = [Range(f.path, k, low, min(f.size, low + self.length)) for f in sorted(plain, key=lambda f: f.path) for k, low in enumerate(range(0, f.size, self.length))]
+        n = max(1, min(RANGE_BYTES // self.length, -(-len(ranges) // TASKS)))
+        return [Ranges(ranges[i : i + n]) for i in range(0, len(ranges), n)]
 
-    def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        """The lines that begin in the range, each with the last marker above it in the range."""
+    def read(self, partition: Ranges) -> Iterator[pa.RecordBatch]:
+        """The lines that begin in each range, each with the last marker above it in its range; a file is opened once."""
         system, _ = place(self.root)
-        with io.BufferedReader(system.open_input_file(partition.path), 1 << 20) as file:
-            at = partition.low
-            if at:  # a line begins after a line's end
-                file.seek(at - 1)
-                at += len(file.readline()) - 1
-            rows, section, lines, sections = 0, None, [], []
-            while at < partition.high and (raw := file.readline()):
-                at += len(raw)
-                line = (raw[:-1] if raw.endswith(b"\n") else raw).decode("utf-8", "replace")
-                if line.startswith("@"):
-                    section = line[1:].strip()
-                lines.append(line)
-                sections.append(section)
-                if len(lines) >= BATCH_LINES:
-                    yield self.batch(partition, rows, lines, sections)
-                    rows, lines, sections = rows + len(lines), [], []
-            if lines:
-                yield self.batch(partition, rows, lines, sections)
-
-    def batch(self, partition: Range, rows: int, lines: list[str], sections: list[str | None]) -> pa.RecordBatch:
-        n = len(lines)
-        columns = [pa.array([partition.path] * n), pa.array([partition.part] * n, pa.int64()), pa.array(range(rows, rows + n), pa.int64()), pa.array(lines), pa.array(sections, pa.string())]
-        return pa.record_batch(columns, names=["path", "part", "row", "line", "section"])
-
-
-class Ranges(DataSource):
+        rows: list[tuple] = []
+        for path, ranges in itertools.groupby(partition.ranges, key=lambda r: r.path):
+            with io.BufferedReader(system.open_input_file(path), 1 << 20) as file:
+                for own in ranges:
+                    for row in self.lines(file, own):
+                        rows.append(row)
+                        if len(rows) >= BATCH_LINES:
+                            yield self.batch(rows)
+                            rows = []
+        if rows:
+            yield self.batch(rows)
+
+    def lines(self, file: io.BufferedReader, own: Range) -> Iterator[tuple]:
+        at = own.low
+        file.seek(max(0, at - 1))
+        if at:  # a line begins after a line's end
+            at += len(file.readline()) - 1
+        row, section = 0, None
+        while at < own.high and (raw := file.readline()):
+            at += len(raw)
+            line = (raw[:-1] if raw.endswith(b"\n") else raw).decode("utf-8", "replace")
+            if line.startswith("@"):
+                section = line[1:].strip()
+            yield own.path, own.part, row, line, section
+            row += 1
+
+    def batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["path", "part", "row", "line", "section"])
+
+
+class RangeSource(DataSource):
     """``spark.read.format("ledgerloom_ranges").option("rangeBytes", n).load(path)``, after ``register``."""
 
     @classmethod
@@ -88,7 +108,7 @@ class Ranges(DataSource):
 
 
 def register(spark: SparkSession) -> None:
-    spark.dataSource.register(Ranges)
+    spark.dataSource.register(RangeSource)
 
 
 def read_lines(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:

@@ -57,3 +57,20 @@ def test_one_file_by_several_tasks(spark, tmp_path):
     from pyspark.sql import functions as F
 
     assert byte_ranges.checksums(lines).first().digest == files.select(container.checksum(F.col("content")).alias("d")).first().d
+
+
+def test_small_ranges_share_tasks(tmp_path):
+    """Many ranges of a few bytes are read by at most TASKS tasks, with the parts and rows they have alone; large ones are not put together."""
+    texts = {f"f{i}": "".join(f"@s{j}\n" if j % 50 == 0 else f"line {i} {j}\n" for j in range(300 * i)) for i in range(5)}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    reader = byte_ranges.RangeReader(str(tmp_path), 40)
+    dealt = reader.partitions()
+    alone = [own for p in dealt for own in p.ranges]
+    assert len(alone) > 2 * byte_ranges.TASKS >= 2 * len(dealt)
+    rows = lambda parts: [r for p in parts for b in reader.read(p) for r in zip(*b.to_pydict().values(), strict=True)]
+    got = rows(dealt)
+    assert got == rows([byte_ranges.Ranges([own]) for own in alone])
+    assert {name: [r[3] for r in got if r[0].endswith(f"/{name}")] for name in texts} == {name: text.split("\n")[:-1] for name, text in texts.items()}
+    assert all(r[2] == 0 or r[1] == before[1] for before, r in zip(got, got[1:]))
+    assert [len(p.ranges) for p in byte_ranges.RangeReader(str(tmp_path), byte_ranges.RANGE_BYTES).partitions()] == [1] * 4

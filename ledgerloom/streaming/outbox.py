@@ -1,6 +1,7 @@
 """The outbox as a stream: items wait in keyed state, timers wake their queue when a backoff ends.
 
-Every queue is a key. Its waiting items live in the state store, and one timer stands for the next moment at which any of
+Every queue is a key. Its waiting items live in the state store, in blocks of BLOCK, so that a call to the store moves many and
+a run writes only the blocks it changes; long contents lie apart. One timer stands for the next moment at which any of
 them may be sent; nothing has to arrive for a retry. A run sends up to ``limit`` due items in the order of their names and
 leaves the rest to a run ``pause`` later; items that can't be read go to quarantine and use nothing up. Ended items are
 remembered for ``keep``, so that an item that arrives again meanwhile isn't sent again. The clock is the wall clock or,
@@ -14,9 +15,11 @@ id. A queue that holds a great part of all items can be dealt over ``lanes``, ea
 from __future__ import annotations
 
 import heapq
+import itertools
 import json
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ Deliver = Callable[[str, str, int], tuple[int, str | None]]
 OUTPUT = "queue string, lane int, name string, outcome string, attempts int, next_attempt_at timestamp, last_status int, last_error string, at timestamp, content string"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+#: Items of a block of state; characters of a content that is held with its item.
+BLOCK, HELD_CONTENT = 256, 1024
 
 
 def readable(content: str | None) -> bool:
@@ -40,6 +45,19 @@ def readable(content: str | None) -> bool:
     return True
 
 
+def written(items: dict) -> str:
+    return json.dumps(items, ensure_ascii=False, separators=(",", ":"))
+
+
+def frame(rows: list[tuple]) -> pd.DataFrame:
+    """Rows of OUTPUT; times are milliseconds."""
+    made = dict(zip(_COLUMNS, zip(*rows, strict=True) if rows else [()] * len(_COLUMNS), strict=True))
+    for c in ("next_attempt_at", "at"):
+        made[c] = np.array(["NaT" if ms is None else ms for ms in made[c]], "datetime64[ms]")
+    made |= {c: np.array(made[c], "int32") for c in ("lane", "attempts")} | {"last_status": pd.array(made["last_status"], "Int32")}
+    return pd.DataFrame({c: v if not isinstance(v, tuple) else pd.Series(v, dtype=object) for c, v in made.items()})
+
+
 class Outbox(StatefulProcessor):
     """``deliver`` takes (name, content, attempts so far) and gives (status, error); what it raises counts as status 0."""
 
@@ -49,35 +67,65 @@ class Outbox(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "name string", "attempts int, next_ms bigint, status int, error string")
+        #: Items in blocks, each a JSON object of name: [attempts, next_ms, status, error, content], or False for a content that lies apart.
+        self.blocks = handle.getMapState("blocks", "block int", "items string")
+        #: Contents too long to be held with all other items of a queue.
         self.contents = handle.getMapState("contents", "name string", "content string")
-        self.ended = handle.getMapState("ended", "name string", "ms bigint", None if self.event_time else self.keep)
+        #: Blocks of ended items, each a JSON object of name: ms.
+        self.ended = handle.getListState("ended", "items string", None if self.event_time else self.keep)
         self.last = handle.getValueState("last", "ms bigint")
 
+    def held(self) -> dict[int, dict[str, list]]:
+        return {block: json.loads(items) for (block,), (items,) in self.blocks.iterator()}
+
+    def known(self) -> dict[str, int]:
+        """The ended items that are remembered."""
+        return {name: ms for (items,) in self.ended.get() for name, ms in json.loads(items).items()}
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        held = self.held()
+        names, new, first = {name for items in held.values() for name in items}.union(self.known()), {}, None
         for batch in rows:
             for name, content, ms in zip(batch["name"], batch["content"], batch["ms"].tolist(), strict=True):
-                if self.waiting.containsKey((name,)) or self.ended.containsKey((name,)):
+                if name in names:
                     continue
-                self.waiting.updateValue((name,), (0, ms, None, None))
-                self.contents.updateValue((name,), (content,))
+                names.add(name)
+                long = content is not None and len(content) > HELD_CONTENT
+                if long:
+                    self.contents.updateValue((name,), (content,))
+                new[name] = [0, ms, None, None, False if long else content]
                 first = ms if first is None else min(ms, first)
+        self.deal(held, new)
         if not self.event_time:
-            yield self.run(key, timerValues.getCurrentProcessingTimeInMs())
+            yield self.run(key, timerValues.getCurrentProcessingTimeInMs(), held)
         elif first is not None:
             self.handle.registerTimer(max(first, timerValues.getCurrentWatermarkInMs() + 1))
 
+    def deal(self, held: dict[int, dict[str, list]], new: dict[str, list]) -> None:
+        """New items go to blocks with room, then to further ones."""
+        left, block = iter(new.items()), 0
+        rest = len(new)
+        while rest:
+            items = held.get(block, {})
+            if room := min(rest, BLOCK - len(items)):
+                items.update(itertools.islice(left, room))
+                held[block] = items
+                self.blocks.updateValue((block,), (written(items),))
+                rest -= room
+            block += 1
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self.run(key, timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs())
+        yield self.run(key, timerValues.getCurrentWatermarkInMs() if self.event_time else timerValues.getCurrentProcessingTimeInMs(), self.held())
 
-    def run(self, key, clock: int) -> pd.DataFrame:
+    def run(self, key, clock: int, held: dict[int, dict[str, list]]) -> pd.DataFrame:
         """All runs up to ``clock``; by the wall clock that is one, now."""
-        later = [(state[1], name[0], state) for name, state in self.waiting.iterator()]
+        later = [(state[1], name, block) for block, items in held.items() for name, state in items.items()]
         heapq.heapify(later)
-        last = self.last.get()[0] if self.last.exists() else None
+        last = before = self.last.get()[0] if self.last.exists() else None
         due: list[tuple] = []
         rows: list[tuple] = []
+        changed: set[int] = set()
+        ended: dict[str, int] = {}
         while due or later:
             at = later[0][0] if not due else last
             if last is not None:
@@ -88,27 +136,39 @@ class Outbox(StatefulProcessor):
             if not self.event_time:
                 at = clock
             while later and later[0][0] <= at:
-                _, name, state = heapq.heappop(later)
-                heapq.heappush(due, (name, state))
+                _, name, block = heapq.heappop(later)
+                heapq.heappush(due, (name, block))
             sent, last = 0, at
             while due and sent < self.limit:
-                name, state = heapq.heappop(due)
-                sent += self.attempt(key, name, state, at, rows, later)
-        if last is not None:
+                name, block = heapq.heappop(due)
+                changed.add(block)
+                sent += self.attempt(key, name, block, held[block], at, rows, later, ended)
+        if last != before:
             self.last.update((last,))
+        for block in changed:
+            if held[block]:
+                self.blocks.updateValue((block,), (written(held[block]),))
+            else:
+                self.blocks.removeKey((block,))
+        self.remember(ended, clock)
+        return frame(rows)
+
+    def remember(self, ended: dict[str, int], clock: int) -> None:
+        """Ended items are kept as they come; with event time, old ones go here, else by their time to live."""
         if self.event_time:
-            for name, (ms,) in list(self.ended.iterator()):
-                if ms + self.keep < clock:
-                    self.ended.removeKey(name)
-        found = pd.DataFrame(rows, columns=_COLUMNS)
-        for c in ("next_attempt_at", "at"):
-            found[c] = pd.to_datetime(found[c], unit="ms")
-        return found.astype({"lane": "int32", "attempts": "int32", "last_status": "Int32"})
-
-    def attempt(self, key, name: str, state: tuple, at: int, rows: list[tuple], later: list[tuple]) -> bool:
+            known = self.known()
+            kept = {name: ms for name, ms in (known | ended).items() if ms + self.keep >= clock}
+            if kept != known:
+                self.ended.put([(written(kept),)]) if kept else self.ended.clear()
+        elif ended:
+            self.ended.appendList([(written(ended),)])
+
+    def attempt(self, key, name: str, block: int, items: dict[str, list], at: int, rows: list[tuple], later: list[tuple], ended: dict[str, int]) -> bool:
         """One item's turn: its row, its next state, and whether it was sent."""
-        attempts, _, status, _ = state
-        content, next_ms = self.contents.getValue((name,))[0], None
+        attempts, _, status, _, content = items[name]
+        long, next_ms = content is False, None
+        if long:
+            content = self.contents.getValue((name,))[0]
         sent = readable(content)
         if sent:
             try:
@@ -121,12 +181,13 @@ class Outbox(StatefulProcessor):
             outcome, error = "quarantined", "unreadable item"
         error = None if error is None or outcome == "delivered" else error[:MOST_ERROR]
         if next_ms is None:
-            self.waiting.removeKey((name,))
-            self.contents.removeKey((name,))
-            self.ended.updateValue((name,), (at,))
+            del items[name]
+            if long:
+                self.contents.removeKey((name,))
+            ended[name] = at
         else:
-            self.waiting.updateValue((name,), (attempts, next_ms, status, error))
-            heapq.heappush(later, (next_ms, name, (attempts, next_ms, status, error)))
+            items[name] = [attempts, next_ms, status, error, False if long else content]
+            heapq.heappush(later, (next_ms, name, block))
         rows.append((*key, name, outcome, attempts, next_ms, status, error, at, content if outcome == "quarantined" else None))
         return sent
 

@@ -95,3 +95,69 @@ def test_limit_of_a_run(spark, limit):
             assert r.outcome == want and r.next_attempts == attempts + (readable and want in ("retrying", "quarantined"))
             assert (r.next_due is not None) == (want == "retrying") and (r.last_status is not None) == (readable and want in ("retrying", "quarantined"))
     assert len(got) == len(rows)
+
+
+class Store:
+    """State in memory that counts the calls to it."""
+
+    def __init__(self):
+        self.calls, self.timers, self.made = 0, [], {}
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def _state(self, name, *schema):
+        store = self
+
+        class State:
+            held = store.made.setdefault(name, {})
+
+            def __getattribute__(own, call):
+                store.calls += call not in ("held", "__class__")
+                return object.__getattribute__(own, call)
+
+            iterator = lambda own: iter(list(own.held.items()))
+            containsKey = lambda own, k: k in own.held
+            getValue = lambda own, k: own.held.get(k)
+            updateValue = lambda own, k, v: own.held.update({k: v})
+            removeKey = lambda own, k: own.held.pop(k, None)
+            exists = lambda own: bool(own.held)
+            update = lambda own, v: own.held.update({0: v})
+            clear = lambda own: own.held.clear()
+            get = lambda own: iter(list(own.held.values())) if name == "ended" else own.held.get(0)
+            appendList = lambda own, rows: own.held.update({len(own.held) + i: r for i, r in enumerate(rows)})
+
+            def put(own, rows):
+                own.held.clear()
+                own.held.update(enumerate(rows))
+
+        return State()
+
+    getMapState = getListState = getValueState = _state
+
+
+class Clock:
+    def __init__(self, ms):
+        self.getCurrentWatermarkInMs = self.getCurrentProcessingTimeInMs = lambda: ms
+
+
+@pytest.mark.parametrize("event_time", [True, False])
+def test_calls_to_the_store(event_time):
+    """A queue's items move in blocks: 3,000 items, each sent twice and all ended after two tries, take under 200 calls; long, null and broken contents too."""
+    import pandas as pd
+
+    tried, store = [], Store()
+    receive = lambda name, content, attempts: tried.append((name, len(content), attempts)) or (500 if attempts == 0 else 200, None)
+    box = outbox.Outbox(receive, 10_000, 8, 1, 100_000, 2, 100, event_time)
+    box.init(store)
+    contents = {f"{i:05}": None if i == 7 else "{broken" if i == 8 else '"' + "é" * (2000 if i % 1000 == 0 else 5) + '"' for i in range(3000)}
+    rows = pd.DataFrame({"name": [*contents, *contents], "content": [*contents.values()] * 2, "ms": 1000})
+    got = list(box.handleInputRows(("q", 0), iter([rows]), Clock(0 if event_time else 2000)))
+    for clock in (2000, 3_000, 10_000, 20_000):
+        got += box.handleExpiredTimer(("q", 0), Clock(clock), None)
+    got += box.handleInputRows(("q", 0), iter([rows]), Clock(20_001))  # known still
+    got = pd.concat(g for g in got if len(g))
+    assert len(got) == 2 + 2 * 2998 and got.outcome.value_counts().to_dict() == {"retrying": 2998, "delivered": 2998, "quarantined": 2}
+    assert sorted(tried) == sorted((n, len(c), k) for n, c in contents.items() if c not in (None, "{broken") for k in (0, 1))
+    assert got[got.outcome == "quarantined"].content.tolist() == [None, "{broken"]
+    assert not store.made["blocks"] and not store.made["contents"] and store.calls < 200, store.calls

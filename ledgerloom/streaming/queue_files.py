@@ -25,6 +25,8 @@ NAME, SCHEMA, FILES = "ledgerloom_queue", "name string, content string, modified
 # Names in the folder of a queue, and the time of an item that was never tried.
 STATE_SUFFIX, CONFIG, NEVER = ".state.json", "config.json", "1970-01-01T00:00:00.000Z"
 LISTED = "name string, attempts int, next_attempt_at string, last_error string"
+#: Keys of the listing's state; how often a bucket is looked through in the time that items are kept, at most.
+BUCKETS, CLEANINGS = 1024, 16
 
 
 class Files(InputPartition):
@@ -52,11 +54,15 @@ class QueueReader(DataSourceStreamReader):
         files = self.listed(known)
         if files:
             self.at = {"ns": files[-1][0], "name": files[-1][1]}
+            self.seen = known, self.at, files
         return getattr(self, "at", known)
 
     def partitions(self, start: dict, end: dict) -> list[Files]:
+        """What lies between two offsets, as it was listed last or, after a restart, listed anew."""
         self.at = max(end, getattr(self, "at", end), key=lambda o: (o["ns"], o["name"]))
-        files = [(path, ns) for ns, _, path in self.listed(start, end)]
+        *ends, found = getattr(self, "seen", (None, None, None))
+        self.seen = None, None, None
+        files = [(path, ns) for ns, _, path in (found if ends == [start, end] else self.listed(start, end))]
         return [Files(files[i : i + FILES]) for i in range(0, len(files), FILES)]
 
     def read(self, partition: Files) -> Iterator[tuple]:
@@ -108,35 +114,58 @@ def state_of(content: str) -> tuple[int, str, str | None]:
     return int(attempts) if number else 0, following if isinstance(following, str) else NEVER, error if isinstance(error, str) else None
 
 
+def listed(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in LISTED.split(", ")], dtype=object).astype({"attempts": "int32"})
+
+
 class Listing(StatefulProcessor):
-    """An item and its latest state, whichever comes first; forgotten ``keep`` after its last change."""
+    """An item and its latest state, whichever comes first; forgotten ``keep`` after its last change.
+
+    A key is a bucket of items, so that a batch costs a call for each bucket and two short ones for each changed item. A bucket has one
+    timer, which removes what is forgotten, at most CLEANINGS times in ``keep``; an item that is due counts as forgotten until then.
+    """
 
     def __init__(self, keep: int):
         self.keep = 1000 * keep
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.item = handle.getValueState("item", "there boolean, state_ms bigint, last_ms bigint, attempts int, following string, error string")
+        self.items = handle.getMapState("items", "item string", "there boolean, state_ms bigint, last_ms bigint, attempts int, following string, error string")
+        self.cleaning = handle.getValueState("cleaning", "ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        there, state_ms, last_ms, *state = self.item.get() if self.item.exists() else (False, -1, -1, 0, NEVER, None)
-        if 0 <= last_ms <= timerValues.getCurrentWatermarkInMs() - self.keep:  # due to be forgotten, though its timer comes behind the rows
-            there, state_ms, state = False, -1, [0, NEVER, None]
+        forgotten, found = timerValues.getCurrentWatermarkInMs() - self.keep, {}
         for batch in rows:
-            for name, content, ms in zip(batch["name"], batch["content"], batch["ms"].tolist(), strict=True):
-                last_ms = max(ms, last_ms)
+            for item, name, content, ms in zip(batch["item"], batch["name"], batch["content"], batch["ms"].tolist(), strict=True):
+                if item not in found:
+                    known = self.items.getValue((item,))
+                    found[item] = [False, -1, -1, 0, NEVER, None] if known is None or known[2] <= forgotten else list(known)
+                one = found[item]
+                one[2] = max(ms, one[2])
                 if not name.endswith(STATE_SUFFIX):
-                    there = True
-                elif ms >= state_ms:
-                    state_ms, state = ms, list(state_of(content))
-        self.item.update((there, state_ms, last_ms, *state))
-        self.handle.registerTimer(last_ms + self.keep)
-        yield pd.DataFrame([(key[0], *state)] if there else [], columns=["name", "attempts", "next_attempt_at", "last_error"]).astype({"attempts": "int32"})
+                    one[0] = True
+                elif ms >= one[1]:
+                    one[1], one[3:] = ms, state_of(content)
+        for item, one in found.items():
+            self.items.updateValue((item,), tuple(one))
+        if found and not self.cleaning.exists():
+            self.clean_at(min(one[2] for one in found.values()) + self.keep)
+        yield listed([(item, *one[3:]) for item, one in found.items() if one[0]])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.item.exists() and self.item.get()[2] + self.keep <= expiredTimerInfo.getExpiryTimeInMs():
-            self.item.clear()
-        yield pd.DataFrame({"name": [], "attempts": [], "next_attempt_at": [], "last_error": []}).astype({"name": object, "attempts": "int32", "next_attempt_at": object, "last_error": object})
+        now = timerValues.getCurrentWatermarkInMs()
+        last = {item: one[2] for item, one in self.items.iterator()}
+        for item, ms in last.items():
+            if ms + self.keep <= now:
+                self.items.removeKey(item)
+        self.cleaning.clear()
+        if left := [ms for ms in last.values() if ms + self.keep > now]:
+            self.clean_at(max(min(left) + self.keep, now + self.keep // CLEANINGS))
+        yield listed([])
+
+    def clean_at(self, ms: int) -> None:
+        self.handle.registerTimer(ms)
+        self.cleaning.update((ms,))
 
     def close(self) -> None:
         pass
@@ -145,5 +174,5 @@ class Listing(StatefulProcessor):
 def listing(files: DataFrame, keep: int = 7 * 86_400, late: str = "1 hour") -> DataFrame:
     """A stream of ``read_queue_stream`` as the stream of items with their states (LISTED), a row whenever either changes. Needs ``outbox.use_timers``."""
     item = F.when(F.endswith("name", F.lit(STATE_SUFFIX)), F.expr(f"substring(name, 1, length(name) - {len(STATE_SUFFIX)})")).otherwise(F.col("name"))
-    timed = files.withWatermark("modified", late).select(item.alias("item"), "name", "content", F.unix_millis("modified").alias("ms"), "modified")
-    return timed.groupBy("item").transformWithStateInPandas(Listing(keep), LISTED, "Update", "EventTime")
+    timed = files.withWatermark("modified", late).select(F.pmod(F.xxhash64(item), F.lit(BUCKETS)).alias("bucket"), item.alias("item"), "name", "content", F.unix_millis("modified").alias("ms"), "modified")
+    return timed.groupBy("bucket").transformWithStateInPandas(Listing(keep), LISTED, "Update", "EventTime")

@@ -58,3 +58,26 @@ def test_states_before_and_behind_their_items(spark, tmp_path):
     run()
     put(queue, "b.json", "{}", 9 * day + 1)  # after its state was forgotten
     assert ("b.json", 0, queue_files.NEVER, None) in run()
+
+
+def test_many_items(spark, tmp_path):
+    """Many items come through whole; a batch's folder is listed once."""
+    from ledgerloom.plans import files
+    from pyspark.sql import functions as F
+
+    ids = spark.range(0, 5000, 1, 1)
+    root = str(tmp_path / "q")
+    written = ids.select(F.concat(F.lit("i"), "id", F.lit(".json")).alias("name"), F.lit("{}").alias("content"))
+    assert files.write_files(written, root) == 5000
+    reader, asked = queue_files.QueueReader(root, 0), []
+    whole = reader.listed
+    reader.listed = lambda *offsets: asked.append(offsets) or whole(*offsets)
+    start = reader.initialOffset()
+    end = reader.latestOffset()
+    assert sum(len(p.files) for p in reader.partitions(start, end)) == 5000 and len(asked) == 1
+    assert sum(len(p.files) for p in reader.partitions(start, end)) == 5000 and len(asked) == 2  # once more, after a failure
+    outbox.use_timers(spark)
+    rows = []
+    stream = queue_files.listing(queue_files.read_queue_stream(spark, root, 0)).writeStream.foreachBatch(lambda found, n: rows.extend(found.collect()))
+    stream.option("checkpointLocation", str(tmp_path / "state")).outputMode("update").trigger(availableNow=True).start().awaitTermination()
+    assert len({r.name for r in rows}) == len(rows) == 5000

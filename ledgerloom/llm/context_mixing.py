@@ -8,8 +8,8 @@ training texts, which Spark adds up whatever the order. Counters share SLOTS pla
 
 The stretched predictions are combined by weights chosen by a gate, how often the word's and the longest
 context were seen, and refined by a table of gate and outcome. Weights and table (some 9,600 numbers) are Spark sums
-over all training texts up to LEARNED_BYTES, beyond that over rows drawn by the hash of id and text so that
-they hold about so many, and the full counts of all training texts; each bit is taken out of its own counts. While a text is scored, its own weights of mix and table move with it: after each
+over all training texts, with their full counts; each bit is taken out of its own counts. Whoever wants to
+learn them from less sets LEARNED_BYTES. While a text is scored, its own weights of mix and table move with it: after each
 piece of the text (twice as long as the last one) they are corrected by what the piece has shown, so a
 prediction depends on all that precedes it and on nothing else.
 
@@ -48,8 +48,8 @@ SLOTS = int(OFFSETS[-1])
 INPUTS, LONGEST, WORD = len(CONTEXTS), 1, 2
 #: A frequent word makes up at least one part in so many of the training text, so there are no more of them.
 FREQUENT = 1 << 18
-#: Weights, refining table and shares are learned from all training texts up to so many bytes, from a share of their rows beyond.
-LEARNED_BYTES, DRAWS = 1 << 25, 1 << 40
+#: Weights, refining table and shares are learned from all training texts; a caller may set a number of bytes beyond which a share of the rows, drawn by hash, stands for them.
+LEARNED_BYTES, DRAWS = 1 << 80, 1 << 40
 GATES, CELLS, SCALE = 64, 129, 12.0
 #: Bytes of the first piece of a text, after which its own weights are corrected; each further piece is as long as all before.
 PIECE = 32
@@ -460,22 +460,34 @@ def best_shares(n: np.ndarray, rounds: int = 50) -> np.ndarray:
     return np.round(share[:, 0], 6)
 
 
-def learn_shares(texts: DataFrame, n0, n1, mixer: Mixer, counts: DataFrame, total: int, distinct: int) -> np.ndarray:
-    """How far the exact table is to be trusted: its words joined to the sampled training tokens, each out of its own count."""
+def learn_shares(texts: DataFrame, n0, n1, mixer: Mixer, counts: DataFrame, frequent, total: int, distinct: int) -> np.ndarray:
+    """How far the exact table is to be trusted, from all training tokens, each out of its own count. Frequent words are counted where they are read, the others joined."""
+    scale, schema = max(total - 1, 0) + 0.1 * (distinct + 1), "word binary, bits double, size int, at int, n bigint"
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = n0.value, n1.value
+        a, b, known, n = n0.value, n1.value, frequent.value, np.zeros(SIZES * BINS, np.int64)
         for batch in batches:
             for _, _, s in streams(texts_of(batch)):
-                yield pa.record_batch({"word": pa.array([w for own in s.texts for w in own], pa.binary()), "bits": pa.array(left_out_costs(a, b, mixer, s))})
-
-    rows = texts.mapInArrow(cost, "word binary, bits double").join(counts, "word")
+                words, bits = [w for own in s.texts for w in own], left_out_costs(a, b, mixer, s)
+                c = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
+                here, rare = c > 0, np.flatnonzero(c == 0)
+                c = c[here] - 1
+                ratio = 4 * (np.log2((c + 0.1) / scale) + bits[here])
+                at = np.clip(np.trunc(ratio + np.copysign(0.5, ratio)) + BINS // 2, 0, BINS - 1).astype(np.int64)
+                n += np.bincount(size_of(c) * BINS + at, minlength=SIZES * BINS)
+                if len(rare):
+                    none = pa.nulls(len(rare), pa.int32())
+                    yield pa.record_batch([pa.array([words[i] for i in rare], pa.binary()), pa.array(bits[rare]), none, none, pa.array(np.ones(len(rare), np.int64))], names=["word", "bits", "size", "at", "n"])
+        k = np.flatnonzero(n)
+        yield pa.record_batch([pa.nulls(len(k), pa.binary()), pa.nulls(len(k), pa.float64()), pa.array((k // BINS).astype(np.int32)), pa.array((k % BINS).astype(np.int32)), pa.array(n[k])], names=["word", "bits", "size", "at", "n"])
+
+    rows = texts.mapInArrow(cost, schema).join(counts, "word", "left")
     c = F.col("c") - 1
-    size = F.when(c > 0, F.least(F.lit(SIZES - 1), F.floor(F.log2(c)) + 1)).otherwise(0)
-    ratio = F.log2((c + 0.1) / F.lit(max(total - 1, 0) + 0.1 * (distinct + 1))) + F.col("bits")
-    at = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.round(ratio * 4).cast("int") + BINS // 2))
+    size = F.coalesce("size", F.when(c > 0, F.least(F.lit(SIZES - 1), F.floor(F.log2(c)) + 1)).otherwise(0))
+    ratio = F.log2((c + 0.1) / F.lit(scale)) + F.col("bits")
+    at = F.coalesce("at", F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.round(ratio * 4).cast("int") + BINS // 2)))
     n = np.zeros((SIZES, BINS))
-    for r in rows.groupBy(size.alias("size"), at.alias("at")).agg(F.count("*").alias("n")).collect():  # SIZES x BINS bound them
+    for r in rows.groupBy(size.alias("size"), at.alias("at")).agg(F.sum("n").alias("n")).collect():  # SIZES x BINS bound them
         n[r["size"], r["at"]] = r.n
     return best_shares(n)
 
@@ -496,15 +508,17 @@ def learn(docs: DataFrame, rows: Column, key: str = "doc_id", text: str = "text"
     frequent = {bytes(r.word): r.c for r in often.toLocalIterator()}  # FREQUENT bounds them
     n0, n1 = bits_of(count_halves(texts))
     mixer, sent = Mixer(), docs.sparkSession.sparkContext.broadcast
-    some = training.filter(F.col("draw") < draws_learned(int(totals.bytes or 0))).select("t")
-    some = stage_table(some.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "learned")  # about LEARNED_BYTES, read four times
-    b0, b1 = sent(n0), sent(n1)
+    draws, some = draws_learned(int(totals.bytes or 0)), texts
+    if draws < DRAWS:
+        some = training.filter(F.col("draw") < draws).select("t")
+        some = stage_table(some.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "learned")  # about LEARNED_BYTES, read four times
+    b0, b1, known = sent(n0), sent(n1), sent(frequent)
     for _ in range(2):
         mixer = newton_step(mixer, summed(some, GATES * INPUTS * (1 + INPUTS), lambda v, s, m=mixer: newton_sums(v, b0.value, b1.value, m, s)))
     mixer = Mixer(mixer.weights, refine_table(summed(some, 2 * GATES * CELLS, lambda v, s: refine_sums(v, b0.value, b1.value, mixer, s))))
-    shares = learn_shares(some, b0, b1, mixer, counts, total, distinct)
-    b0.unpersist()
-    b1.unpersist()
+    shares = learn_shares(some, b0, b1, mixer, counts, known, total, distinct)
+    for b in (b0, b1, known):
+        b.unpersist()
     return Model(np.round(stretched(n0, n1) * SCALE).astype(np.int8), seen(n0[1::16] + n1[1::16]), mixer, frequent, shares, total, distinct), counts
 
 

@@ -126,8 +126,8 @@ class Tables:
         """The same as linked lists, faster to follow byte by byte: row[byte] is the next row, row[256] its bits."""
         rows = [[None] * 257 for _ in self.bits]
         targets = [*rows, None]
-        for row, after, bits in zip(rows, self.after.tolist(), self.bits.tolist(), strict=True):
-            row[:256] = [targets[to] for to in after]
+        for row, after, bits in zip(rows, self.after, self.bits.tolist(), strict=True):
+            row[:256] = map(targets.__getitem__, after.tolist())  # a row's numbers at a time: all at once are millions of objects
             row[256] = bits
         return rows[0]
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,11 +79,32 @@ def stage_table(df: DataFrame, label: str) -> DataFrame:
 _KEPT: dict[str, Any] = {}
 
 
+def give_back() -> None:
+    """Return a worker's free memory to the machine, as it would else hold the most it ever needed for as long as it lives."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def trimmed(emit: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that gives its memory back when a task ends."""
+
+    @functools.wraps(emit)
+    def run(batches: Iterator) -> Iterator:
+        yield from emit(batches)
+        give_back()
+
+    return run
+
+
 def worker_store(name: str, make: Callable[[], Any]) -> Any:
     """What a worker keeps between tasks. It takes the place of another operator's store, so a worker holds one at a time."""
     if name not in _KEPT:
         _KEPT.clear()
+        give_back()
         _KEPT[name] = make()
+        give_back()
     return _KEPT[name]
 
 

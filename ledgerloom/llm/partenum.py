@@ -42,7 +42,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import drop_table, quoted, stage_table, unused, whole, worker_store
+from ledgerloom.llm.common import drop_table, quoted, stage_table, trimmed, unused, whole, worker_store
 from ledgerloom.llm.components import components
 
 #: First-level parts beyond those needed, as a share, without and with a second level.
@@ -226,7 +226,7 @@ def signature_rows(docs: DataFrame, size: int, threshold: Threshold, second: int
         if sigs:
             yield pa.record_batch({"sig": np.concatenate(sigs).view(np.int64), "sid": np.concatenate(sids)})
 
-    return docs.select(text).mapInArrow(emit, "sig bigint, sid bigint")
+    return docs.select(text).mapInArrow(trimmed(emit), "sig bigint, sid bigint")
 
 
 def hot_signatures(docs: DataFrame, size: int, threshold: Threshold, second: int, text: str) -> list[int]:
@@ -284,7 +284,7 @@ def bucket_rows(rows: DataFrame, hot: list[int]) -> DataFrame:
     hot_list = np.array(hot, np.int64)
     salt = F.when(F.col("sig").isin(hot), F.pmod("sid", F.lit(SALTS))).otherwise(F.lit(0)) if hot else F.lit(0)
     dealt = (rows.repartition("sig", salt) if hot else rows.repartition("sig")).sortWithinPartitions("sig", "sid")
-    return dealt.mapInArrow(scan, "a bigint, b bigint, sig bigint")
+    return dealt.mapInArrow(trimmed(scan), "a bigint, b bigint, sig bigint")
 
 
 def bit_of(key: str, bits: int) -> Column:
@@ -390,7 +390,7 @@ class Join:
         def batch_of(own: list[tuple[int, bytes]]) -> pa.RecordBatch:
             return pa.record_batch({"sid": pa.array([i for i, _ in own], pa.int64()), "own": pa.array([x for _, x in own], pa.binary())})
 
-        return chosen.mapInArrow(emit, "sid bigint, own binary").dropDuplicates(["sid"])
+        return chosen.mapInArrow(trimmed(emit), "sid bigint, own binary").dropDuplicates(["sid"])
 
     def across(self, groups: DataFrame) -> DataFrame:
         """Pairs (a, b) of sets that share a group but no component, and whose sizes and sketches allow a link. ``groups`` says how many sets are in each."""
@@ -453,7 +453,7 @@ class Join:
                         if len(j):
                             yield pa.record_batch({"a": np.minimum(sid[j], sid[i]), "b": np.maximum(sid[j], sid[i])})
 
-        return rows.repartition("pivot", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(compare, "a bigint, b bigint")
+        return rows.repartition("pivot", "low", "high").sortWithinPartitions("sig", "low", "high").mapInArrow(trimmed(compare), "a bigint, b bigint")
 
     def labels(self) -> DataFrame:
         """The components: (node, label) of every set but its component's least."""

@@ -32,6 +32,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import cached_property
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +56,8 @@ GATES, CELLS, SCALE = 64, 129, 12.0
 PIECE = 32
 #: Bytes whose numbers are held at once, about.
 LONGEST_RUN = 1 << 16
+#: Half bytes, or bytes, whose bits are worked on at once, so that they stay in a core's cache.
+PART = 1 << 12
 #: Counts that are added up together; tasks whose tables are added first.
 CHUNK, MERGED = 1 << 17, 16
 #: Sizes of a count, and bins of a ratio of probabilities, for the last mix.
@@ -63,6 +66,8 @@ SIZES, BINS = 24, 400
 ONE, TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 #: An odd number for each context; the upper bits of its product with the context are the place.
 MULTIPLIERS = [np.uint64((int(ONE) * (2 * p + 3) ** 7 | 1) % (1 << 64)) for p in range(len(CONTEXTS))]
+#: What a lower half's context adds, by the upper half.
+STEPS = np.array([(i + 1) * int(TWO) % (1 << 64) for i in range(16)], np.uint64)
 TALLY = "chunk int, low binary, at binary, more binary"
 
 
@@ -74,9 +79,10 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 #: For each half byte: the nodes of its four bits in the tree of its block (1 to 15), and the bits.
-NODES = np.array([[1 << t | n >> 4 - t for n in range(16)] for t in range(4)], np.int64)
-BITS = np.array([[n >> 3 - t & 1 for n in range(16)] for t in range(4)], np.int8)
-SIGNS = (2 * BITS - 1).astype(np.float32)
+NODES = np.array([[1 << t | n >> 4 - t for t in range(4)] for n in range(16)], np.int64)
+BITS = np.array([[n >> 3 - t & 1 for t in range(4)] for n in range(16)], np.int8)
+#: Where the cells of a bit's value begin, for the four bits of each half byte.
+VALUE_CELLS = BITS.astype(np.float32) * CELLS
 
 
 class Stream:
@@ -89,48 +95,54 @@ class Stream:
         starts = np.cumsum(sizes) - sizes
         padded = b"".join([bytes(4), *joined])
         data = np.frombuffer(padded, np.uint8)[4:]
-        places = np.arange(len(data))
         self.text = np.repeat(np.arange(len(joined)), sizes)
-        self.pos = places - np.repeat(starts, sizes)
-        self.halves = data >> 4, data & 15
+        self.starts, self.sizes = starts, sizes
+        n, halves = len(data), (data >> 4, data & 15)
+        self.half = np.concatenate(halves)
         self.ends = np.flatnonzero(data == 32)  # each token's last byte
         first = np.concatenate([[0], self.ends[:-1] + 1])
-        lengths = self.ends + 1 - first
-        self.word = np.repeat(np.arange(len(first)), lengths)
+        self.lengths = lengths = self.ends + 1 - first
         with np.errstate(over="ignore"):
             powers = np.cumprod(np.full(int(lengths.max(initial=0)), ONE, np.uint64))
-            terms = powers[places - np.repeat(first, lengths)]
-            terms *= data.astype(np.uint64) + np.uint64(1)
+            terms = powers.take(np.arange(n) - np.repeat(first, lengths))
+            terms *= data + np.uint64(1)
             sums = np.cumsum(terms, dtype=np.uint64)
             sums -= terms
             bases = sums[first]
-            begun = sums - np.repeat(bases, lengths)
-            before = np.concatenate([[np.uint64(0)], begun[self.ends[:-1]]])
-            before[self.pos[first] == 0] = 0
+            before = sums.take(self.ends)
+            before -= bases
+            before[1:], before[:1] = before[:-1].copy(), 0
+            before[np.searchsorted(first, starts)] = 0
+            before *= TWO
+            begun = sums
+            begun -= np.repeat(bases, lengths)
             #: The four bytes before each, the last one lowest.
-            tail = np.ndarray(len(data), ">u4", padded, strides=(1,)).astype(np.uint64)
+            tail = np.ndarray(n, ">u4", padded, strides=(1,)).astype(np.uint64)
             for j in range(4):
                 tail[(starts + j)[sizes > j]] &= np.uint64((1 << 8 * j) - 1)
-            step = np.arange(1, 17, dtype=np.uint64)[self.halves[0]] * TWO
-            #: The first of 16 slots for each half of a byte, in each context.
-            self.blocks: tuple[list, list] = ([], [])
+            step = STEPS.take(halves[0])
+            #: The slot of each half byte in each context: first those of all upper halves, then the lower ones.
+            self.slots = []
             for p, (k, bits) in enumerate(CONTEXTS):
-                h = tail & np.uint64((1 << 8 * k) - 1) if k > 0 else begun if k == 0 else begun + np.repeat(before * TWO, lengths)
-                h = h * MULTIPLIERS[p]
-                for half, own in enumerate((h, h + step)):
-                    own = own >> np.uint64(64 - bits)
-                    own &= ~np.uint64(15)
-                    own += np.uint64(OFFSETS[p])
-                    self.blocks[half].append(own.view(np.int64))
-
-    def steps(self, at: np.ndarray | slice = slice(None)) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-        """For each half of the bytes at ``at``: its value, and the first slot of its block in each context."""
-        for half, blocks in zip(self.halves, self.blocks, strict=True):
-            yield half[at], [b[at] for b in blocks]
+                h = np.empty((2, n), np.uint64)
+                if k > 0:
+                    np.bitwise_and(tail, np.uint64((1 << 8 * k) - 1), out=h[0])
+                elif k == 0:
+                    h[0] = begun
+                else:
+                    np.add(begun, np.repeat(before, lengths), out=h[0])
+                h[0] *= MULTIPLIERS[p]
+                np.add(h[0], step, out=h[1])
+                h >>= np.uint64(64 - bits + 4)
+                h += np.uint64(OFFSETS[p] >> 4)
+                h <<= np.uint64(4)
+                h = h.ravel()
+                h |= self.half
+                self.slots.append(h.view(np.int64))
 
     def per_word(self, cost: np.ndarray) -> np.ndarray:
         """Sums over each token's bytes."""
-        return np.bincount(self.word, cost, len(self.ends))
+        return np.add.reduceat(cost, self.ends + 1 - self.lengths)
 
 
 def streams(texts: Iterable[list[bytes]]) -> Iterator[tuple[int, int, Stream]]:
@@ -178,16 +190,46 @@ class Mixer:
     weights: np.ndarray = field(default_factory=lambda: np.full((GATES, INPUTS), 1.0 / INPUTS + 0.1))
     refine: np.ndarray = field(default_factory=lambda: np.repeat(log_odds()[None], GATES, 0))
 
-    def dot(self, x: Iterable[np.ndarray], gate: np.ndarray) -> np.ndarray:
-        """The inputs by the gate's weights; a gate holds for the four bits of a half byte."""
-        total = 0
-        for weights, own in zip(self.weights.T, x, strict=True):
-            total += own * weights.take(gate)
-        return total
+    def told(self) -> np.ndarray:
+        """For each gate, by value and cell of a bit's dot in its own favour: what the table adds to that favour."""
+        return np.concatenate([-self.refine[:, ::-1], self.refine], axis=1).astype(np.float32)
 
-    def refined(self, dot: np.ndarray, gate: np.ndarray) -> np.ndarray:
-        at = cell_of(dot) + gate * CELLS
-        return self.refine.ravel().take(at)
+
+@dataclass(frozen=True)
+class Inputs:
+    """What each context says for the bits of a half byte, above 0 in their favour, and how often each block was seen."""
+
+    #: The four bits' inputs in one number, for each slot of a half byte; they are of ``kind``, in steps of 1 / ``scale``.
+    packed: np.ndarray
+    kind: type
+    scale: float
+    often: np.ndarray
+
+    def by_gate(self, s: Stream) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(gate, places of half bytes, inputs of their bits by context, in steps), a part of a gate's places at a time. The inputs hold until the next part."""
+        gate = self.often.take(s.slots[WORD] >> 4)
+        gate *= 8
+        gate += self.often.take(s.slots[LONGEST] >> 4)
+        order = np.argsort(gate, kind="stable")
+        found = [self.packed.take(k.take(order)) for k in s.slots]
+        ends = np.cumsum(np.bincount(gate, minlength=GATES)).tolist()
+        held = np.empty(INPUTS * 4 * PART, np.float32)
+        for g, (low, high) in enumerate(zip([0, *ends], ends)):
+            for a in range(low, high, PART):
+                b = min(high, a + PART)
+                x = held[: INPUTS * 4 * (b - a)].reshape(INPUTS, -1)
+                for own, row in zip(found, x, strict=True):
+                    row[:] = own[a:b].view(self.kind)
+                yield g, order[a:b], x
+
+
+def value_cells(dot: np.ndarray, half: np.ndarray) -> np.ndarray:
+    """For each bit, the place of its value and cell. Dots are brought within 7.99."""
+    np.clip(dot, -7.99, 7.99, out=dot)
+    at = dot * np.float32(8)
+    at += np.float32(CELLS / 2)
+    at += VALUE_CELLS.take(half, axis=0).ravel()
+    return at.astype(np.intp)
 
 
 @dataclass(frozen=True)
@@ -204,57 +246,59 @@ class Model:
     distinct: int = 0
 
     @cached_property
-    def packed(self) -> np.ndarray:
-        """The inputs of a half byte's four bits in one number, for each block and half byte."""
-        return np.ascontiguousarray(self.x.reshape(-1, 16)[:, NODES.T]).view(np.int32).ravel()
+    def inputs(self) -> Inputs:
+        packed = np.ascontiguousarray(self.x.reshape(-1, 16)[:, NODES])
+        packed *= 2 * BITS - 1
+        return Inputs(packed.view(np.int32).ravel(), np.int8, SCALE, self.often)
 
     def __getstate__(self) -> dict:
-        return {k: v for k, v in self.__dict__.items() if k != "packed"}  # each worker makes its own
+        return {k: v for k, v in self.__dict__.items() if k != "inputs"}  # each worker makes its own
 
     def costs(self, s: Stream) -> np.ndarray:
         """log2 of each token's improbability, in the order of the texts, with weights of the text's own."""
-        n, cost = int(s.text[-1]) + 1, np.zeros(len(s.text), np.float32)
-        v, bend = np.full((2, n), 0.5, np.float32), np.full(n, 40.0)
-        mixer = Mixer(self.mixer.weights.astype(np.float32) / np.float32(SCALE), self.mixer.refine.astype(np.float32))
-        piece = np.frexp(np.maximum(s.pos, 1) / PIECE)[1].clip(0).astype(np.int8)
-        last = np.zeros(n, np.int8)
-        np.maximum.at(last, s.text, piece)
-        ended = last[s.text] == piece
-        for turn in range(int(last.max()) + 1):
-            here = piece == turn
-            grown = np.zeros((2, n))
-            for learning, at in ((False, np.flatnonzero(here & ended)), (True, np.flatnonzero(here & ~ended))):
-                if not len(at):
-                    continue
-                text = s.text[at]
-                mine, part_cost = v.take(text, axis=1), np.zeros(len(at), np.float32)
-                for half, blocks in s.steps(at):
-                    gate = self.often.take(blocks[WORD] >> 4).astype(np.int64) * 8 + self.often.take(blocks[LONGEST] >> 4)
-                    dot = np.zeros((4, len(at)), np.float32)
-                    for weights, block in zip(mixer.weights.T, blocks, strict=True):
-                        own, weight = self.packed.take(block + half).view(np.int8).reshape(-1, 4), weights.take(gate)
-                        for bit in range(4):
-                            dot[bit] += own[:, bit] * weight
-                    np.clip(dot, -7.99, 7.99, out=dot)
-                    fine, sign = mixer.refined(dot, gate), SIGNS.take(half, axis=1)
-                    z = mine[0] * dot
-                    z += mine[1] * fine
-                    z *= -sign
-                    np.clip(z, -13.8, 13.8, out=z)  # no bit costs more than 20
-                    e = np.exp(z, out=z)
-                    e += np.float32(1)
-                    part_cost += np.log(e[0] * e[1] * e[2] * e[3])  # at most a million each
-                    if learning:
-                        q = 1 - 1 / e
-                        wrong = q * sign
-                        grown[0] += np.bincount(text, (wrong * dot).sum(axis=0), n)
-                        grown[1] += np.bincount(text, (wrong * fine).sum(axis=0), n)
-                        q -= q * q
-                        q *= dot
-                        q *= dot
-                        bend += np.bincount(text, q.sum(axis=0), n)
-                cost[at] = part_cost
-            v += np.clip(grown / (2 * bend), -0.25, 0.25).astype(np.float32)
+        n, texts = len(s.text), len(s.sizes)
+        pos = np.arange(n) - np.repeat(s.starts, s.sizes)
+        piece = np.frexp(np.maximum(pos, 1) / PIECE)[1].clip(0).astype(np.uint8)
+        last = piece[s.starts + s.sizes - 1]
+        piece *= 2
+        piece += np.repeat(2 * last, s.sizes) == piece  # a text's last piece teaches nothing
+        turns = np.argsort(piece, kind="stable")  # a text's bytes of a turn lie together
+        place = np.empty(2 * n, np.intp)
+        place[turns], place[n + turns] = np.arange(n), np.arange(n, 2 * n)
+        both = np.empty((2, 2 * n), np.complex128)  # room for four floats each
+        weights, told = (self.mixer.weights / SCALE).astype(np.float32), self.mixer.told()
+        for g, at, x in self.inputs.by_gate(s):
+            dot, to = weights[g] @ x, place.take(at)
+            both[1][to] = told[g].take(value_cells(dot, s.half.take(at))).view(np.complex128)
+            both[0][to] = dot.view(np.complex128)
+        dots, fines = np.ascontiguousarray(both.view(np.float32).reshape(2, 2 * n, 4).transpose(0, 2, 1)).reshape(2, 4, 2, n)
+        v, bend, cost, text = np.full((2, texts), 0.5, np.float32), np.full(texts, 40.0), np.empty(n), s.text.take(turns)
+        ends = np.cumsum(np.bincount(piece)).tolist()
+        for turn, (low, high) in enumerate(zip([0, *ends], ends)):
+            grown = np.zeros((2, texts))
+            for a in range(low, high, PART):
+                b = min(high, a + PART)
+                dot, fine = dots[:, :, a:b], fines[:, :, a:b]
+                mine = v.take(text[a:b], axis=1)
+                z = mine[0] * dot
+                z += mine[1] * fine
+                np.clip(z, -13.8, 13.8, out=z)  # no bit costs more than 20
+                np.negative(z, out=z)
+                e = np.exp(z, out=z)
+                e += np.float32(1)
+                halves = e[0] * e[1] * e[2] * e[3]  # at most a million each
+                cost[turns[a:b]] = np.log(halves).sum(axis=0)
+                if turn % 2 == 0:
+                    q = np.divide(1, e, out=e)
+                    np.subtract(1, q, out=q)
+                    wrong = q * dot
+                    grown[0] += np.bincount(text[a:b], wrong.sum(axis=(0, 1)), texts)
+                    grown[1] += np.bincount(text[a:b], (q * fine).sum(axis=(0, 1)), texts)
+                    wrong -= wrong * q
+                    wrong *= dot
+                    bend += np.bincount(text[a:b], wrong.sum(axis=(0, 1)), texts)
+            if turn % 2 == 0:
+                v += np.clip(grown / (2 * bend), -0.25, 0.25).astype(np.float32)
         return s.per_word(cost) / math.log(2)
 
     def joint(self, bits: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -323,9 +367,8 @@ def count_halves(texts: DataFrame) -> np.ndarray:
         table, one = np.zeros(SLOTS, np.uint32), np.uint32(1)
         for batch in batches:
             for _, _, s in streams(texts_of(batch)):
-                for half, blocks in s.steps():
-                    for k in blocks:
-                        np.add.at(table, k + half, one)
+                for k in s.slots:
+                    np.add.at(table, k, one)
         for row in tally_rows(table):
             yield tally_batch([row])
 
@@ -362,14 +405,28 @@ def bits_of(halves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 # Learning
 
 
-def left_out(n0: np.ndarray, n1: np.ndarray, s: Stream) -> Iterator[tuple[np.ndarray, list[np.ndarray], np.ndarray]]:
-    """For each half byte of a training stream: its bits, their inputs and the gate, with each bit taken out of its own counts."""
-    for half, blocks in s.steps():
-        bit, nodes = BITS.take(half, axis=1), NODES.take(half, axis=1)
-        ones = bit.astype(np.float32)
-        x = [stretched(np.maximum(0, n0.take(k) - (1 - ones)), np.maximum(0, n1.take(k) - ones)) for k in (b + nodes for b in blocks)]
-        often = [np.maximum(0, n0.take(k + 1).astype(np.int64) + n1.take(k + 1) - 1) for k in (blocks[WORD], blocks[LONGEST])]
-        yield bit, x, seen(often[0]).astype(np.int64) * 8 + seen(often[1])
+def left_out(n0: np.ndarray, n1: np.ndarray) -> Inputs:
+    """The inputs of training bits, each taken out of its own counts. As they depend on slot and half byte only, they are worked out once."""
+    packed = np.empty((len(n0), 4), np.float32)
+    for k in range(0, len(n0), CHUNK):
+        a, b = n0[k : k + CHUNK].reshape(-1, 16), n1[k : k + CHUNK].reshape(-1, 16)
+        zero, one = stretched(np.maximum(0, a - 1), b), stretched(a, np.maximum(0, b - 1))
+        packed[k : k + CHUNK] = np.where(BITS, one[:, NODES], -zero[:, NODES]).reshape(-1, 4)
+    return Inputs(packed.view(np.complex128).ravel(), np.float32, 1.0, seen(np.maximum(0, n0[1::16] + n1[1::16] - 1)))
+
+
+@dataclass(frozen=True)
+class Tally:
+    """How often each half byte was seen in each block."""
+
+    halves: np.ndarray
+
+    @cached_property
+    def inputs(self) -> Inputs:
+        return left_out(*bits_of(self.halves))
+
+    def __getstate__(self) -> dict:
+        return {"halves": self.halves}  # each worker makes its own inputs
 
 
 def summed(texts: DataFrame, size: int, add) -> np.ndarray:
@@ -401,19 +458,19 @@ def summed(texts: DataFrame, size: int, add) -> np.ndarray:
     return out
 
 
-def newton_sums(total: np.ndarray, n0: np.ndarray, n1: np.ndarray, mixer: Mixer, s: Stream) -> None:
+def newton_sums(total: np.ndarray, left: Inputs, mixer: Mixer, s: Stream) -> None:
     """Add the stream's slopes (GATES x INPUTS) and bends (GATES x INPUTS x INPUTS) of the log likelihood at the mixer's weights."""
     slope, bend = total[: GATES * INPUTS].reshape(GATES, INPUTS), total[GATES * INPUTS :].reshape(GATES, INPUTS, INPUTS)
-    for bit, x, gate in left_out(n0, n1, s):
-        p = squash(mixer.dot(x, gate))
-        order = np.argsort(gate.astype(np.uint8), kind="stable")
-        wrong, spread, rows = (bit - p)[:, order], (p * (1 - p))[:, order], np.stack(x)[:, :, order].astype(np.float64)
-        edges = np.searchsorted(gate[order], np.arange(GATES + 1))
-        for g in np.flatnonzero(np.diff(edges)):
-            here = slice(edges[g], edges[g + 1])
-            own = rows[:, :, here].reshape(INPUTS, -1)
-            slope[g] += own @ wrong[:, here].ravel()
-            bend[g] += (own * spread[:, here].ravel()) @ own.T
+    weights = (mixer.weights / left.scale).astype(np.float32)
+    for g, _, x in left.by_gate(s):
+        q = weights[g] @ x
+        with np.errstate(over="ignore"):
+            np.exp(q, out=q)
+        q += 1
+        np.divide(1, q, out=q)  # how far the bit was not foreseen
+        slope[g] += (x @ q) / left.scale
+        q -= q * q
+        bend[g] += [x @ own / left.scale**2 for own in x * q]
 
 
 def newton_step(mixer: Mixer, total: np.ndarray, ridge: float = 20.0) -> Mixer:
@@ -423,13 +480,14 @@ def newton_step(mixer: Mixer, total: np.ndarray, ridge: float = 20.0) -> Mixer:
     return Mixer(np.round(mixer.weights + np.clip(step, -1, 1), 6), mixer.refine)
 
 
-def refine_sums(total: np.ndarray, n0: np.ndarray, n1: np.ndarray, mixer: Mixer, s: Stream) -> None:
+def refine_sums(total: np.ndarray, left: Inputs, mixer: Mixer, s: Stream) -> None:
     """Add how many bits fell near each gate and cell, and how many of them were ones."""
-    hits, ones = total[: GATES * CELLS], total[GATES * CELLS :]
-    for bit, x, gate in left_out(n0, n1, s):
-        at = (gate * CELLS + cell_of(np.clip(mixer.dot(x, gate), -7.99, 7.99))).ravel()
-        hits += np.bincount(at, minlength=GATES * CELLS)
-        ones += np.bincount(at, bit.ravel(), GATES * CELLS)
+    hits, ones = total.reshape(2, GATES, CELLS)
+    weights = (mixer.weights / left.scale).astype(np.float32)
+    for g, at, x in left.by_gate(s):
+        found = np.bincount(value_cells(weights[g] @ x, s.half.take(at)), minlength=2 * CELLS)
+        hits[g] += found[:CELLS][::-1] + found[CELLS:]
+        ones[g] += found[CELLS:]
 
 
 def refine_table(total: np.ndarray, prior: float = 8.0) -> np.ndarray:
@@ -439,14 +497,18 @@ def refine_table(total: np.ndarray, prior: float = 8.0) -> np.ndarray:
     return np.round(np.log(p / (1 - p)), 6)
 
 
-def left_out_costs(n0: np.ndarray, n1: np.ndarray, mixer: Mixer, s: Stream) -> np.ndarray:
+def left_out_costs(left: Inputs, mixer: Mixer, s: Stream) -> np.ndarray:
     """log2 of each training token's improbability, with every bit out of its own counts and no weights of the text's own."""
-    cost = np.zeros(len(s.text))
-    for bit, x, gate in left_out(n0, n1, s):
-        dot = np.clip(mixer.dot(x, gate), -7.99, 7.99)
-        z = 0.5 * dot + 0.5 * mixer.refined(dot, gate)
-        cost += np.log1p(np.exp(-np.clip(z * (2 * bit - 1), -13.8, 13.8))).sum(axis=0)
-    return s.per_word(cost) / math.log(2)
+    cost, weights, told = np.empty(len(s.half)), (mixer.weights / left.scale).astype(np.float32), mixer.told()
+    for g, at, x in left.by_gate(s):
+        dot = weights[g] @ x
+        z = told[g].take(value_cells(dot, s.half.take(at)))
+        z += dot
+        z *= np.float32(-0.5)
+        e = np.exp(z, out=z)
+        e += np.float32(1)
+        cost[at] = np.log(e[::4] * e[1::4] * e[2::4] * e[3::4])  # at most a million each
+    return s.per_word(cost.reshape(2, -1).sum(axis=0)) / math.log(2)
 
 
 def best_shares(n: np.ndarray, rounds: int = 50) -> np.ndarray:
@@ -460,16 +522,16 @@ def best_shares(n: np.ndarray, rounds: int = 50) -> np.ndarray:
     return np.round(share[:, 0], 6)
 
 
-def learn_shares(texts: DataFrame, n0, n1, mixer: Mixer, counts: DataFrame, frequent, total: int, distinct: int) -> np.ndarray:
+def learn_shares(texts: DataFrame, left, mixer: Mixer, counts: DataFrame, frequent, total: int, distinct: int) -> np.ndarray:
     """How far the exact table is to be trusted, from all training tokens, each out of its own count. Frequent words are counted where they are read, the others joined."""
     scale, schema = max(total - 1, 0) + 0.1 * (distinct + 1), "word binary, bits double, size int, at int, n bigint"
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, known, n = n0.value, n1.value, frequent.value, np.zeros(SIZES * BINS, np.int64)
+        inputs, known, n = left.value.inputs, frequent.value, np.zeros(SIZES * BINS, np.int64)
         for batch in batches:
             for _, _, s in streams(texts_of(batch)):
-                words, bits = [w for own in s.texts for w in own], left_out_costs(a, b, mixer, s)
-                c = np.fromiter((known.get(w, 0) for w in words), np.int64, len(words))
+                words, bits = [w for own in s.texts for w in own], left_out_costs(inputs, mixer, s)
+                c = np.fromiter(map(known.get, words, repeat(0)), np.int64, len(words))
                 here, rare = c > 0, np.flatnonzero(c == 0)
                 c = c[here] - 1
                 ratio = 4 * (np.log2((c + 0.1) / scale) + bits[here])
@@ -506,19 +568,20 @@ def learn(docs: DataFrame, rows: Column, key: str = "doc_id", text: str = "text"
     total, distinct = int(totals.n or 0), int(totals.v)
     often = counts.filter((F.col("c") >= 2) & (F.col("c") >= math.ceil(total / FREQUENT)))
     frequent = {bytes(r.word): r.c for r in often.toLocalIterator()}  # FREQUENT bounds them
-    n0, n1 = bits_of(count_halves(texts))
+    tally = Tally(count_halves(texts))
     mixer, sent = Mixer(), docs.sparkSession.sparkContext.broadcast
     draws, some = draws_learned(int(totals.bytes or 0)), texts
     if draws < DRAWS:
         some = training.filter(F.col("draw") < draws).select("t")
         some = stage_table(some.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "learned")  # about LEARNED_BYTES, read four times
-    b0, b1, known = sent(n0), sent(n1), sent(frequent)
+    left, known = sent(tally), sent(frequent)
     for _ in range(2):
-        mixer = newton_step(mixer, summed(some, GATES * INPUTS * (1 + INPUTS), lambda v, s, m=mixer: newton_sums(v, b0.value, b1.value, m, s)))
-    mixer = Mixer(mixer.weights, refine_table(summed(some, 2 * GATES * CELLS, lambda v, s: refine_sums(v, b0.value, b1.value, mixer, s))))
-    shares = learn_shares(some, b0, b1, mixer, counts, known, total, distinct)
-    for b in (b0, b1, known):
+        mixer = newton_step(mixer, summed(some, GATES * INPUTS * (1 + INPUTS), lambda v, s, m=mixer: newton_sums(v, left.value.inputs, m, s)))
+    mixer = Mixer(mixer.weights, refine_table(summed(some, 2 * GATES * CELLS, lambda v, s: refine_sums(v, left.value.inputs, mixer, s))))
+    shares = learn_shares(some, left, mixer, counts, known, total, distinct)
+    for b in (left, known):
         b.unpersist()
+    n0, n1 = bits_of(tally.halves)
     return Model(np.round(stretched(n0, n1) * SCALE).astype(np.int8), seen(n0[1::16] + n1[1::16]), mixer, frequent, shares, total, distinct), counts
 
 
@@ -539,7 +602,7 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id"
                 sizes = np.fromiter(map(len, s.texts), np.int64, high - low)
                 own = np.repeat(np.arange(high - low), sizes)
                 bits = m.costs(s)
-                c = np.fromiter((m.frequent.get(w, 0) for w in flat), np.int64, len(flat))
+                c = np.fromiter(map(m.frequent.get, flat, repeat(0)), np.int64, len(flat))
                 known = c > 0
                 add = lambda v: np.bincount(own[known], v[known], high - low).astype(np.float64)  # noqa: E731, B023
                 rare = np.flatnonzero(~known)

@@ -55,7 +55,7 @@ GATES, CELLS, SCALE = 64, 129, 12.0
 #: Bytes of the first piece of a text, after which its own weights are corrected; each further piece is as long as all before.
 PIECE = 32
 #: Bytes whose numbers are held at once, about.
-LONGEST_RUN = 1 << 16
+LONGEST_RUN = 1 << 17
 #: Half bytes, or bytes, whose bits are worked on at once, so that they stay in a core's cache.
 PART = 1 << 12
 #: Counts that are added up together; tasks whose tables are added first.
@@ -82,7 +82,7 @@ def words_of(text: str | None) -> list[bytes]:
 NODES = np.array([[1 << t | n >> 4 - t for t in range(4)] for n in range(16)], np.int64)
 BITS = np.array([[n >> 3 - t & 1 for t in range(4)] for n in range(16)], np.int8)
 #: Where the cells of a bit's value begin, for the four bits of each half byte.
-VALUE_CELLS = BITS.astype(np.float32) * CELLS
+VALUE_CELLS = np.ascontiguousarray(BITS.T).astype(np.intp) * CELLS
 
 
 class Stream:
@@ -191,25 +191,28 @@ class Mixer:
     refine: np.ndarray = field(default_factory=lambda: np.repeat(log_odds()[None], GATES, 0))
 
     def told(self) -> np.ndarray:
-        """For each gate, by value and cell of a bit's dot in its own favour: what the table adds to that favour."""
-        return np.concatenate([-self.refine[:, ::-1], self.refine], axis=1).astype(np.float32)
+        """By gate, value and cell of a bit's dot in its own favour: the table's log odds in that favour."""
+        return np.concatenate([-self.refine[:, ::-1], self.refine], axis=1).astype(np.float32).ravel()
 
 
 @dataclass(frozen=True)
 class Inputs:
     """What each context says for the bits of a half byte, above 0 in their favour, and how often each block was seen."""
 
-    #: The four bits' inputs in one number, for each slot of a half byte; they are of ``kind``, in steps of 1 / ``scale``.
+    #: The four bits' inputs, of ``kind``, in one number, for each slot of a half byte.
     packed: np.ndarray
     kind: type
-    scale: float
     often: np.ndarray
 
-    def by_gate(self, s: Stream) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(gate, places of half bytes, inputs of their bits by context, in steps), a part of a gate's places at a time. The inputs hold until the next part."""
-        gate = self.often.take(s.slots[WORD] >> 4)
+    def gates(self, slots: list[np.ndarray]) -> np.ndarray:
+        gate = self.often.take(slots[WORD] >> 4)
         gate *= 8
-        gate += self.often.take(s.slots[LONGEST] >> 4)
+        gate += self.often.take(slots[LONGEST] >> 4)
+        return gate
+
+    def by_gate(self, s: Stream) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(gate, places of half bytes, inputs of their bits by context), a part of a gate's places at a time. The inputs hold until the next part."""
+        gate = self.gates(s.slots)
         order = np.argsort(gate, kind="stable")
         found = [self.packed.take(k.take(order)) for k in s.slots]
         ends = np.cumsum(np.bincount(gate, minlength=GATES)).tolist()
@@ -222,14 +225,28 @@ class Inputs:
                     row[:] = own[a:b].view(self.kind)
                 yield g, order[a:b], x
 
-
-def value_cells(dot: np.ndarray, half: np.ndarray) -> np.ndarray:
-    """For each bit, the place of its value and cell. Dots are brought within 7.99."""
-    np.clip(dot, -7.99, 7.99, out=dot)
-    at = dot * np.float32(8)
-    at += np.float32(CELLS / 2)
-    at += VALUE_CELLS.take(half, axis=0).ravel()
-    return at.astype(np.intp)
+    def dots(self, slots: list[np.ndarray], half: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the four bits of each half byte: its inputs by the gate's weights, within 7.99, and the place of its gate, value and cell."""
+        gate = self.gates(slots).astype(np.intp)
+        dot = np.zeros((4, len(gate)), np.float32)
+        for own, k in zip(weights.T.astype(np.float32), slots, strict=True):
+            x = self.packed.take(k).view(self.kind).reshape(-1, 4).T.astype(np.float32, order="C")
+            x *= own.take(gate)
+            dot += x
+        np.clip(dot, -7.99, 7.99, out=dot)
+        cell = dot * np.float32(8)
+        cell += np.float32(CELLS / 2)
+        at = cell.astype(np.intp)
+        at += VALUE_CELLS.take(half, axis=1)
+        gate *= 2 * CELLS
+        at += gate
+        return dot, at
+
+    def parts(self, s: Stream, weights: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """(places of half bytes, dots, places of gate, value and cell), one part after the other."""
+        for a in range(0, len(s.half), PART):
+            here = slice(a, a + PART)
+            yield here, *self.dots([k[here] for k in s.slots], s.half[here], weights)
 
 
 @dataclass(frozen=True)
@@ -249,7 +266,7 @@ class Model:
     def inputs(self) -> Inputs:
         packed = np.ascontiguousarray(self.x.reshape(-1, 16)[:, NODES])
         packed *= 2 * BITS - 1
-        return Inputs(packed.view(np.int32).ravel(), np.int8, SCALE, self.often)
+        return Inputs(packed.view(np.int32).ravel(), np.int8, self.often)
 
     def __getstate__(self) -> dict:
         return {k: v for k, v in self.__dict__.items() if k != "inputs"}  # each worker makes its own
@@ -263,27 +280,20 @@ class Model:
         piece *= 2
         piece += np.repeat(2 * last, s.sizes) == piece  # a text's last piece teaches nothing
         turns = np.argsort(piece, kind="stable")  # a text's bytes of a turn lie together
-        place = np.empty(2 * n, np.intp)
-        place[turns], place[n + turns] = np.arange(n), np.arange(n, 2 * n)
-        both = np.empty((2, 2 * n), np.complex128)  # room for four floats each
-        weights, told = (self.mixer.weights / SCALE).astype(np.float32), self.mixer.told()
-        for g, at, x in self.inputs.by_gate(s):
-            dot, to = weights[g] @ x, place.take(at)
-            both[1][to] = told[g].take(value_cells(dot, s.half.take(at))).view(np.complex128)
-            both[0][to] = dot.view(np.complex128)
-        dots, fines = np.ascontiguousarray(both.view(np.float32).reshape(2, 2 * n, 4).transpose(0, 2, 1)).reshape(2, 4, 2, n)
+        weights, told = self.mixer.weights / SCALE, self.mixer.told()
         v, bend, cost, text = np.full((2, texts), 0.5, np.float32), np.full(texts, 40.0), np.empty(n), s.text.take(turns)
         ends = np.cumsum(np.bincount(piece)).tolist()
         for turn, (low, high) in enumerate(zip([0, *ends], ends)):
             grown = np.zeros((2, texts))
             for a in range(low, high, PART):
                 b = min(high, a + PART)
-                dot, fine = dots[:, :, a:b], fines[:, :, a:b]
-                mine = v.take(text[a:b], axis=1)
+                own, here = text[a:b], np.concatenate([turns[a:b], n + turns[a:b]])
+                dot, at = self.inputs.dots([k.take(here) for k in s.slots], s.half.take(here), weights)
+                dot, fine = dot.reshape(4, 2, -1), told.take(at).reshape(4, 2, -1)
+                mine = -v.take(own, axis=1)
                 z = mine[0] * dot
                 z += mine[1] * fine
                 np.clip(z, -13.8, 13.8, out=z)  # no bit costs more than 20
-                np.negative(z, out=z)
                 e = np.exp(z, out=z)
                 e += np.float32(1)
                 halves = e[0] * e[1] * e[2] * e[3]  # at most a million each
@@ -292,11 +302,11 @@ class Model:
                     q = np.divide(1, e, out=e)
                     np.subtract(1, q, out=q)
                     wrong = q * dot
-                    grown[0] += np.bincount(text[a:b], wrong.sum(axis=(0, 1)), texts)
-                    grown[1] += np.bincount(text[a:b], (q * fine).sum(axis=(0, 1)), texts)
+                    grown[0] += np.bincount(own, wrong.sum(axis=(0, 1)), texts)
+                    grown[1] += np.bincount(own, (q * fine).sum(axis=(0, 1)), texts)
                     wrong -= wrong * q
                     wrong *= dot
-                    bend += np.bincount(text[a:b], wrong.sum(axis=(0, 1)), texts)
+                    bend += np.bincount(own, wrong.sum(axis=(0, 1)), texts)
             if turn % 2 == 0:
                 v += np.clip(grown / (2 * bend), -0.25, 0.25).astype(np.float32)
         return s.per_word(cost) / math.log(2)
@@ -412,7 +422,7 @@ def left_out(n0: np.ndarray, n1: np.ndarray) -> Inputs:
         a, b = n0[k : k + CHUNK].reshape(-1, 16), n1[k : k + CHUNK].reshape(-1, 16)
         zero, one = stretched(np.maximum(0, a - 1), b), stretched(a, np.maximum(0, b - 1))
         packed[k : k + CHUNK] = np.where(BITS, one[:, NODES], -zero[:, NODES]).reshape(-1, 4)
-    return Inputs(packed.view(np.complex128).ravel(), np.float32, 1.0, seen(np.maximum(0, n0[1::16] + n1[1::16] - 1)))
+    return Inputs(packed.view(np.complex128).ravel(), np.float32, seen(np.maximum(0, n0[1::16] + n1[1::16] - 1)))
 
 
 @dataclass(frozen=True)
@@ -461,16 +471,16 @@ def summed(texts: DataFrame, size: int, add) -> np.ndarray:
 def newton_sums(total: np.ndarray, left: Inputs, mixer: Mixer, s: Stream) -> None:
     """Add the stream's slopes (GATES x INPUTS) and bends (GATES x INPUTS x INPUTS) of the log likelihood at the mixer's weights."""
     slope, bend = total[: GATES * INPUTS].reshape(GATES, INPUTS), total[GATES * INPUTS :].reshape(GATES, INPUTS, INPUTS)
-    weights = (mixer.weights / left.scale).astype(np.float32)
-    for g, _, x in left.by_gate(s):
-        q = weights[g] @ x
-        with np.errstate(over="ignore"):
+    weights = mixer.weights.astype(np.float32)
+    with np.errstate(over="ignore"):
+        for g, _, x in left.by_gate(s):
+            q = weights[g] @ x
             np.exp(q, out=q)
-        q += 1
-        np.divide(1, q, out=q)  # how far the bit was not foreseen
-        slope[g] += (x @ q) / left.scale
-        q -= q * q
-        bend[g] += [x @ own / left.scale**2 for own in x * q]
+            q += 1
+            np.divide(1, q, out=q)  # how far the bit was not foreseen
+            slope[g] += x @ q
+            q -= q * q
+            bend[g] += [x @ own for own in x * q]
 
 
 def newton_step(mixer: Mixer, total: np.ndarray, ridge: float = 20.0) -> Mixer:
@@ -483,11 +493,12 @@ def newton_step(mixer: Mixer, total: np.ndarray, ridge: float = 20.0) -> Mixer:
 def refine_sums(total: np.ndarray, left: Inputs, mixer: Mixer, s: Stream) -> None:
     """Add how many bits fell near each gate and cell, and how many of them were ones."""
     hits, ones = total.reshape(2, GATES, CELLS)
-    weights = (mixer.weights / left.scale).astype(np.float32)
-    for g, at, x in left.by_gate(s):
-        found = np.bincount(value_cells(weights[g] @ x, s.half.take(at)), minlength=2 * CELLS)
-        hits[g] += found[:CELLS][::-1] + found[CELLS:]
-        ones[g] += found[CELLS:]
+    found = np.zeros(GATES * 2 * CELLS, np.int64)
+    for _, _, at in left.parts(s, mixer.weights):
+        found += np.bincount(at.ravel(), minlength=len(found))
+    zeros, own = found.reshape(GATES, 2, CELLS).transpose(1, 0, 2)
+    hits += zeros[:, ::-1] + own
+    ones += own
 
 
 def refine_table(total: np.ndarray, prior: float = 8.0) -> np.ndarray:
@@ -499,15 +510,14 @@ def refine_table(total: np.ndarray, prior: float = 8.0) -> np.ndarray:
 
 def left_out_costs(left: Inputs, mixer: Mixer, s: Stream) -> np.ndarray:
     """log2 of each training token's improbability, with every bit out of its own counts and no weights of the text's own."""
-    cost, weights, told = np.empty(len(s.half)), (mixer.weights / left.scale).astype(np.float32), mixer.told()
-    for g, at, x in left.by_gate(s):
-        dot = weights[g] @ x
-        z = told[g].take(value_cells(dot, s.half.take(at)))
+    cost, told = np.empty(len(s.half)), mixer.told()
+    for here, dot, at in left.parts(s, mixer.weights):
+        z = told.take(at)
         z += dot
         z *= np.float32(-0.5)
         e = np.exp(z, out=z)
         e += np.float32(1)
-        cost[at] = np.log(e[::4] * e[1::4] * e[2::4] * e[3::4])  # at most a million each
+        cost[here] = np.log(e[0] * e[1] * e[2] * e[3])  # at most a million each
     return s.per_word(cost.reshape(2, -1).sum(axis=0)) / math.log(2)
 
 

@@ -123,21 +123,21 @@ def stream_outbox_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT lpad(CAST(c_custkey AS VARCHAR), 9, '0') || '.json' AS name, CAST(CASE WHEN c_custkey % 3 > 0 OR c_custkey % 7 = 0 THEN 0 WHEN c_custkey % 2 = 0 THEN 2 ELSE 1 END AS INTEGER) AS attempts,
-CASE WHEN c_custkey % 3 > 0 OR c_custkey % 7 = 0 THEN '1970-01-01T00:00:00.000Z' ELSE 'later' || c_custkey END AS next_attempt_at FROM customer WHERE c_custkey % 20 < 9""")
+CASE WHEN c_custkey % 3 > 0 OR c_custkey % 7 = 0 THEN '1970-01-01T00:00:00.000Z' ELSE 'later' || c_custkey END AS next_attempt_at FROM customer WHERE c_custkey IS NOT NULL""")
 def stream_outbox_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as files of a queue, half of them and some states first, then the rest, with states written anew; every 7th state is broken."""
+    """All customers with a key, which names a file, as files of a queue, half of them and some states first, then the rest, with states written anew; every 7th state is broken."""
     k, root = F.col("c_custkey"), shared_dir(spark)
     folder = f"{root}/queue"
-    c = table(spark, sf_dir, "customer").filter(k % 20 < 9)
+    c = table(spark, sf_dir, "customer")
     name = F.concat(F.lpad(k.cast("string"), 9, "0"), F.lit(".json"))
     item = c.select(k, name.alias("name"), F.lit("{}").alias("content"))
 
     def states(tries: int) -> DataFrame:
         said = F.to_json(F.struct(F.lit(tries).alias("attempts"), F.concat(F.lit("later"), k.cast("string")).alias("next_attempt_at")))
-        return c.filter(k % 3 == 0).select(k, F.concat(name, F.lit(queue_files.STATE_SUFFIX)).alias("name"), F.when(k % 7 == 0, "{broken").otherwise(said).alias("content"))
+        return c.filter(k % 3 <= 0).select(k, F.concat(name, F.lit(queue_files.STATE_SUFFIX)).alias("name"), F.when(k % 7 == 0, "{broken").otherwise(said).alias("content"))
 
     outbox.use_timers(spark)
-    arrivals = (item.filter(k % 2 == 0).unionByName(states(1)), item.filter(k % 2 == 1).unionByName(states(2).filter(k % 2 == 0)))
+    arrivals = (item.filter(k % 2 == 0).unionByName(states(1)), item.filter(k % 2 != 0).unionByName(states(2).filter(k % 2 == 0)))
     for rows in arrivals:
         write_files(rows, folder)
 

@@ -48,16 +48,16 @@ OFFSETS = np.concatenate([[0], np.cumsum([1 << bits for _, bits in CONTEXTS])])
 SLOTS = int(OFFSETS[-1])
 INPUTS, LONGEST, WORD = len(CONTEXTS), 1, 2
 #: A frequent word makes up at least one part in so many of the training text, so there are no more of them.
-FREQUENT = 1 << 18
+FREQUENT = 1 << 20
 #: Weights, refining table and shares are learned from all training texts; a caller may set a number of bytes beyond which a share of the rows, drawn by hash, stands for them.
 LEARNED_BYTES, DRAWS = 1 << 80, 1 << 40
 GATES, CELLS, SCALE = 64, 129, 12.0
 #: Bytes of the first piece of a text, after which its own weights are corrected; each further piece is as long as all before.
 PIECE = 32
 #: Bytes whose numbers are held at once, about.
-LONGEST_RUN = 1 << 17
-#: Half bytes, or bytes, whose bits are worked on at once, so that they stay in a core's cache.
-PART = 1 << 12
+LONGEST_RUN = 1 << 18
+#: Half bytes, or bytes, whose bits are worked on at once: enough that calls cost little, few enough for a core's cache.
+PART = 1 << 14
 #: Counts that are added up together; tasks whose tables are added first.
 CHUNK, MERGED = 1 << 17, 16
 #: Sizes of a count, and bins of a ratio of probabilities, for the last mix.
@@ -71,9 +71,9 @@ STEPS = np.array([(i + 1) * int(TWO) % (1 << 64) for i in range(16)], np.uint64)
 TALLY = "chunk int, low binary, at binary, more binary"
 
 
-def words_of(text: str | None) -> list[bytes]:
+def words_of(text: str | bytes | None) -> list[bytes]:
     """Words between 0x20 and 0x09-0x0D, with A-Z in lower case, and the end."""
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    found = (text.encode("utf-8", "surrogatepass") if isinstance(text, str) else text or b"").lower().split()
     found.append(b"")
     return found
 
@@ -81,8 +81,9 @@ def words_of(text: str | None) -> list[bytes]:
 #: For each half byte: the nodes of its four bits in the tree of its block (1 to 15), and the bits.
 NODES = np.array([[1 << t | n >> 4 - t for t in range(4)] for n in range(16)], np.int64)
 BITS = np.array([[n >> 3 - t & 1 for t in range(4)] for n in range(16)], np.int8)
-#: Where the cells of a bit's value begin, for the four bits of each half byte.
-VALUE_CELLS = np.ascontiguousarray(BITS.T).astype(np.intp) * CELLS
+FOUR = np.ones(4, np.float32)
+#: Where the cells of a gate and bit begin: the four bits of each half byte, as one number.
+FIRST_CELLS = ((2 * np.arange(GATES)[:, None, None] + BITS) * CELLS).astype(np.int32).view(np.complex128).ravel()
 
 
 class Stream:
@@ -95,7 +96,6 @@ class Stream:
         starts = np.cumsum(sizes) - sizes
         padded = b"".join([bytes(4), *joined])
         data = np.frombuffer(padded, np.uint8)[4:]
-        self.text = np.repeat(np.arange(len(joined)), sizes)
         self.starts, self.sizes = starts, sizes
         n, halves = len(data), (data >> 4, data & 15)
         self.half = np.concatenate(halves)
@@ -140,6 +140,26 @@ class Stream:
                 h |= self.half
                 self.slots.append(h.view(np.int64))
 
+    @cached_property
+    def text(self) -> np.ndarray:
+        """Which text each byte is of."""
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+    def turns(self) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """All bytes by the turns in which a text's pieces are scored, the text of each, and where each turn ends. Even turns teach; a text's last piece, in an odd one, doesn't."""
+        last = np.maximum(0, np.frexp((self.sizes - 1) / PIECE)[1])
+        k = np.repeat(np.arange(len(last)), last + 1)
+        piece = np.arange(len(k)) - np.repeat(np.cumsum(last + 1) - last - 1, last + 1)
+        begins = np.where(piece > 0, PIECE << np.maximum(0, piece - 1), 0)
+        lengths = np.minimum(PIECE << piece, self.sizes[k]) - begins
+        turn = 2 * piece + (piece == last[k])
+        order = np.argsort(turn, kind="stable")
+        k, lengths, places = k[order], lengths[order], (self.starts[k] + begins)[order]
+        places -= np.cumsum(lengths) - lengths
+        turns = np.arange(lengths.sum())
+        turns += np.repeat(places, lengths)
+        return turns, np.repeat(k, lengths), np.cumsum(np.bincount(turn[order], lengths).astype(np.int64)).tolist()
+
     def per_word(self, cost: np.ndarray) -> np.ndarray:
         """Sums over each token's bytes."""
         return np.add.reduceat(cost, self.ends + 1 - self.lengths)
@@ -183,6 +203,17 @@ def log_odds() -> np.ndarray:
     return (np.arange(CELLS) - CELLS // 2) / 8.0
 
 
+def spread(weights: np.ndarray) -> list[np.ndarray]:
+    """For each column, its numbers four times each, as one number: what multiplies the four bits of a half byte."""
+    return [np.repeat(own, 4).view(np.complex128) for own in weights.T.astype(np.float32)]
+
+
+def product(e: np.ndarray) -> np.ndarray:
+    """Of each four numbers in a row."""
+    e = e.reshape(-1, 4)
+    return e[:, 0] * e[:, 1] * e[:, 2] * e[:, 3]
+
+
 @dataclass
 class Mixer:
     """Weights by gate, and the refining table of log odds by gate and cell."""
@@ -214,39 +245,40 @@ class Inputs:
         """(gate, places of half bytes, inputs of their bits by context), a part of a gate's places at a time. The inputs hold until the next part."""
         gate = self.gates(s.slots)
         order = np.argsort(gate, kind="stable")
-        found = [self.packed.take(k.take(order)) for k in s.slots]
+        slots = [k.take(order) for k in s.slots]
         ends = np.cumsum(np.bincount(gate, minlength=GATES)).tolist()
         held = np.empty(INPUTS * 4 * PART, np.float32)
         for g, (low, high) in enumerate(zip([0, *ends], ends)):
             for a in range(low, high, PART):
                 b = min(high, a + PART)
                 x = held[: INPUTS * 4 * (b - a)].reshape(INPUTS, -1)
-                for own, row in zip(found, x, strict=True):
-                    row[:] = own[a:b].view(self.kind)
+                for own, row in zip(slots, x, strict=True):
+                    self.packed.take(own[a:b], out=row.view(np.complex128), mode="clip")
                 yield g, order[a:b], x
 
-    def dots(self, slots: list[np.ndarray], half: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """For each of the four bits of each half byte: its inputs by the gate's weights, within 7.99, and the place of its gate, value and cell."""
+    def dots(self, slots: list[np.ndarray], half: np.ndarray, weights: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """For the four bits of each half byte, one after the other: their inputs by the gate's ``spread`` weights, within 7.99, and the place of their gate, value and cell."""
         gate = self.gates(slots).astype(np.intp)
-        dot = np.zeros((4, len(gate)), np.float32)
-        for own, k in zip(weights.T.astype(np.float32), slots, strict=True):
-            x = self.packed.take(k).view(self.kind).reshape(-1, 4).T.astype(np.float32, order="C")
-            x *= own.take(gate)
+        dot = np.zeros(4 * len(gate), np.float32)
+        for own, k in zip(weights, slots, strict=True):
+            x = self.packed.take(k).view(self.kind).astype(np.float32, copy=False)
+            x *= own.take(gate).view(np.float32)
             dot += x
         np.clip(dot, -7.99, 7.99, out=dot)
         cell = dot * np.float32(8)
         cell += np.float32(CELLS / 2)
-        at = cell.astype(np.intp)
-        at += VALUE_CELLS.take(half, axis=1)
-        gate *= 2 * CELLS
-        at += gate
+        at = cell.astype(np.int32)
+        gate *= 16
+        gate += half
+        at += FIRST_CELLS.take(gate).view(np.int32)
         return dot, at
 
     def parts(self, s: Stream, weights: np.ndarray) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
         """(places of half bytes, dots, places of gate, value and cell), one part after the other."""
+        own = spread(weights)
         for a in range(0, len(s.half), PART):
             here = slice(a, a + PART)
-            yield here, *self.dots([k[here] for k in s.slots], s.half[here], weights)
+            yield here, *self.dots([k[here] for k in s.slots], s.half[here], own)
 
 
 @dataclass(frozen=True)
@@ -273,42 +305,39 @@ class Model:
 
     def costs(self, s: Stream) -> np.ndarray:
         """log2 of each token's improbability, in the order of the texts, with weights of the text's own."""
-        n, texts = len(s.text), len(s.sizes)
-        pos = np.arange(n) - np.repeat(s.starts, s.sizes)
-        piece = np.frexp(np.maximum(pos, 1) / PIECE)[1].clip(0).astype(np.uint8)
-        last = piece[s.starts + s.sizes - 1]
-        piece *= 2
-        piece += np.repeat(2 * last, s.sizes) == piece  # a text's last piece teaches nothing
-        turns = np.argsort(piece, kind="stable")  # a text's bytes of a turn lie together
-        weights, told = self.mixer.weights / SCALE, self.mixer.told()
-        v, bend, cost, text = np.full((2, texts), 0.5, np.float32), np.full(texts, 40.0), np.empty(n), s.text.take(turns)
-        ends = np.cumsum(np.bincount(piece)).tolist()
+        n, texts = len(s.half) // 2, len(s.sizes)
+        turns, of, ends = s.turns()
+        weights, told = spread(self.mixer.weights / SCALE), self.mixer.told()
+        v, bend, cost = np.full((texts, 2), 0.5), np.full(texts, 40.0), np.empty(n)
         for turn, (low, high) in enumerate(zip([0, *ends], ends)):
-            grown = np.zeros((2, texts))
+            grown, mine = np.zeros((2, texts)), spread(-v)
             for a in range(low, high, PART):
                 b = min(high, a + PART)
-                own, here = text[a:b], np.concatenate([turns[a:b], n + turns[a:b]])
+                own, here = np.tile(of[a:b], 2), np.concatenate([turns[a:b], n + turns[a:b]])
                 dot, at = self.inputs.dots([k.take(here) for k in s.slots], s.half.take(here), weights)
-                dot, fine = dot.reshape(4, 2, -1), told.take(at).reshape(4, 2, -1)
-                mine = -v.take(own, axis=1)
-                z = mine[0] * dot
-                z += mine[1] * fine
+                fine = told.take(at)
+                z = mine[0].take(own).view(np.float32)
+                z *= dot
+                other = mine[1].take(own).view(np.float32)
+                other *= fine
+                z += other
                 np.clip(z, -13.8, 13.8, out=z)  # no bit costs more than 20
                 e = np.exp(z, out=z)
                 e += np.float32(1)
-                halves = e[0] * e[1] * e[2] * e[3]  # at most a million each
-                cost[turns[a:b]] = np.log(halves).sum(axis=0)
+                halves = product(e)  # at most a million each, and of both half bytes a million millions
+                cost[turns[a:b]] = np.log(halves[: b - a] * halves[b - a :])
                 if turn % 2 == 0:
                     q = np.divide(1, e, out=e)
                     np.subtract(1, q, out=q)
+                    fine *= q
                     wrong = q * dot
-                    grown[0] += np.bincount(own, wrong.sum(axis=(0, 1)), texts)
-                    grown[1] += np.bincount(own, (q * fine).sum(axis=(0, 1)), texts)
+                    for total, bits in ((grown[0], wrong), (grown[1], fine)):
+                        total += np.bincount(own, bits.reshape(-1, 4) @ FOUR, texts)
                     wrong -= wrong * q
                     wrong *= dot
-                    bend += np.bincount(own, wrong.sum(axis=(0, 1)), texts)
+                    bend += np.bincount(own, wrong.reshape(-1, 4) @ FOUR, texts)
             if turn % 2 == 0:
-                v += np.clip(grown / (2 * bend), -0.25, 0.25).astype(np.float32)
+                v += np.clip(grown / (2 * bend), -0.25, 0.25).T
         return s.per_word(cost) / math.log(2)
 
     def joint(self, bits: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -325,7 +354,7 @@ def size_of(c: np.ndarray) -> np.ndarray:
 
 def texts_of(batch: pa.RecordBatch) -> Iterator[list[bytes]]:
     """The words of each text, one text after the other: all words of a batch would fill a worker's memory."""
-    return (words_of(t.as_py()) for t in batch.column(0))
+    return (words_of(t.as_py()) for t in batch.column(0).cast(pa.binary()))
 
 
 # Counting
@@ -495,7 +524,7 @@ def refine_sums(total: np.ndarray, left: Inputs, mixer: Mixer, s: Stream) -> Non
     hits, ones = total.reshape(2, GATES, CELLS)
     found = np.zeros(GATES * 2 * CELLS, np.int64)
     for _, _, at in left.parts(s, mixer.weights):
-        found += np.bincount(at.ravel(), minlength=len(found))
+        found += np.bincount(at, minlength=len(found))
     zeros, own = found.reshape(GATES, 2, CELLS).transpose(1, 0, 2)
     hits += zeros[:, ::-1] + own
     ones += own
@@ -517,7 +546,7 @@ def left_out_costs(left: Inputs, mixer: Mixer, s: Stream) -> np.ndarray:
         z *= np.float32(-0.5)
         e = np.exp(z, out=z)
         e += np.float32(1)
-        cost[here] = np.log(e[0] * e[1] * e[2] * e[3])  # at most a million each
+        cost[here] = np.log(product(e))
     return s.per_word(cost.reshape(2, -1).sum(axis=0)) / math.log(2)
 
 
@@ -534,13 +563,13 @@ def best_shares(n: np.ndarray, rounds: int = 50) -> np.ndarray:
 
 def learn_shares(texts: DataFrame, left, mixer: Mixer, counts: DataFrame, frequent, total: int, distinct: int) -> np.ndarray:
     """How far the exact table is to be trusted, from all training tokens, each out of its own count. Frequent words are counted where they are read, the others joined."""
-    scale, schema = max(total - 1, 0) + 0.1 * (distinct + 1), "word binary, bits double, size int, at int, n bigint"
+    scale, schema = max(total - 1, 0) + 0.1 * (distinct + 1), "word binary, bits float, size int, at int, n bigint"
 
     def cost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         inputs, known, n = left.value.inputs, frequent.value, np.zeros(SIZES * BINS, np.int64)
         for batch in batches:
             for _, _, s in streams(texts_of(batch)):
-                words, bits = [w for own in s.texts for w in own], left_out_costs(inputs, mixer, s)
+                words, bits = [w for own in s.texts for w in own], left_out_costs(inputs, mixer, s).astype(np.float32)
                 c = np.fromiter(map(known.get, words, repeat(0)), np.int64, len(words))
                 here, rare = c > 0, np.flatnonzero(c == 0)
                 c = c[here] - 1
@@ -551,9 +580,9 @@ def learn_shares(texts: DataFrame, left, mixer: Mixer, counts: DataFrame, freque
                     none = pa.nulls(len(rare), pa.int32())
                     yield pa.record_batch([pa.array([words[i] for i in rare], pa.binary()), pa.array(bits[rare]), none, none, pa.array(np.ones(len(rare), np.int64))], names=["word", "bits", "size", "at", "n"])
         k = np.flatnonzero(n)
-        yield pa.record_batch([pa.nulls(len(k), pa.binary()), pa.nulls(len(k), pa.float64()), pa.array((k // BINS).astype(np.int32)), pa.array((k % BINS).astype(np.int32)), pa.array(n[k])], names=["word", "bits", "size", "at", "n"])
+        yield pa.record_batch([pa.nulls(len(k), pa.binary()), pa.nulls(len(k), pa.float32()), pa.array((k // BINS).astype(np.int32)), pa.array((k % BINS).astype(np.int32)), pa.array(n[k])], names=["word", "bits", "size", "at", "n"])
 
-    rows = texts.mapInArrow(cost, schema).join(counts, "word", "left")
+    rows = texts.mapInArrow(cost, schema).join(counts.hint("shuffle_hash"), "word", "left")
     c = F.col("c") - 1
     size = F.coalesce("size", F.when(c > 0, F.least(F.lit(SIZES - 1), F.floor(F.log2(c)) + 1)).otherwise(0))
     ratio = F.log2((c + 0.1) / F.lit(scale)) + F.col("bits")
@@ -602,7 +631,7 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id"
     """(key, n_tokens, n_known, base_score, score, bits_per_byte) of every row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     keyed = docs.select(F.col(text).alias("t"), quoted(key).alias("key"))
-    schema = f"key {keyed.schema['key'].dataType.simpleString()}, row bigint, n_tokens bigint, known bigint, base double, bits double, n_bytes bigint, rare array<struct<word:binary,bits:double>>"
+    schema = f"key {keyed.schema['key'].dataType.simpleString()}, row bigint, n_tokens bigint, known bigint, base double, bits double, n_bytes bigint, rare array<struct<word:binary,bits:float>>"
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m, row = sent.value, TaskContext.get().partitionId() << 36
@@ -616,7 +645,7 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id"
                 known = c > 0
                 add = lambda v: np.bincount(own[known], v[known], high - low).astype(np.float64)  # noqa: E731, B023
                 rare = np.flatnonzero(~known)
-                pairs = pa.StructArray.from_arrays([pa.array([flat[i] for i in rare], pa.binary()), pa.array(bits[rare])], ["word", "bits"])
+                pairs = pa.StructArray.from_arrays([pa.array([flat[i] for i in rare], pa.binary()), pa.array(bits[rare].astype(np.float32))], ["word", "bits"])
                 starts = np.concatenate([[0], np.cumsum(np.bincount(own[rare], minlength=high - low))])
                 n_bytes = np.bincount(s.text, minlength=high - low)
                 yield pa.record_batch([
@@ -631,7 +660,7 @@ def scored(docs: DataFrame, model: Model, counts: DataFrame, key: str = "doc_id"
     size = F.when(c > 0, F.least(F.lit(SIZES - 1), F.floor(F.log2(c)) + 1)).otherwise(0).cast("int")
     share = F.element_at(F.array(*map(F.lit, model.shares.tolist())), size + 1)
     joint = -F.log2((1 - share) * F.pow(F.lit(2.0), -F.col("bits")) + F.when(c > 0, share * (c + 0.1) / F.lit(model.total + 0.1 * (model.distinct + 1))).otherwise(0.0))
-    added = rare.join(counts, "word", "left").groupBy("row").agg(F.sum(F.log10(c + 0.1)).alias("more"), F.count_if(c > 0).alias("seen"), F.sum(joint).alias("joint"))
+    added = rare.join(counts.hint("shuffle_hash"), "word", "left").groupBy("row").agg(F.sum(F.log10(c + 0.1)).alias("more"), F.count_if(c > 0).alias("seen"), F.sum(joint).alias("joint"))
     scale = math.log10(model.total + 0.1 * (model.distinct + 1))
     bits = F.col("bits") + F.coalesce("joint", F.lit(0.0))
     return read.drop("rare").join(added, "row", "left").select(
